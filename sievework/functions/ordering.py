@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sievework.functions.columns import is_boolean, is_numeric, is_temporal, is_text, is_integral, quoted, type_of
 
@@ -54,7 +54,13 @@ def _range_key(df: DataFrame, keys: list[Order]) -> Column | None:
     for i, order in enumerate(keys):
         data_type, column = type_of(df, order.column), quoted(order.column)
         if is_temporal(data_type):
-            value = F.unix_micros(column.cast("timestamp"))
+            # Wall-clock types are compared as such, so no time zone can reorder them.
+            wall = column if isinstance(data_type, T.TimestampType) else column.cast("timestamp_ntz")
+            value = (
+                F.unix_micros(wall)
+                if isinstance(data_type, T.TimestampType)
+                else F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), wall)
+            )
         elif is_boolean(data_type):
             value = column.cast("long")
         elif is_integral(data_type):

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ARCHIVE = "sievework-package.zip"
+
 
 def build_session(app_name: str = "sievework", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; ``conf`` overrides any setting.
@@ -29,7 +33,24 @@ def build_session(app_name: str = "sievework", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers (once per application).
+
+    Spark distributes the archive, as with ``spark-submit --py-files``.
+    """
+    context = spark.sparkContext
+    if any(Path(path).name == _ARCHIVE for path in context.listFiles):
+        return spark
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sievework-")) / _ARCHIVE
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent).as_posix())
+    context.addPyFile(str(archive))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
