@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from sievework.functions.columns import WHITESPACE, words
 from sievework.functions.stemming import stem
@@ -95,7 +95,7 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, _SENTENCE_END), split_sentence))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_words(text: pd.Series) -> pd.Series:
     """Each word stemmed, joined by single spaces; a word is stemmed once per batch."""
     known: dict[str, str] = {}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievework.errors import OperationError
 from sievework.functions.columns import (
     as_double,
     is_boolean,
@@ -56,9 +55,12 @@ def _boolean(df: DataFrame, name: str) -> Column:
     return parse_boolean(quoted(name).cast("string"))
 
 
-def _whole_only(name: str, params, facts) -> None:
-    if facts["fractions"]:
-        raise OperationError(f"'{name}' holds {facts['fractions']} value(s) with a fraction or out of range.")
+def _checked_integer(df: DataFrame, name: str) -> Column:
+    """Whole numbers only: a fraction fails the job rather than being cut off, without a scan of its own."""
+    number, whole = _number(df, name), _integer(df, name)
+    wrong = number.isNotNull() & (whole.isNull() | (number != F.floor(number)))
+    message = F.concat(F.lit(f"'{name}' holds a value that is no whole number: "), quoted(name).cast("string"))
+    return F.when(wrong, F.raise_error(message).cast("long")).otherwise(whole)
 
 
 def _category(df: DataFrame, name: str, params, facts) -> DataFrame:
@@ -87,14 +89,7 @@ OPERATIONS = [
     Operation(
         "type_conversion.to_integer",
         "String → Integer",
-        lambda df, c, p, f: put(df, c, _integer(df, c)),
-        statistics=lambda df, c, p: {
-            "fractions": F.count_if(
-                _number(df, c).isNotNull()
-                & (_integer(df, c).isNull() | (_number(df, c) != F.floor(_number(df, c))))
-            )
-        },
-        verify=_whole_only,
+        lambda df, c, p, f: put(df, c, _checked_integer(df, c)),
         affected=_rows,
     ),
     Operation(
