@@ -4,6 +4,6 @@ from suite.common import Suite
 
 
 def all_suites() -> list[Suite]:
-    from suite import basics
+    from suite import basics, cleaning, profiles
 
-    return [basics.suite]
+    return [basics.suite, profiles.suite, cleaning.suite]

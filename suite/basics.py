@@ -130,11 +130,10 @@ suite.add("k1_write_version", _write_version, _STEPS_SQL)
 suite.add(
     "k1_version_manifest",
     _version_manifest,
-    "select 'events' as source_id, 1 as version_number, count(*) as row_count, 6 as column_count, "
-    "u.operation_key, u.column_name, case when u.operation_key like 'missing%' then count(*) - "
-    "(select count(*) from events where event_id % 7 <> 0) else count(*) end as affected_row_count "
-    "from events, (values ('missing_values.mean', 'value'), ('encoding.frequency', 'event_type')) "
-    "u(operation_key, column_name) group by all",
+    "select 'events' as source_id, 1 as version_number, (select count(*) from events) as row_count, "
+    "6 as column_count, u.operation_key, u.column_name, case when u.operation_key like 'missing%' then (select "
+    "count(*) from events where event_id % 7 = 0) else (select count(*) from events) end as affected_row_count from "
+    "(values ('missing_values.mean', 'value'), ('encoding.frequency', 'event_type')) u(operation_key, column_name)",
 )
 suite.add(
     "s10_read_version", _read_version, f"select event_id, value from {GAP_EVENTS} where value is not null"
@@ -305,11 +304,10 @@ suite.add(
                 Aggregation("median", "l_extendedprice"),
                 Aggregation("count", None, "n"),
             ],
-        ).rows,
-        2,
+        ).rows
     ),
-    "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_l_quantity, round(avg(l_extendedprice), 2) "
-    "as avg_l_extendedprice, round(median(l_extendedprice), 2) as median_l_extendedprice, count(*) as n "
+    "select l_returnflag, l_linestatus, round(sum(l_quantity), 4) as sum_l_quantity, round(avg(l_extendedprice), 4) "
+    "as avg_l_extendedprice, round(median(l_extendedprice), 4) as median_l_extendedprice, count(*) as n "
     "from lineitem group by all order by 3 desc limit 50",
 )
 suite.add(
