@@ -70,7 +70,7 @@ def _lemmatize_by_join(df: DataFrame, name: str, changes: DataFrame) -> DataFram
     # The salt spreads a frequent word over many tasks; its lemma row is repeated to match.
     salts = 64
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)))
-    spread = changes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = changes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     found = salted.join(spread, ["word", "salt"]).groupBy("t").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("m")
     )

@@ -4,6 +4,6 @@ from suite.common import Suite
 
 
 def all_suites() -> list[Suite]:
-    from suite import basics, cleaning, profiles
+    from suite import basics, cleaning, profiles, talks
 
-    return [basics.suite, profiles.suite, cleaning.suite]
+    return [basics.suite, profiles.suite, cleaning.suite, talks.suite]

@@ -494,6 +494,58 @@ _clean(
     keep=["c_custkey", "c_acctbal"],
 )
 
+
+
+def _power_sql(rows: str, transform: str, finish: str) -> str:
+    """The same likelihood search in SQL: five grids, each around the best power of the one before."""
+    text, width = f"with x as ({rows}), b0 as (select 0.0::double as p)", 4.0
+    for level in range(5):
+        step = width / 32
+        text += (
+            f", g{level + 1} as (select b{level}.p + (i - 16) * {step!r} as p from b{level}, range(33) t(i)), b{level + 1} as "
+            f"(select p from (select p, -count(*) / 2 * ln(var_pop({transform})) + (p - 1) * sum(j) as score from x, "
+            f"g{level + 1} group by p) order by score desc limit 1)"
+        )
+        width = 2 * step
+    return text + f", y as (select {transform} as v from x, b5) {finish}"
+
+
+def _moments(df, name):
+    return rounded(
+        df.agg(
+            F.count(name).alias("n"), F.avg(name).alias("mean"), F.stddev_pop(name).alias("sd"), F.min(name).alias("lo")
+        ),
+        3,
+    )
+
+
+_BOXCOX = "case when abs(p) < 1e-9 then ln(z) else (pow(z, p) - 1) / p end"
+_YEO = (
+    "case when z >= 0 then case when abs(p) < 1e-9 then ln(1 + z) else (pow(z + 1, p) - 1) / p end else case when abs(2 - p) "
+    "< 1e-9 then -ln(1 - z) else -(pow(1 - z, 2 - p) - 1) / (2 - p) end end"
+)
+_POSITIVE = f"select value + 0.01 as z, ln(value + 0.01) as j from {GAP_EVENTS} where value is not null"
+_BALANCES = "select c_acctbal as z, sign(c_acctbal) * ln(1 + abs(c_acctbal)) as j from customer"
+suite.add(
+    "w3_boxcox_moments",
+    lambda s, d: _moments(apply_operation(_positive(s, d), "skew.boxcox", "value"), "value"),
+    _power_sql(
+        _POSITIVE,
+        _BOXCOX,
+        "select count(v) as n, round(avg(v), 3) as mean, round(stddev_pop(v), 3) as sd, round(min(v), 3) as lo from y",
+    ),
+)
+suite.add(
+    "w4_yeojohnson_moments",
+    lambda s, d: _moments(apply_operation(table(s, d, "customer"), "skew.yeojohnson", "c_acctbal"), "c_acctbal"),
+    _power_sql(
+        _BALANCES,
+        _YEO,
+        "select count(v) as n, 0.0::double as mean, 1.0::double as sd, round((min(v) - avg(v)) / stddev_pop(v), 3) as lo "
+        "from y",
+    ),
+)
+
 # -- text -------------------------------------------------------------------
 
 
