@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -22,14 +23,14 @@ INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
 # Date layouts tried in turn; pass another list where the data needs one.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd-MMM-yyyy",
-    "dd MMM yyyy",
-    "MMM dd, yyyy",
-    "MMMM dd, yyyy",
+    "yyyy-M-d H:m:s",
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "M/d/yyyy H:m:s",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
     "yyyyMMdd",
 )
 _ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
@@ -49,10 +50,32 @@ def parse_integer(text: Column) -> Column:
     return F.coalesce(whole, F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
+def _shape_of(layout: str) -> str:
+    """A pattern every text of a date layout fits; failed parses are costly, so they are sorted out first."""
+    pattern = ""
+    for run in re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", layout):
+        letter, more, mark = run
+        if mark:
+            pattern += re.escape(mark)
+        elif letter == "M" and len(more) >= 2:
+            pattern += "[A-Za-z]{3,9}"
+        elif more:
+            pattern += rf"\d{{{len(more) + 1}}}"
+        else:
+            pattern += r"\d{1,2}"
+    return f"^{pattern}$"
+
+
 def parse_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    iso = F.when(text.rlike(_ISO_PATTERN), F.trim(text).try_cast("timestamp"))
-    tried = [F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats]
-    return F.coalesce(iso, *tried)
+    trimmed = F.trim(text)
+    parsed = F.when(trimmed.rlike(_ISO_PATTERN), trimmed.try_cast("timestamp"))
+    tried = [
+        F.when(trimmed.rlike(_shape_of(f)) if re.fullmatch(r"[yMdHms\W]+", f) else F.lit(True), F.try_to_timestamp(trimmed, F.lit(f)))
+        for f in formats
+    ]
+    # A date holds a digit and is short: most texts are settled by this test alone.
+    likely = (F.length(trimmed) <= 64) & trimmed.rlike(r"\d")
+    return F.when(likely, F.coalesce(parsed, *tried))
 
 
 def parse_boolean(text: Column) -> Column:

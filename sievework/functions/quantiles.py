@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sievework.functions.columns import as_double, quoted
 from sievework.functions.ordering import RANGE, with_range
 
-ONE_STATE_VALUES = 250_000
+ONE_STATE_VALUES = 1_000_000
+_VALUES_PER_PASS = 8_000_000
+_SORTED_VALUES = 250_000
 _ACCURACY = 10_000
 
 
@@ -62,14 +64,18 @@ def exact_quantiles(
 
     found: dict[str, list[float | None]] = {c: [None] * len(p) for c, p in wanted.items()}
     small = [c for c in wanted if 0 < counts[c] <= one_state]
-    if small:
+    while small:
+        batch, held = [], 0
+        while small and (not batch or held + counts[small[0]] <= _VALUES_PER_PASS):
+            held += counts[small[0]]
+            batch.append(small.pop(0))
         row = df.agg(
             *[
                 F.percentile(values[c], F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-                for i, c in enumerate(small)
+                for i, c in enumerate(batch)
             ]
         ).first()
-        for i, c in enumerate(small):
+        for i, c in enumerate(batch):
             found[c] = list(row[f"q{i}"])
 
     large = [c for c in wanted if counts[c] > one_state]
@@ -79,7 +85,7 @@ def exact_quantiles(
             position = p * (counts[c] - 1)
             for rank in {math.floor(position), math.ceil(position)}:
                 targets[c, rank] = _Target(c, rank, counts[c])
-    _locate(df, values, list(targets.values()), one_state)
+    _locate(df, values, list(targets.values()), min(one_state, _SORTED_VALUES))
     for c in large:
         for i, p in enumerate(wanted[c]):
             position = p * (counts[c] - 1)
@@ -89,7 +95,7 @@ def exact_quantiles(
     return found
 
 
-def _locate(df: DataFrame, values: Mapping[str, Column], targets: list[_Target], one_state: int) -> None:
+def _locate(df: DataFrame, values: Mapping[str, Column], targets: list[_Target], sortable: int) -> None:
     open_targets = targets
     while open_targets:
         names = {t.column for t in open_targets}
@@ -106,7 +112,7 @@ def _locate(df: DataFrame, values: Mapping[str, Column], targets: list[_Target],
         for i, t in enumerate(open_targets):
             x = F.when(t.within(quoted(t.column)), quoted(t.column))
             local = t.rank - t.below
-            if t.inside <= one_state:
+            if t.inside <= sortable:
                 look = F.array(F.element_at(F.array_sort(F.collect_list(x)), local + 1))
             else:
                 reach = t.slack * max(1.0, t.inside / _ACCURACY)
@@ -118,7 +124,7 @@ def _locate(df: DataFrame, values: Mapping[str, Column], targets: list[_Target],
 
         checks, pending = [], []
         for i, t in enumerate(open_targets):
-            if t.inside <= one_state:
+            if t.inside <= sortable:
                 t.value = row[f"l{i}"][0]
                 continue
             t.guess = (row[f"l{i}"][0], row[f"l{i}"][1])

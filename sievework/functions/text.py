@@ -112,4 +112,4 @@ def stem_words(text: pd.Series) -> pd.Series:
 
 def terms(text: Column) -> Column:
     """Lower-case words of two or more letters, digits or underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))

@@ -142,7 +142,7 @@ def _top_k(ask: pd.DataFrame, have: pd.DataFrame, xs: list[str], target: int, k:
     queries = ask[xs].to_numpy(dtype=float)
     points = have[xs].to_numpy(dtype=float)
     value, weight = points[:, target], np.minimum(have["w"].to_numpy(), k)
-    parts = []
+    owners, picks, distances = [], [], []
     step = max(1, _CHUNK_CELLS // len(points))
     for start in range(0, len(queries), step):
         some = queries[start : start + step]
@@ -156,17 +156,17 @@ def _top_k(ask: pd.DataFrame, have: pd.DataFrame, xs: list[str], target: int, k:
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.sqrt(len(xs) / common * total)
         distance[common == 0] = np.inf
-        for r in range(len(some)):
-            d = distance[r]
+        for r, d in enumerate(distance):
             edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
             pick = np.flatnonzero((d <= edge) & np.isfinite(d))
             pick = pick[np.lexsort((value[pick], d[pick]))][:k]
-            parts.append(
-                pd.DataFrame(
-                    {"q": ask["q"].iloc[start + r], "d": d[pick], "v": value[pick], "w": weight[pick]}
-                )
-            )
-    return pd.concat(parts, ignore_index=True) if parts else empty
+            owners.append(np.full(len(pick), start + r))
+            picks.append(pick)
+            distances.append(d[pick])
+    owner, pick = np.concatenate(owners), np.concatenate(picks)
+    return pd.DataFrame(
+        {"q": ask["q"].to_numpy()[owner], "d": np.concatenate(distances), "v": value[pick], "w": weight[pick]}
+    )
 
 
 def _sampled(donors: DataFrame, xs: list[str], total: int) -> np.ndarray:

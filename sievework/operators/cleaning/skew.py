@@ -14,8 +14,6 @@ from sievework.operators.cleaning.base import Operation
 from sievework.operators.cleaning.extremes import above_minus_one, log1p, minimum
 from sievework.operators.cleaning.scaling import scaled
 
-_GRID = 33
-_PRECISION = 1e-6
 _WIDEST = 64.0
 
 
@@ -24,41 +22,56 @@ def _not_negative(name: str, params, facts) -> None:
         raise OperationError(f"A square root transform needs values of at least 0 in '{name}'.")
 
 
+def _scores(rows: DataFrame, transform: Callable[[Column, Column], Column], grid: list[float]) -> list[float]:
+    """The log-likelihood at each power of the grid: one scan, one total per power is shuffled."""
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(grid)])
+    spread = F.nullif(F.var_pop(transform(F.col("x"), F.col("g.p"))), F.lit(0.0))
+    scored = (
+        rows.withColumn("g", F.explode(points))
+        .groupBy("g")
+        .agg((-F.count("x") / 2 * F.log(spread) + (F.col("g.p") - 1) * F.sum("j")).alias("score"))
+        .select("g.i", "score")
+        .collect()
+    )
+    found = [-math.inf] * len(grid)
+    for i, score in scored:
+        if score is not None and not math.isnan(score):
+            found[i] = score
+    return found
+
+
 def best_power(rows: DataFrame, transform: Callable[[Column, Column], Column]) -> float:
     """The power of highest likelihood for ``rows`` (x, j = log-Jacobian of x).
 
-    A scan scores a whole grid of powers; the next scan refines around the best
-    one.  Only one total per power is shuffled.  Six scans give 1e-6.
+    A grid of powers brackets the maximum; the vertex of the parabola through
+    its three best points is the centre of the next grid, 32 times as fine.
+    Three scans give about eight digits.
     """
-    low, high = -2.0, 2.0
     known = rows.filter(F.col("x").isNotNull())
-    while True:
-        step = (high - low) / (_GRID - 1)
-        grid = [low + step * i for i in range(_GRID)]
-        power = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(grid)]))
-        spread = F.nullif(F.var_pop(transform(F.col("x"), F.col("g.p"))), F.lit(0.0))
-        scored = (
-            known.withColumn("g", power)
-            .groupBy("g")
-            .agg((-F.count("x") / 2 * F.log(spread) + (F.col("g.p") - 1) * F.sum("j")).alias("score"))
-            .select("g.i", "score")
-            .collect()
-        )
-        scores = [-math.inf] * _GRID
-        for i, score in scored:
-            if score is not None and not math.isnan(score):
-                scores[i] = score
-        best = max(range(_GRID), key=scores.__getitem__)
+    centre, step, half = 0.0, 0.125, 16
+    for _ in range(40):
+        grid = [centre + step * i for i in range(-half, half + 1)]
+        scores = _scores(known, transform, grid)
+        best = max(range(len(grid)), key=scores.__getitem__)
         if scores[best] == -math.inf:
             return 1.0
-        if best in (0, _GRID - 1) and step > _PRECISION and abs(grid[best]) < _WIDEST:
-            # The maximum lies outside: move and widen.
-            width = (high - low) * (2 if step >= 4.0 / (_GRID - 1) else 1)
-            low, high = grid[best] - width / 2, grid[best] + width / 2
+        centre = grid[best]
+        if not 0 < best < len(grid) - 1:
+            if abs(centre) > _WIDEST:
+                return centre
+            step *= 4  # the maximum lies outside: move and widen
+            continue
+        if -math.inf in (scores[best - 1], scores[best + 1]):
+            step /= 2  # powers next to the best one overflow: close in
             continue
-        if step <= _PRECISION:
-            return grid[best]
-        low, high = grid[best] - step, grid[best] + step
+        left, middle, right = scores[best - 1 : best + 2]
+        bend = left - 2 * middle + right
+        if bend < 0:
+            centre += step * (left - right) / (2 * bend)
+        if step < 2e-4 or bend >= 0:
+            return centre
+        step, half = step / 32, 8
+    return centre
 
 
 def box_cox(x: Column, power: Column) -> Column:

@@ -235,12 +235,48 @@ class Profile:
         }
 
     @cached_property
-    def outliers(self) -> DataFrame:
-        """One row per numeric column with values: fences and outlier share."""
+    def _outlier_rows(self) -> dict[str, tuple]:
         if not self.numeric_names:
-            return self.spark.createDataFrame([], outliers.REPORT_SCHEMA)
+            return {}
         rows = outliers.report(self.df, self.numeric_names, bounds=self.outlier_bounds).collect()
-        return self.spark.createDataFrame(rows, outliers.REPORT_SCHEMA)
+        return {r["column_name"]: r for r in rows}
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        """One row per numeric column with values: fences and outlier share."""
+        return self.spark.createDataFrame(list(self._outlier_rows.values()), outliers.REPORT_SCHEMA)
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        """One row per column with what the rules of recommendations and reports read."""
+        rows, total = [], self._counts["rows"]
+        for i, c in enumerate(self.df.columns):
+            number, category = c in self.numeric_names, c in self.categorical_names
+            far = self._outlier_rows.get(c)
+            distinct, missing = self._values[c]["distinct"], self._missing(c)
+            rows.append(
+                (
+                    i + 1,
+                    c,
+                    missing,
+                    self._share(missing),
+                    number,
+                    self._counts[c]["skew"] if number else None,
+                    self._counts[c]["min"] if number else None,
+                    far["outlier_count"] if far else None,
+                    far["outlier_percentage"] if far else None,
+                    distinct if category else None,
+                    distinct + (missing > 0) <= 1,
+                    bool(total and category and distinct / total >= HIGH_CARDINALITY),
+                )
+            )
+        return local_table(
+            self.spark,
+            rows,
+            "ordinal int, column_name string, missing_count long, missing_percentage double, is_numeric boolean, "
+            "skewness double, minimum double, outlier_count long, outlier_percentage double, unique_count long, "
+            "is_constant boolean, is_high_cardinality boolean",
+        )
 
 
 def build_profile(df: DataFrame) -> Profile:

@@ -41,16 +41,6 @@ def _result(table: DataFrame, category: str) -> DataFrame:
     return table.filter(F.col("operation_key").isNotNull()).select(F.lit(category).alias("category"), *_OUT[1:])
 
 
-def _statistics(profile: Profile) -> DataFrame:
-    """One row per column with everything the rules read."""
-    return (
-        profile.columns.select("ordinal", "column_name", "missing_count", "missing_percentage")
-        .join(profile.numeric.select("column_name", "skewness", "minimum", F.lit(True).alias("numeric")), "column_name", "left")
-        .join(profile.outliers.select("column_name", "outlier_count", "outlier_percentage"), "column_name", "left")
-        .join(profile.categorical.select("column_name", "unique_count"), "column_name", "left")
-    )
-
-
 def _percent(column: str, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", F.col(column))
 
@@ -58,7 +48,7 @@ def _percent(column: str, digits: int = 1) -> Column:
 def missing_values(profile: Profile) -> DataFrame:
     share = F.col("missing_percentage")
     uneven = (F.coalesce("outlier_count", F.lit(0)) > 0) | (F.coalesce(F.abs("skewness"), F.lit(0.0)) >= SKEWED)
-    number, low = F.col("numeric").isNotNull(), share <= LOW_PERCENT
+    number, low = F.col("is_numeric"), share <= LOW_PERCENT
 
     def rule(key: str, *alternatives: str) -> Column:
         full = [f"missing_values.{a}" for a in alternatives]
@@ -73,7 +63,7 @@ def missing_values(profile: Profile) -> DataFrame:
         .when(low, rule("mode", "constant", "drop_rows"))
         .otherwise(rule("constant", "mode", "drop_columns"))
     )
-    table = _statistics(profile).filter(F.col("missing_count") > 0).withColumn("c", chosen)
+    table = profile.statistics.filter(F.col("missing_count") > 0).withColumn("c", chosen)
     return _result(
         table.select(
             "column_name",
@@ -160,7 +150,7 @@ def outliers(profile: Profile) -> DataFrame:
         .when(F.abs("skewness") >= SKEWED, F.lit("outliers.log_transform"))
         .otherwise(F.lit("outliers.iqr_capping"))
     )
-    table = _statistics(profile).filter(F.col("outlier_count") > 0).withColumn("operation_key", key)
+    table = profile.statistics.filter(F.col("outlier_count") > 0).withColumn("operation_key", key)
     known = ("remove", "iqr_capping", "winsorization", "zscore_filter", "log_transform")
     return _result(
         table.withColumn("alternatives", _others(F.col("operation_key"), *[f"outliers.{k}" for k in known]))
@@ -195,8 +185,8 @@ def scaling(profile: Profile) -> DataFrame:
     )
     known = ("standard", "minmax", "robust", "maxabs")
     return _result(
-        _statistics(profile)
-        .filter(F.col("numeric"))
+        profile.statistics
+        .filter(F.col("is_numeric"))
         .withColumn("operation_key", key)
         .withColumn("alternatives", _others(F.col("operation_key"), *[f"scaling.{k}" for k in known]))
         .withColumn(

@@ -20,56 +20,43 @@ _NAMED = 5
 _WORST = 3
 
 
-def _names(table: DataFrame, condition: Column, order: list[Column], limit: int, text: Column | None = None) -> DataFrame:
-    """One row: up to ``limit`` column names (or texts) in order, joined, NULL if none."""
-    top = table.filter(condition).orderBy(*order).limit(limit)
+def _names(condition: Column, rank: Column, limit: int, text: Column | None = None) -> Column:
+    """Up to ``limit`` column names (or texts) in order of ``rank``, joined; NULL if there are none."""
     label = F.col("column_name") if text is None else text
-    keyed = top.withColumn("__label", label).withColumn("__at", F.monotonically_increasing_id())
-    # At most ``limit`` rows are collected.
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("__at", "__label"))), lambda s: s["__label"]), ", "
+    # One entry per table column at most.
+    found = F.array_sort(
+        F.collect_list(F.when(condition, F.struct(rank.alias("r"), F.col("ordinal").alias("o"), label.alias("t"))))
     )
-    return keyed.agg(F.when(F.count(F.lit(1)) > 0, joined).alias("names"))
+    names = F.transform(F.slice(found, 1, limit), lambda s: s["t"])
+    return F.when(F.size(found) > 0, F.array_join(names, ", "))
 
 
 def _facts(profile: Profile, versions: DataFrame | None) -> DataFrame:
     """One row with everything the rules need."""
-    cells = F.greatest(F.col("row_count") * F.col("column_count"), F.lit(1))
     share = lambda c: F.format_string("%s (%.1f%%)", "column_name", c)
-    worst_missing = _names(
-        profile.columns,
-        F.col("missing_percentage") > 0,
-        [F.col("missing_percentage").desc(), F.col("ordinal")],
-        _WORST,
-        share("missing_percentage"),
+    place, many = F.col("ordinal"), F.col("outlier_percentage") >= HIGH_OUTLIERS
+    names = profile.statistics.agg(
+        _names(
+            F.col("missing_percentage") > 0, -F.col("missing_percentage"), _WORST, share("missing_percentage")
+        ).alias("worst_missing"),
+        _names(F.abs("skewness") >= HIGH_SKEW, place, _NAMED).alias("skewed"),
+        _names(many, -F.col("outlier_percentage"), _WORST, share("outlier_percentage")).alias("worst_outliers"),
+        _names(many, place, _NAMED).alias("outlier_columns"),
+        _names(F.col("is_constant"), place, _NAMED).alias("constant"),
+        _names(F.col("is_high_cardinality"), place, _NAMED).alias("wide"),
     )
-    skewed = _names(profile.numeric, F.abs("skewness") >= HIGH_SKEW, [F.col("ordinal")], _NAMED)
-    positions = profile.columns.select("column_name", "ordinal")
-    far = profile.outliers.join(positions, "column_name")
-    many = F.col("outlier_percentage") >= HIGH_OUTLIERS
-    worst_outliers = _names(
-        far, many, [F.col("outlier_percentage").desc(), F.col("ordinal")], _WORST, share("outlier_percentage")
-    )
-    outlier_columns = _names(far, many, [F.col("ordinal")], _NAMED)
-    constant = _names(profile.quality, F.col("is_constant"), [F.col("ordinal")], _NAMED)
-    wide = _names(profile.quality, F.col("is_high_cardinality"), [F.col("ordinal")], _NAMED)
-    if versions is None:
-        applied, steps = F.lit(0), F.lit(0)
-    else:
-        applied = versions.agg(F.count(F.lit(1))).scalar()
-        steps = F.coalesce(versions.agg(F.sum(F.size("operations"))).scalar(), F.lit(0))
-    return profile.overview.select(
+    applied, steps = 0, 0
+    if versions is not None:
+        applied, steps = versions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("operations")), F.lit(0))).first()
+    overview = profile.overview.first().asDict()
+    cells = max(1, overview["row_count"] * overview["column_count"])
+    return names.select(
+        *[F.lit(v).cast("long").alias(k) for k, v in overview.items()],
+        F.lit(overview["total_missing_values"] / cells * 100).alias("missing_share"),
+        F.lit(overview["total_duplicate_rows"] / max(1, overview["row_count"]) * 100).alias("duplicate_share"),
         "*",
-        (F.col("total_missing_values") / cells * 100).alias("missing_share"),
-        (F.col("total_duplicate_rows") / F.greatest("row_count", F.lit(1)) * 100).alias("duplicate_share"),
-        worst_missing.scalar().alias("worst_missing"),
-        skewed.scalar().alias("skewed"),
-        worst_outliers.scalar().alias("worst_outliers"),
-        outlier_columns.scalar().alias("outlier_columns"),
-        constant.scalar().alias("constant"),
-        wide.scalar().alias("wide"),
-        applied.cast("long").alias("versions"),
-        steps.cast("long").alias("steps"),
+        F.lit(applied).cast("long").alias("versions"),
+        F.lit(steps).cast("long").alias("steps"),
     )
 
 

@@ -94,6 +94,9 @@ HISTORY_CHARACTERS = 6000
 PREVIEW_CHARACTERS = 120
 
 
+_LETTER = r"[\p{L}\p{N}_]"
+
+
 def _word_pattern(keyword: str) -> str:
     parts = [re.sub(r"([^\w\s])", r"\\\1", part) for part in keyword.lower().split()]
     return r"\s+".join(parts)
@@ -104,8 +107,8 @@ def _matches(text: Column, keywords: Sequence[str]) -> Column:
     some = "|".join(_word_pattern(k) for k in keywords)
     number = F.lit(0)
     for keyword in keywords:
-        number = number + text.rlike(rf"(?U)(?<!\w){_word_pattern(keyword)}(?!\w)").cast("int")
-    return F.when(text.rlike(rf"(?U)(?<!\w)(?:{some})(?!\w)"), number).otherwise(F.lit(0))
+        number = number + text.rlike(f"(?<!{_LETTER}){_word_pattern(keyword)}(?!{_LETTER})").cast("int")
+    return F.when(text.rlike(f"(?<!{_LETTER})(?:{some})(?!{_LETTER})"), number).otherwise(F.lit(0))
 
 
 def route_requests(

@@ -153,7 +153,7 @@ def _knn_sql():
 suite.add(
     "m9_knn",
     lambda s, d: rounded(
-        apply_operation(_knn_gaps(s, d), "missing_values.knn", "balance", leaf_rows=100).withColumn(
+        apply_operation(_knn_gaps(s, d), "missing_values.knn", "balance", leaf_rows=400).withColumn(
             "c_custkey", F.col("c_custkey").cast("double")
         ),
         6,
@@ -628,7 +628,7 @@ for _name, _bound in (("t7_lemmatize", 1_000_000), ("t7_lemmatize_by_join", 0)):
 _clean("t8_stem", "text.stem", "text", None, source=_messy)
 
 _TERMS = (
-    r"(select doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pM\p{Nd}\p{Pc}]{2,}')) as term from "
+    r"(select doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]{2,}')) as term from "
     f"{_MESSY})"
 )
 _TOP = f"(select term from {_TERMS} group by 1 order by count(*) desc, 1 limit 50)"

@@ -20,7 +20,7 @@ from suite.common import Suite, rounded, table
 
 suite = Suite()
 
-_NOT_WORD = r"[^\pL\pM\p{Nd}\p{Pc}]"
+_NOT_WORD = r"[^\pL\pN_]"
 
 
 def _keyword(keyword: str) -> str:
