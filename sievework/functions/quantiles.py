@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework.functions.columns import as_double, quoted
 from sievework.functions.ordering import RANGE, with_range
+from sievework.session import materialize
 
 ONE_STATE_VALUES = 1_000_000
 _VALUES_PER_PASS = 8_000_000
@@ -188,8 +189,10 @@ def grouped_quantiles(
         )
 
     groups = [quoted(k) for k in keys]
-    counted = (
-        df.select(*groups, x.alias("__x")).groupBy(*groups, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    # Written once: it is read for the range borders, the range sizes and the ranks.
+    counted = materialize(
+        df.select(*groups, x.alias("__x")).groupBy(*groups, "__x").agg(F.count(F.lit(1)).alias("__c")),
+        "counts",
     )
     ranged, _ = with_range(counted, "__x", rows=total, rows_per_range=one_state)
     by_key = Window.partitionBy(*groups)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework.functions.columns import put, quoted, words
+from sievework.functions.frequencies import attach
 from sievework.functions.text import (
     STOP_WORDS,
     as_text,
@@ -23,6 +24,8 @@ from sievework.operators.cleaning.base import Operation
 from sievework.errors import OperationError
 
 LEMMA_ROWS = 1_000_000
+_SALTS = 64
+_FREQUENT_TEXTS = 1_000
 
 
 def _replace(key: str, label: str, change: Callable[[Column, dict], Column]) -> Operation:
@@ -61,25 +64,26 @@ def lemmatize(df: DataFrame, name: str, lemmas: DataFrame, bound: int = LEMMA_RO
 
 
 def _lemmatize_by_join(df: DataFrame, name: str, changes: DataFrame) -> DataFrame:
-    """Only distinct (text, word) pairs travel, so a frequent word cannot pile up in one task."""
-    pairs = (
-        df.select(as_text(quoted(name)).alias("t"))
-        .distinct()
-        .select("t", F.explode(F.array_distinct(words(F.col("t")))).alias("word"))
-    )
+    """Distinct texts are taken apart into distinct words, so copies and frequent words travel once per text."""
+    marked = df.withColumn("__t", as_text(quoted(name)))
+    texts = marked.groupBy("__t").agg(F.count(F.lit(1)).alias("n"))
+    pairs = texts.select("__t", F.explode(F.array_distinct(words(F.col("__t")))).alias("word"))
     # The salt spreads a frequent word over many tasks; its lemma row is repeated to match.
-    salts = 64
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)))
-    spread = changes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    found = salted.join(spread, ["word", "salt"]).groupBy("t").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("m")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("__t"), F.lit(_SALTS)))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))
+    spread = changes.withColumn("salt", F.explode(salts))
+    # One map per text, as large as the text has words.
+    found = salted.join(spread, ["word", "salt"]).groupBy("__t").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("value")
     )
-    here = df.withColumn("__t", as_text(quoted(name)))
-    joined = here.join(found, here["__t"] == found["t"], "left")
-    value = F.when(F.col("m").isNull(), F.array_join(words(F.col("__t")), " ")).otherwise(
-        F.array_join(F.transform(words(F.col("__t")), lambda w: F.coalesce(F.try_element_at("m", w), w)), " ")
+    lookup = found.join(texts, "__t").select(F.col("__t").alias("key"), "value", "n")
+    text = F.struct(F.col("__t").alias("t"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    joined = attach(marked.select("__t", text.alias("__row")), "__t", lookup, "__m", _FREQUENT_TEXTS)
+    parts = words(F.col("__row.t"))
+    value = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at("__m", w), w)), " ")
+    return joined.select(
+        [value.alias(c) if c == name else F.col(f"__row.c{i}").alias(c) for i, c in enumerate(df.columns)]
     )
-    return joined.select([value.alias(c) if c == name else quoted(c) for c in df.columns])
 
 
 def _lemmatize(df: DataFrame, name: str, params, facts) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sievework.errors import OperationError
 from sievework.functions.columns import as_double, is_numeric, numeric_columns, quoted, require_columns, type_of
 from sievework.functions.ordering import RANGE, literal_array, range_offsets, with_range
+from sievework.session import materialize
 
 _PAIRS_PER_PASS = 60
 
@@ -88,12 +89,13 @@ def _ratio(n: int) -> Column:
 
 
 def _pair_counts(wide: DataFrame, i: int, j: int) -> DataFrame:
-    """Distinct (x, y) with their number; combined before the shuffle."""
-    return (
+    """Distinct (x, y) with their number, written once because ranking reads it several times."""
+    return materialize(
         wide.select(F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y"))
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
+        .agg(F.count(F.lit(1)).alias("w")),
+        "pairs",
     )
 
 

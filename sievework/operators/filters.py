@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sievework.errors import FilterError
 from sievework.functions.columns import is_boolean, is_numeric, is_temporal, quoted, require_columns, type_of
@@ -64,7 +64,11 @@ def coerce_literal(df: DataFrame, column: str, value: Any) -> Any:
 
 
 def predicate(df: DataFrame, condition: Condition) -> Column:
-    """One condition; a missing cell only ever passes ``!=``."""
+    """One condition; a missing cell only ever passes ``!=``.
+
+    NaN is treated as missing here, so a raw scan can be filtered directly and
+    the comparison itself is pushed into it.
+    """
     require_columns(df, [condition.column])
     column = quoted(condition.column)
     operator = condition.operator
@@ -86,9 +90,12 @@ def predicate(df: DataFrame, condition: Condition) -> Column:
         return ~column.eqNullSafe(F.lit(value))
     if value is None or not comparable:
         raise FilterError(f"'{operator}' needs a value comparable with '{condition.column}'.")
+    # Spark orders NaN above every number.
+    fraction = isinstance(type_of(df, condition.column), (T.FloatType, T.DoubleType))
+    known = ~F.isnan(column) if fraction else F.lit(True)
     compare = {
-        ">": column > F.lit(value),
-        ">=": column >= F.lit(value),
+        ">": (column > F.lit(value)) & known,
+        ">=": (column >= F.lit(value)) & known,
         "<": column < F.lit(value),
         "<=": column <= F.lit(value),
     }.get(operator)

@@ -103,12 +103,17 @@ def _word_pattern(keyword: str) -> str:
 
 
 def _matches(text: Column, keywords: Sequence[str]) -> Column:
-    """How many keywords occur as whole words.  Most texts are settled by the first, joint test."""
-    some = "|".join(_word_pattern(k) for k in keywords)
+    """How many keywords occur as whole words.
+
+    A plain substring search for the first word comes first; only texts that
+    pass it are matched against the pattern.
+    """
     number = F.lit(0)
     for keyword in keywords:
-        number = number + text.rlike(f"(?<!{_LETTER}){_word_pattern(keyword)}(?!{_LETTER})").cast("int")
-    return F.when(text.rlike(f"(?<!{_LETTER})(?:{some})(?!{_LETTER})"), number).otherwise(F.lit(0))
+        whole = text.rlike(f"(?<!{_LETTER}){_word_pattern(keyword)}(?!{_LETTER})")
+        found = text.contains(keyword.lower().split()[0]) & whole
+        number = number + found.cast("int")
+    return number
 
 
 def route_requests(

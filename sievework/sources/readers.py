@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from sievework.errors import SourceError
 from sievework.functions.columns import nan_to_null, quoted
 from sievework.functions.parsing import INTEGER_PATTERN, MISSING_TOKENS, parse_number
+from sievework.operators.filters import Condition, keep_rows
 
 # Spellings read as booleans when a whole column consists of them.
 _BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -88,9 +89,15 @@ def _typed(column: Column, kind: str) -> Column:
     return F.trim(column).try_cast(kind)
 
 
-def scan_parquet(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A Parquet table; floating NaN counts as missing."""
-    return nan_to_null(spark.read.options(**options).parquet(path))
+def scan_parquet(
+    spark: SparkSession, path: str, conditions: Sequence[Condition] = (), **options: str
+) -> DataFrame:
+    """A Parquet table; floating NaN counts as missing.
+
+    Pass known ``conditions`` here: they are applied to the raw columns, so
+    Spark pushes them into the scan and skips row groups.
+    """
+    return nan_to_null(keep_rows(spark.read.options(**options).parquet(path), conditions))
 
 
 def jdbc_options(

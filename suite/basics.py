@@ -27,7 +27,7 @@ from sievework.sources.export import export_tables, query_to_dataset
 from sievework.sources.metadata import table_row_count
 from sievework.sources.readers import load, scan_csv
 from sievework.sources.versions import VersionStore
-from suite.common import GAP_EVENTS, MIXED_GAPS, Suite, gap_events, mixed_gaps, rounded, table, views
+from suite.common import GAP_EVENTS, MIXED_GAPS, Suite, gap_events, mixed_gaps, raw_table, rounded, table, views
 
 suite = Suite()
 
@@ -187,7 +187,7 @@ suite.add(
 def _filter(name, table_name, column, operator, value, where):
     suite.add(
         name,
-        lambda s, d: keep_rows(table(s, d, table_name), [Condition(column, operator, value)]),
+        lambda s, d: keep_rows(raw_table(s, d, table_name), [Condition(column, operator, value)]),
         f"select * from {table_name} where {where}",
     )
 
@@ -218,12 +218,12 @@ _CONDITIONS_SQL = (
 )
 suite.add(
     "f10_filter_rows",
-    lambda s, d: filter_rows(table(s, d, "orders"), _CONDITIONS, order_by="o_orderkey").rows,
+    lambda s, d: filter_rows(raw_table(s, d, "orders"), _CONDITIONS, order_by="o_orderkey").rows,
     f"select * {_CONDITIONS_SQL} order by o_orderkey limit 50",
 )
 suite.add(
     "f10_filter_total",
-    lambda s, d: filter_rows(table(s, d, "orders"), _CONDITIONS).total,
+    lambda s, d: filter_rows(raw_table(s, d, "orders"), _CONDITIONS).total,
     f"select count(*) as row_count {_CONDITIONS_SQL}",
 )
 suite.add(

@@ -31,13 +31,18 @@ class Suite:
             self.sql[name] = sql
 
 
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is stored, so that filters reach the scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        raw_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 # The given tables hold no missing cells, so gaps are made by the same rule on both sides.
