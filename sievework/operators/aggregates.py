@@ -210,7 +210,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat another row in every column."""
     return (
         df.groupBy(*[quoted(c) for c in df.columns])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     )
 

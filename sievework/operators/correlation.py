@@ -66,7 +66,7 @@ def _pearson(wide: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
         for n, (i, j) in enumerate(some):
             x, y = F.col(f"x{i}"), F.col(f"x{j}")
             if i == j:
-                aggregates += [F.var_pop(x).alias(f"c{n}"), F.var_pop(x).alias(f"a{n}"), F.var_pop(x).alias(f"b{n}")]
+                aggregates.append(F.var_pop(x).alias(f"c{n}"))
                 continue
             aggregates += [
                 F.covar_pop(x, y).alias(f"c{n}"),
@@ -75,7 +75,11 @@ def _pearson(wide: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
             ]
         row = wide.agg(*aggregates)
         cells = [
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _ratio(n).alias("correlation"))
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(j).alias("j"),
+                (F.when(F.col(f"c{n}") > 0, F.lit(1.0)) if i == j else _ratio(n)).alias("correlation"),
+            )
             for n, (i, j) in enumerate(some)
         ]
         part = row.select(F.inline(F.array(*cells)))
