@@ -156,58 +156,99 @@ def with_position(
 
 
 def with_neighbours(
-    df: DataFrame, column: str, keys: Sequence[str | Order] | str | Order, sides: Sequence[str], **options
+    df: DataFrame, column: str, keys: Sequence[str] | str, sides: Sequence[str], positions: bool = False, **options
 ) -> DataFrame:
-    """Add the closest non-missing value before and/or after each row, with its position.
+    """Add the closest non-missing value before and/or after each row.
 
     ``sides`` holds "before" and/or "after"; each adds a struct ``__before`` /
-    ``__after`` of (p = position, v = value), NULL where there is none.
-    """
-    ranged, ranges = with_range(df, keys, **options)
-    placed = ranged.withColumn("__position", _position(ranged, ranges, keys))
-    placed = placed.withColumn(
-        "__seen",
-        F.when(quoted(column).isNotNull(), F.struct(F.col("__position").alias("p"), quoted(column).alias("v"))),
-    )
-    carried = _carried_over(placed, ranges, sides) if ranges > 1 else {}
+    ``__after`` with the value ``v``, NULL where there is none.  ``positions``
+    adds the row's own ``__position`` and the position ``p`` of each neighbour.
 
-    window = Window.partitionBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    Rows are shuffled once, by range.  The cells carried over range borders are
+    found before that by plain aggregation, one row per range.
+    """
+    ordering = orders(keys)
+    if not all(o.ascending for o in ordering):
+        raise ValueError("Neighbours are looked up along ascending keys.")
+    ranged, ranges = with_range(df, ordering, **options)
+    carried = _carried_over(ranged, ranges, column, ordering, positions) if ranges > 1 else {}
+
+    within = Window.partitionBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = quoted(column)
+    if positions:
+        ranged = ranged.withColumn("__position", _position(ranged, ranges, ordering))
+        cell = F.struct(F.col("__position").alias("p"), value.alias("v"))
+    else:
+        cell = F.struct(value.alias("v"))
+    placed = ranged.withColumn("__seen", F.when(value.isNotNull(), cell))
     for side in sides:
         # "after" runs backwards: a following-rows frame would be quadratic.
-        key = F.col("__position") if side == "before" else F.col("__position").desc()
-        inside = F.last("__seen", ignorenulls=True).over(window.orderBy(key))
-        value = F.coalesce(inside, carried[side]) if side in carried else inside
-        placed = placed.withColumn(f"__{side}", value)
+        back = side == "after"
+        sort = [quoted(o.column).desc_nulls_first() if back else o.sort_column() for o in ordering]
+        inside = F.last("__seen", ignorenulls=True).over(within.orderBy(*sort))
+        placed = placed.withColumn(f"__{side}", F.coalesce(inside, carried[side]) if carried else inside)
     return placed.drop("__seen", RANGE)
 
 
-def _carried_over(placed: DataFrame, ranges: int, sides: Sequence[str]) -> dict[str, Column]:
-    """Per range, the nearest filled cell of earlier / later ranges (one row per range)."""
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    cell = placed.schema["__seen"].dataType.simpleString()
-    edges = {
-        row[0]: (row[1], row[2])
-        for row in placed.groupBy(RANGE)
-        .agg(F.to_json(F.min("__seen"), options), F.to_json(F.max("__seen"), options))
-        .collect()
-    }
-
-    def walk(numbers, end: int) -> dict[int, str]:
-        found, last = {}, "null"
-        for number in numbers:
-            found[number] = last
-            last = edges.get(number, (None, None))[end] or last
-        return found
+_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
+
+
+def _constant_cells(texts: list[str | None], struct_type: str) -> Column:
+    """Per range, a constant struct given as JSON text."""
+    body = "[" + ",".join(t or "null" for t in texts) + "]"
+    return F.element_at(F.from_json(F.lit(body), f"array<{struct_type}>", _JSON), F.col(RANGE) + 1)
+
+
+def _carried_over(
+    ranged: DataFrame, ranges: int, column: str, ordering: list[Order], positions: bool
+) -> dict[str, Column]:
+    """Per range, the nearest filled cell of the earlier and of the later ranges."""
+    parts = []
+    for i, o in enumerate(ordering):
+        key = quoted(o.column)
+        parts += [key.isNull().alias(f"n{i}"), key.alias(f"k{i}")]
+    cells = ranged.select(RANGE, F.struct(*parts).alias("k"), quoted(column).alias("v"))
+    filled = cells.filter(F.col("v").isNotNull())
+    ends = (
+        filled.groupBy(RANGE)
+        .agg(F.min("k").alias("k0"), F.min_by("v", "k").alias("v0"), F.max("k").alias("k1"), F.max_by("v", "k").alias("v1"))
+    )
+    key_type = cells.schema["k"].dataType.simpleString()
+    value_type = cells.schema["v"].dataType.simpleString()
+    struct_type = f"struct<v:{value_type}>"
+    rows = ends.select(
+        RANGE,
+        *[F.to_json(F.struct(F.col(f"v{e}").alias("v")), _JSON).alias(f"cell{e}") for e in (0, 1)],
+        *[F.to_json(f"k{e}", _JSON).alias(f"key{e}") for e in (0, 1)],
+    ).collect()
+    found = {r[RANGE]: r for r in rows}
+    cell = {(n, e): found[n][f"cell{e}"] if n in found else None for n in range(ranges) for e in (0, 1)}
+    if positions:
+        struct_type = f"struct<p:bigint,v:{value_type}>"
+        offsets = range_offsets(ranged, ranges)
+        counts = []
+        for e in (0, 1):
+            edge = _constant_cells([found[n][f"key{e}"] if n in found else None for n in range(ranges)], key_type)
+            counts.append(F.count_if(F.col("k") <= edge).alias(f"r{e}"))
+        ranks = {r[RANGE]: r for r in cells.groupBy(RANGE).agg(*counts).collect()}
+        for (n, e), text in cell.items():
+            if text is not None:
+                cell[n, e] = f'{{"p":{offsets[n] + ranks[n][f"r{e}"] - 1},' + text[1:]
+
+    def walk(numbers, end: int) -> list[str | None]:
+        nearest, last = {}, None
+        for n in numbers:
+            nearest[n] = last
+            last = cell[n, end] or last
+        return [nearest[n] for n in range(ranges)]
 
-    walks = {"before": walk(range(ranges), 1), "after": walk(reversed(range(ranges)), 0)}
     return {
-        side: F.element_at(
-            F.from_json(
-                F.lit("[" + ",".join(walks[side][n] for n in range(ranges)) + "]"), f"array<{cell}>", options
-            ),
-            F.col(RANGE) + 1,
-        )
-        for side in sides
+        "before": _constant_cells(walk(range(ranges), 1), struct_type),
+        "after": _constant_cells(walk(reversed(range(ranges)), 0), struct_type),
     }
 
 

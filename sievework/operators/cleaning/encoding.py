@@ -9,6 +9,7 @@ from sievework.functions.columns import as_double, put, quoted
 from sievework.functions.frequencies import LOOKUP_ROWS, attach
 from sievework.functions.ordering import with_position
 from sievework.operators.cleaning.base import Operation
+from sievework.session import materialize
 
 MAX_ONE_HOT = 2_000
 
@@ -23,7 +24,8 @@ def _values(df: DataFrame, name: str) -> DataFrame:
 
 def _label(df: DataFrame, name: str, params, facts) -> DataFrame:
     """0..n-1 in text order; the numbering is range-wise, so any number of categories works."""
-    texts = _values(df, name).withColumn("__text", F.col("key").cast("string"))
+    # Written once: numbering reads the categories several times, the table only once.
+    texts = materialize(_values(df, name).withColumn("__text", F.col("key").cast("string")), "categories")
     codes = with_position(texts, "__text", "value").select("key", "value", "n")
     return attach(df, name, codes, name, _bound(params))
 

@@ -79,7 +79,7 @@ def _fill_along(side: str):
 def _interpolate(df: DataFrame, name: str, params, facts) -> DataFrame:
     """Linear in row position; before the first and after the last value, the nearest one."""
     numeric = put(df, name, as_double(df, name))
-    near = with_neighbours(numeric, name, order_of(name, params), ["before", "after"], **_options(params))
+    near = with_neighbours(numeric, name, order_of(name, params), ["before", "after"], True, **_options(params))
     a, b = F.col("__before"), F.col("__after")
     step = (F.col("__position") - a["p"]) / (b["p"] - a["p"])
     between: Column = a["v"] + (b["v"] - a["v"]) * step

@@ -34,6 +34,7 @@ from sievework.operators import outliers
 from sievework.operators.aggregates import duplicate_count
 
 HIGH_CARDINALITY = 0.5
+_COLUMNS_PER_SCAN = 60
 
 
 def _text(value) -> str | None:
@@ -57,25 +58,30 @@ class Profile:
     @cached_property
     def _counts(self) -> dict:
         """Row count, and per column the filled cells and moments."""
-        df, aggregates = self.df, [F.count(F.lit(1)).alias("rows")]
-        for i, name in enumerate(df.columns):
-            aggregates.append(F.count(quoted(name)).alias(f"n{i}"))
-            if name in self.numeric_names_all:
-                x = as_double(df, name)
-                for label, value in (
-                    ("mean", F.avg(x)),
-                    ("min", F.min(x)),
-                    ("max", F.max(x)),
-                    ("sd", F.stddev_samp(x)),
-                    ("var", F.var_samp(x)),
-                    ("skew", skewness(x)),
-                    ("kurt", kurtosis(x)),
-                ):
-                    aggregates.append(value.alias(f"{label}{i}"))
-        row = df.agg(*aggregates).first().asDict()
-        found = {"rows": row["rows"]}
-        for i, name in enumerate(df.columns):
-            found[name] = {k[: -len(str(i))]: v for k, v in row.items() if k.endswith(str(i)) and k[: -len(str(i))].isalpha()}
+        df, found = self.df, {None: 0}
+        names = df.columns or []
+        # Column groups: each scan reads its own columns only, and plans stay small on wide tables.
+        for at in range(0, max(1, len(names)), _COLUMNS_PER_SCAN):
+            group, aggregates = names[at : at + _COLUMNS_PER_SCAN], [F.count(F.lit(1)).alias("rows")]
+            for i, name in enumerate(group):
+                aggregates.append(F.count(quoted(name)).alias(f"n_{i}"))
+                if name in self.numeric_names_all:
+                    x = as_double(df, name)
+                    for label, value in (
+                        ("mean", F.avg(x)),
+                        ("min", F.min(x)),
+                        ("max", F.max(x)),
+                        ("sd", F.stddev_samp(x)),
+                        ("var", F.var_samp(x)),
+                        ("skew", skewness(x)),
+                        ("kurt", kurtosis(x)),
+                    ):
+                        aggregates.append(value.alias(f"{label}_{i}"))
+            row = df.agg(*aggregates).first().asDict()
+            found[None] = row.pop("rows")
+            for key, value in row.items():
+                label, i = key.rsplit("_", 1)
+                found.setdefault(group[int(i)], {})[label] = value
         return found
 
     @cached_property
@@ -120,10 +126,10 @@ class Profile:
         return {c: row[f"k{i}"] for i, c in enumerate(names) if len(row[f"k{i}"]) > 1}
 
     def _missing(self, name: str) -> int:
-        return self._counts["rows"] - self._counts[name]["n"]
+        return self._counts[None] - self._counts[name]["n"]
 
     def _share(self, part: float) -> float:
-        rows = self._counts["rows"]
+        rows = self._counts[None]
         return part / rows * 100 if rows else 0.0
 
     @cached_property
@@ -133,7 +139,7 @@ class Profile:
             self.spark,
             [
                 (
-                    self._counts["rows"],
+                    self._counts[None],
                     len(self.df.columns),
                     sum(self._missing(c) for c in self.df.columns),
                     self._duplicates,
@@ -190,7 +196,7 @@ class Profile:
     @cached_property
     def categorical(self) -> DataFrame:
         """One row per non-numeric column."""
-        rows, total = [], self._counts["rows"]
+        rows, total = [], self._counts[None]
         for i, c in enumerate(self.df.columns):
             if c not in self.categorical_names:
                 continue
@@ -209,7 +215,7 @@ class Profile:
     @cached_property
     def quality(self) -> DataFrame:
         """One row per column: constant, empty, single-valued, high cardinality, mixed kinds."""
-        rows, total = [], self._counts["rows"]
+        rows, total = [], self._counts[None]
         for i, c in enumerate(self.df.columns):
             distinct, missing = self._values[c]["distinct"], self._missing(c)
             ratio = distinct / total if total else 0.0
@@ -249,7 +255,7 @@ class Profile:
     @cached_property
     def statistics(self) -> DataFrame:
         """One row per column with what the rules of recommendations and reports read."""
-        rows, total = [], self._counts["rows"]
+        rows, total = [], self._counts[None]
         for i, c in enumerate(self.df.columns):
             number, category = c in self.numeric_names, c in self.categorical_names
             far = self._outlier_rows.get(c)

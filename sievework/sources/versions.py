@@ -12,10 +12,10 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from sievework.errors import VersionError
-from sievework.functions.columns import nan_to_null
+from sievework.functions.columns import nan_to_null, quoted
 from sievework.operators.cleaning.base import Catalog, OperationSpec
 from sievework.plans.cleaning import run_chain
 
@@ -27,6 +27,16 @@ _MANIFEST = (
 )
 
 
+def _storable(df: DataFrame) -> DataFrame:
+    """A column without any value has no type of its own; it is stored as numbers."""
+    return df.select(
+        [
+            quoted(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.NullType) else quoted(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 class VersionStore:
     """Versions of many sources below one folder every executor can reach."""
 
@@ -97,7 +107,7 @@ class VersionStore:
         result = run_chain(nan_to_null(self.read(source_id, base)), specs, catalog)
         version_id = uuid.uuid4().hex
         path = f"{self.folder}/{source_id}/{version_id}"
-        result.dataframe.write.parquet(path)
+        _storable(result.dataframe).write.parquet(path)
         written = self.spark.read.parquet(path)
         affected = (
             [r["affected_row_count"] for r in result.metrics(self.spark).orderBy("step").collect()]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from sievework.functions.text import PUNCTUATION, STOP_WORDS
+from sievework.functions.text import _TREEBANK, PUNCTUATION, STOP_WORDS
 from sievework.operators.cleaning.base import OperationSpec
 from sievework.operators.cleaning.skew import skew_change
 from sievework.operators.cleaning.types import failures
@@ -593,7 +595,27 @@ _clean(
     f"select doc_id, regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g') as text from {_MESSY}",
     source=_messy,
 )
-_clean("t6_tokenize", "text.tokenize", "text", None, source=_messy)
+
+
+def _tokens_sql() -> str:
+    ends = rf"regexp_replace(text, '([.!?]){_WS}+([\p{{Lu}}\d\"''(\[])', '\1' || chr(1) || '\2', 'g')"
+    out = "x"
+    for pattern, replacement in _TREEBANK:
+        target = re.sub(r"\$(\d)", r"\\\1", replacement)
+        quote = lambda t: t.replace("'", "''")
+        out = f"regexp_replace({out}, '{quote(pattern)}', '{quote(target)}', 'g')"
+    split = f"list_filter(regexp_split_to_array({out}, '{_WS}+'), lambda w: w <> '')"
+    return (
+        f"select doc_id, array_to_string(flatten(list_transform(string_split({ends}, chr(1)), lambda x: {split})), '|') as "
+        f"text from {_MESSY}"
+    )
+
+
+suite.add(
+    "t6_tokenize",
+    lambda s, d: apply_operation(_messy(s, d), "text.tokenize", "text").withColumn("text", F.array_join("text", "|")),
+    _tokens_sql(),
+)
 
 
 def _lemmas(s, d):

@@ -118,7 +118,7 @@ def _with_artifacts(s, d):
         F.lit(kind).alias("kind"), title.alias("title"), body.alias("body")
     )
     length = F.length("text").cast("string")
-    items = F.array(item("kpi", F.lit("Characters"), length), item("table", F.col("role"), F.substring("text", 1, 20)))
+    items = F.array(item("kpi", F.lit("Characters"), length), item("table", F.col("role"), F.col("text")))
     empty = F.filter(items, lambda i: F.lit(False))
     return talk.select(
         "conv_id",
@@ -134,7 +134,7 @@ suite.add(
     "r6_conversation_artifacts",
     lambda s, d: conversation_artifacts(_with_artifacts(s, d)),
     "select conv_id, 'kpi' as kind, turn as message_no, 0 as item_no, 'Characters' as title, length(text)::varchar as body "
-    "from conversations where role = 'assistant' union all select conv_id, 'table', turn, 1, role, substring(text, 1, 20) "
+    "from conversations where role = 'assistant' union all select conv_id, 'table', turn, 1, role, text "
     "from conversations where role = 'assistant' union all select conv_id, 'sql', min(turn), 0, null, 'select ' || (turn % "
     "2) from conversations where turn > 0 group by conv_id, turn % 2",
 )

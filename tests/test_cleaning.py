@@ -263,10 +263,9 @@ def test_tokens(spark):
     text = "He said, \"don't stop\". It cost $3.50 (tax incl.)! We cannot go... they'll see."
     found = spark.createDataFrame([(text,)], "t string").select(tokenize(F.col("t")).alias("t")).first()["t"]
     assert found == [
-        "He", "said", ",", "``", "do", "n't", "stop", "''", ".", "It", "cost", "$", "3.50", "(", "tax", "incl", ".", ")", "!",
+        "He", "said", ",", "``", "do", "n't", "stop", "''", ".", "It", "cost", "$", "3.50", "(", "tax", "incl.", ")", "!",
         "We", "can", "not", "go", "...", "they", "'ll", "see", ".",
-    ] or found[:7] == ["He", "said", ",", "``", "do", "n't", "stop"]
-    assert "can" in found and "not" in found and "'ll" in found and found[-1] == "."
+    ]
 
 
 def test_text_rules(spark):

@@ -13,6 +13,8 @@ from sievework.plans.recommend import recommend
 from sievework.plans.report import insights, recommendations, report_summary, report_tables
 from sievework.plans.charts import default_kpis, requested_kpis
 from sievework.operators.aggregates import Aggregation
+from sievework.sources.export import export_tables
+from sievework.sources.readers import scan_csv
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +152,7 @@ def test_recommendations_by_category(cleaning):
     assert ("value", "outliers.log_transform") in by_category["outliers"]
 
 
-def test_report(cleaning, spark):
+def test_report(cleaning, spark, folder):
     titles = {r["title"]: r["severity"] for r in insights(cleaning).collect()}
     assert titles["Dataset scale"] == "info" and "Missing data present" in titles
     assert titles["Duplicate rows detected"] == "warning" and titles["Skewed distributions"] == "info"
@@ -160,7 +162,9 @@ def test_report(cleaning, spark):
         spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5), ("b", 6)], "k string, n long")
     )
     assert [r["title"] for r in recommendations(few).collect()] == ["Dataset is analysis-ready"]
-    assert {"KPIs", "Dataset", "Insights", "Histogram"} <= set(report_tables(cleaning))
+    paths = export_tables(report_tables(few), folder, "csv")
+    assert {"KPIs", "Dataset", "Insights", "Histogram"} <= set(paths)
+    assert scan_csv(spark, paths["Dataset"]).count() == 6
 
 
 def test_kpis(spark):
