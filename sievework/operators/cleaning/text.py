@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -26,6 +27,7 @@ from sievework.errors import OperationError
 LEMMA_ROWS = 1_000_000
 _SALTS = 64
 _FREQUENT_TEXTS = 1_000
+_MOST_TERMS = 5_000
 
 
 def _replace(key: str, label: str, change: Callable[[Column, dict], Column]) -> Operation:
@@ -107,40 +109,44 @@ def vocabulary(df: DataFrame, name: str, size: int = 50) -> list[str]:
     return sorted(r["term"] for r in counted.collect())
 
 
+def _kept(name: str, known: list[str]) -> Column:
+    return F.filter(terms(as_text(quoted(name))), lambda t: t.isin(known))
+
+
 def _with_counts(df: DataFrame, name: str, known: list[str]) -> tuple[DataFrame, list[Column]]:
     """Counts per vocabulary term, row by row.
 
-    The text is reduced to its vocabulary terms, set apart by double blanks;
-    how much shorter it gets without a term tells how often the term occurs.
+    Each vocabulary term of a text becomes one character; how much shorter the
+    line gets without a character tells how often its term occurs.
     """
-    kept = F.filter(terms(as_text(quoted(name))), lambda t: t.isin(known))
-    line = F.concat(F.lit(" "), F.array_join(kept, "  "), F.lit(" "))
+    letters = [chr(0x4E00 + i) for i in range(len(known))]  # any distinct characters will do
+    places = F.array(*[F.lit(t) for t in known])
+    letter = lambda t: F.substring(F.lit("".join(letters)), F.array_position(places, t).cast("int"), F.lit(1))
+    line = F.array_join(F.transform(_kept(name, known), letter), "") if known else F.lit("")
     base = df.withColumn("__line", line)
     full = F.length("__line")
-    counts = []
-    for term in known:
-        rest = F.length(F.replace(F.col("__line"), F.lit(f" {term} "), F.lit("")))
-        counts.append((full - rest) / (len(term) + 2))
-    return base, counts
+    return base, [full - F.length(F.replace(F.col("__line"), F.lit(c), F.lit(""))) for c in letters]
 
 
 def _learn_terms(df: DataFrame, name: str, params) -> dict:
-    return {"terms": vocabulary(df, name, int(params.get("max_features", 50)))}
+    size = int(params.get("max_features", 50))
+    if not 0 < size <= _MOST_TERMS:
+        raise OperationError(f"params.max_features must be 1 to {_MOST_TERMS}: every term becomes a column.")
+    return {"terms": vocabulary(df, name, size)}
 
 
 def _learn_idf(df: DataFrame, name: str, params) -> dict:
     facts = _learn_terms(df, name, params)
-    base, counts = _with_counts(df, name, facts["terms"])
-    # ln((1 + rows) / (1 + rows with the term)) + 1
-    row = base.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(c > 0).alias(f"d{i}") for i, c in enumerate(counts)]
-    ).select(
-        *[
-            (F.log((F.col("rows") + 1) / (F.col(f"d{i}") + 1)) + 1).alias(f"w{i}")
-            for i in range(len(counts))
-        ]
+    known = facts["terms"]
+    rows = df.count()
+    found = dict(
+        df.select(F.explode(F.array_distinct(_kept(name, known))).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)))
+        .collect()
     )
-    return facts | {"weights": list(row.first()) if counts else []}
+    # ln((1 + rows) / (1 + rows with the term)) + 1
+    return facts | {"weights": [math.log((1 + rows) / (1 + found.get(t, 0))) + 1 for t in known]}
 
 
 def _bag(df: DataFrame, name: str, params, facts) -> DataFrame:
