@@ -206,7 +206,7 @@ _clean(
 suite.add(
     "d4_duplicate_metrics",
     lambda s, d: run_chain(_documents(s, d), [OperationSpec("duplicates.keep_unique")]).metrics(s),
-    "select 1 as step, 'duplicates.keep_unique' as operation_key, null as column_name, coalesce(sum(n)::bigint, 0) as "
+    "select 1 as step, 'duplicates.keep_unique' as operation_key, null::varchar as column_name, coalesce(sum(n)::bigint, 0) as "
     "affected_row_count, 3::bigint as affected_column_count from (select count(*) as n from documents group by text, lang, "
     "source) where n > 1",
 )

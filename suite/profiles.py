@@ -158,7 +158,7 @@ suite.add(
     lambda s, d: build_profile(_mixed_cells(s, d)).quality.select(
         "column_name", "is_mixed_type", F.array_join("observed_kinds", ",").alias("kinds")
     ),
-    "select 'event_id' as column_name, false as is_mixed_type, null as kinds union all select 'event_type', false, null "
+    "select 'event_id' as column_name, false as is_mixed_type, null::varchar as kinds union all select 'event_type', false, null "
     "union all select 'cell', count(distinct kind) > 1, string_agg(distinct kind, ',' order by kind) from (select case "
     "when regexp_matches(cell, '^[0-9]+$') then 'int' when try_cast(cell as double) is not null then 'float' when cell "
     f"in ('true', 'false') then 'bool' when try_cast(cell as date) is not null then 'timestamp' else 'text' end as kind "
