@@ -446,12 +446,12 @@ suite.add(
 
 suite.add(
     "v1_chart_histogram",
-    lambda s, d: rounded(charts.histogram(table(s, d, "orders"), "o_totalprice"), 4),
+    lambda s, d: rounded(charts.histogram(table(s, d, "orders"), "o_totalprice"), 6),
     "with p as (select min(o_totalprice) as lo, max(o_totalprice) as hi, least(40, greatest(10, count(*) // 20)) as n "
     "from orders), b as (select unnest(range((select n from p))) as bucket), h as (select least(n - 1, "
     "floor((o_totalprice - lo) / ((hi - lo) / n))) as bucket, count(*) as k from orders, p group by 1) select "
-    "b.bucket::int as bucket, round(lo + b.bucket * ((hi - lo) / n), 4) as lower, round(lo + (b.bucket + 1) * ((hi - lo) "
-    "/ n), 4) as upper, coalesce(k, 0) as count from b cross join p left join h on h.bucket = b.bucket",
+    "b.bucket::int as bucket, round(lo + b.bucket * ((hi - lo) / n), 6) as lower, round(lo + (b.bucket + 1) * ((hi - lo) "
+    "/ n), 6) as upper, coalesce(k, 0) as count from b cross join p left join h on h.bucket = b.bucket",
 )
 suite.add(
     "v2_chart_scatter",
