@@ -40,6 +40,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged j join verdicts v on j.source is not distinct from v.source
 """
 
+OP8_LINE_DEDUP = r"""
+with lines as (
+  select r, doc_id, i, line, key from (
+    select r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from (select r, doc_id, unnest(l) as line, unnest(range(len(l))) as i
+      from (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)))),
+shared as (
+  select key, min(coalesce(doc_id, 9223372036854775807)) as first_doc from lines where length(key) >= 10
+  group by key having count(distinct coalesce(doc_id, 9223372036854775807)) > 1),
+marked as (
+  select l.*, s.key is not null and coalesce(l.doc_id, 9223372036854775807) <> s.first_doc as gone
+  from lines l left join shared s using (key))
+select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by r, doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_QUALITY_RULES}
+    return {
+        "op1_quality_rules": OP1_QUALITY_RULES,
+        "op8_line_dedup": OP8_LINE_DEDUP,
+    }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sievework.llm.line_dedup import line_dedup
 from sievework.llm.quality_rules import quality_rules
 from sievework.session import ship_package
 
@@ -22,5 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, digest_only=True).select("doc_id", "lines.*")
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules,)}
+    return {q.__name__: q for q in (op1_quality_rules, op8_line_dedup)}
