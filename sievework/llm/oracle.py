@@ -58,9 +58,29 @@ select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
 from marked group by r, doc_id
 """
 
+OP2_NGRAM_JOIN = r"""
+with recursive words as (
+  select coalesce(doc_id, 9223372036854775807) as d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select d, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as s
+  from words),
+items as (select d, len(s) as n, unnest(s) as x from sets),
+pairs as (
+  select a.d as d, b.d as e from items a join items b on a.x = b.x and a.d <> b.d
+  group by a.d, b.d, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))),
+reach as (
+  select d, d as e from sets union select r.d, p.e from reach r join pairs p on p.d = r.e),
+least_ as (select d, min(e) as c from reach group by d),
+degrees as (select d, count(*) as k from pairs group by d)
+select nullif(s.d, 9223372036854775807) as doc_id, nullif(c, 9223372036854775807) as class_id, coalesce(k, 0)::bigint as n_links
+from sets s join least_ using (d) left join degrees using (d)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_QUALITY_RULES,
+        "op2_ngram_join": OP2_NGRAM_JOIN,
         "op8_line_dedup": OP8_LINE_DEDUP,
     }

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievework.llm.line_dedup import line_dedup
+from sievework.llm.mixing import mix
+from sievework.llm.ngram_join import ngram_join
 from sievework.llm.quality_rules import quality_rules
 from sievework.session import ship_package
 
@@ -23,10 +25,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, digest_only=True).select("doc_id", "lines.*")
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op8_line_dedup)}
+    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op8_line_dedup)}
