@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sievework.llm.line_dedup import line_dedup
 from sievework.llm.mixing import mix
 from sievework.llm.ngram_join import ngram_join
+from sievework.llm.packing import best_fit_packing
 from sievework.llm.quality_rules import quality_rules
 from sievework.session import ship_package
 
@@ -34,10 +35,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit_packing(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, digest_only=True).select("doc_id", "lines.*")
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op8_line_dedup)}
+    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op6_packing, op8_line_dedup)}
