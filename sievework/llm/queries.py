@@ -11,6 +11,8 @@ from sievework.llm.mixing import mix
 from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import best_fit_packing
 from sievework.llm.quality_rules import quality_rules
+from sievework.llm.secret_scan import secret_scan
+from sievework.llm.toxicity import toxicity
 from sievework.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +42,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, digest_only=True).select("doc_id", "lines.*")
 
 
+def _remainder():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_remainder() != 1)
+    scored = toxicity(docs, labels)
+    held_out = F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op6_packing, op8_line_dedup)}
+    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op6_packing, op7_secret_scan, op8_line_dedup, op9_toxicity)}
