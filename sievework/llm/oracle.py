@@ -77,10 +77,31 @@ select nullif(s.d, 9223372036854775807) as doc_id, nullif(c, 9223372036854775807
 from sets s join least_ using (d) left join degrees using (d)
 """
 
+OP4_TOOL_CALLS = r"""
+with talks as (select conv_id, turn, role, text from conversations),
+calls as (
+  select u.conv_id, 'c' || u.turn as call_id, u.turn, u.text, r.turn as result_turn, r.text as content, r.conv_id is not null as answered
+  from talks u left join talks r on r.conv_id = u.conv_id and r.turn = u.turn + 1 and r.role = 'assistant'
+  where u.role = 'user')
+select conv_id, call_id, 'call' as kind, turn, result_turn, turn as order_turn, 0 as order_level, '' as errors,
+  '{"arguments":{"message":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"'
+    || case when answered then ',"result":' || to_json(content) else '' end || '}' as json
+from calls
+union all
+select r.conv_id, 'c' || (r.turn - 1), 'orphan_result', r.turn, r.turn, r.turn, 0, '',
+  '{"content":' || to_json(r.text) || ',"id":"c' || (r.turn - 1) || '"}'
+from talks r where role = 'assistant'
+  and not exists (select 1 from talks u where u.conv_id = r.conv_id and u.turn = r.turn - 1 and u.role = 'user')
+union all
+select conv_id, null, 'message', turn, null, turn, 0, '', '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}'
+from talks where role not in ('user', 'assistant')
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_QUALITY_RULES,
         "op2_ngram_join": OP2_NGRAM_JOIN,
+        "op4_tool_calls": OP4_TOOL_CALLS,
         "op8_line_dedup": OP8_LINE_DEDUP,
     }

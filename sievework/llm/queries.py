@@ -12,7 +12,10 @@ from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import best_fit_packing
 from sievework.llm.quality_rules import quality_rules
 from sievework.llm.secret_scan import secret_scan
+from sievework.llm.tool_calls import link_calls, message_json
 from sievework.llm.toxicity import toxicity
+from sievework.llm.url_filter import RULES, url_filter
+from sievework.llm.vector_search import search
 from sievework.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,41 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+#: What a user's turn asks of the assistant, as a tool.
+REPLY = {"reply": {"message": ("string", True), "turn": ("integer", True)}}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn calls the tool ``reply``, needs the user turn two before it, and gets the next assistant turn.
+
+    Other messages are rows of kind ``message``.
+    """
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+    def named(turn):
+        return F.concat(F.lit("c"), turn.cast("string"))
+
+    turn = F.col("turn")
+    calls = talks.filter("role = 'user'").select(
+        "conv_id", "turn", named(turn).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("message"))).alias("arguments"), F.array(named(turn - 2)).alias("depends_on"),
+    )
+    results = talks.filter("role = 'assistant'").select("conv_id", "turn", named(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = link_calls(calls, results, REPLY)
+    plain = talks.filter("role is null or role not in ('user', 'assistant')").select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("kind"), "turn", F.lit(None).cast("long").alias("result_turn"),
+        F.col("turn").alias("order_turn"), F.lit(0).alias("order_level"), F.array().cast("array<string>").alias("errors"),
+        message_json("role", "text").alias("json"),
+    )
+    rows = linked.unionByName(plain)
+    return rows.withColumn("errors", F.array_join("errors", "; "))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return best_fit_packing(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -64,5 +102,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op6_packing, op7_secret_scan, op8_line_dedup, op9_toxicity)}
+    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op4_tool_calls, op5_url_filter, op6_packing, op7_secret_scan, op8_line_dedup, op9_toxicity, op10_vector_search)}
