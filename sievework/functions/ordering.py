@@ -21,9 +21,15 @@ from sievework.functions.columns import is_boolean, is_numeric, is_temporal, is_
 
 RANGE = "__range"
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 16_384
 _SAMPLE_PER_RANGE = 32
-_TEXT_PREFIX = 64
+#: Ranges up to which so many keys are sampled for each; beyond, fewer are, since many ranges even out.
+_WELL_SAMPLED = 16_384
+_FAN = 16
+_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
 
 
 @dataclass(frozen=True)
@@ -49,7 +55,7 @@ def sort_columns(keys: Sequence[str | Order] | str | Order) -> list[Column]:
 
 
 def _range_key(df: DataFrame, keys: list[Order]) -> Column | None:
-    """A struct that compares like the sort keys (or like a prefix of them)."""
+    """A struct that compares like the sort keys, up to the first key of a type without an order."""
     fields: list[Column] = []
     for i, order in enumerate(keys):
         data_type, column = type_of(df, order.column), quoted(order.column)
@@ -65,17 +71,24 @@ def _range_key(df: DataFrame, keys: list[Order]) -> Column | None:
             value = column.cast("long")
         elif is_integral(data_type):
             value = column.cast("long")
+        elif isinstance(data_type, T.DecimalType):
+            value = column  # a double would tie or reorder long keys
         elif is_numeric(data_type):
             value = column.cast("double")
-        elif is_text(data_type) and order.ascending:
-            # A prefix orders like the whole text, but ties may remain: stop here.
-            fields += [column.isNull().alias(f"n{i}"), F.substring(column, 1, _TEXT_PREFIX).alias(f"v{i}")]
-            break
+        elif is_text(data_type):
+            value = column
+        elif isinstance(data_type, T.BinaryType):
+            value = F.hex(column)
         else:
             break
         if not order.ascending:
-            fractional = is_numeric(data_type) and not is_integral(data_type)
-            value = -value if fractional else F.bitwise_not(value)
+            if is_text(data_type) or isinstance(data_type, T.BinaryType):
+                # Complemented digits order backwards; the closing G puts a text after its extensions.
+                digits = value if isinstance(data_type, T.BinaryType) else F.hex(column)
+                value = F.concat(F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+            else:
+                fractional = is_numeric(data_type) and not is_integral(data_type)
+                value = -value if fractional else F.bitwise_not(value)
         fields += [column.isNull().alias(f"n{i}"), value.alias(f"v{i}")]
     return F.struct(*fields) if fields else None
 
@@ -94,38 +107,37 @@ def with_range(
     """Add ``__range``, a number that never decreases along the sort keys."""
     ordering = orders(keys)
     total = df.count() if rows is None else rows
-    wanted = min(MAX_RANGES, math.ceil(total / rows_per_range)) if total else 1
+    wanted = math.ceil(total / rows_per_range) if total else 1
     key = _range_key(df, ordering)
     if wanted <= 1 or key is None:
         return df.withColumn(RANGE, F.lit(0)), 1
 
-    share = min(1.0, wanted * _SAMPLE_PER_RANGE / total)
-    # At most about MAX_RANGES * 32 short keys reach the driver.
+    per_range = _SAMPLE_PER_RANGE if wanted <= _WELL_SAMPLED else max(4, _SAMPLE_PER_RANGE * _WELL_SAMPLED // wanted)
+    share = min(1.0, wanted * per_range / total)
+    # A few keys of each range reach the driver.
     sampled = df.select(key.alias("k")).sample(share, seed=17)
     schema = sampled.schema["k"].dataType.simpleString()
-    texts = [r[0] for r in sampled.orderBy("k").select(F.to_json("k")).collect()]
+    texts = [r[0] for r in sampled.orderBy("k").select(F.to_json("k", _JSON)).collect()]
     step = max(1, len(texts) // wanted)
     borders = list(dict.fromkeys(texts[step::step]))
     if not borders:
         return df.withColumn(RANGE, F.lit(0)), 1
 
-    # Two-level lookup: about 2 * sqrt(ranges) comparisons per row.
-    width = max(1, math.isqrt(len(borders)))
-    blocks = [borders[i : i + width] for i in range(0, len(borders), width)]
-    firsts = F.from_json(F.lit("[" + ",".join(b[0] for b in blocks) + "]"), f"array<{schema}>")
-    nested = F.from_json(
-        F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<array<{schema}>>"
-    )
-    block = F.size(F.filter(firsts, lambda b: b <= F.col("__key")))
-    inner = F.size(F.filter(F.element_at(nested, F.col("__block")), lambda b: b <= F.col("__key")))
-    number = F.when(F.col("__block") == 0, F.lit(0)).otherwise((F.col("__block") - 1) * width + inner)
-    out = (
-        df.withColumn("__key", key)
-        .withColumn("__block", block)
-        .withColumn(RANGE, number)
-        .drop("__key", "__block")
-    )
-    return out, len(borders) + 1
+    # A search tree over the borders: about 16 comparisons per level, a level for each power of 16.
+    levels, firsts = [], borders
+    while not levels or len(levels[-1]) > 1:
+        levels.append([firsts[i : i + _FAN] for i in range(0, len(firsts), _FAN)])
+        firsts = [group[0] for group in levels[-1]]
+    out = df.withColumn("__key", key).withColumn("__node", F.lit(1))
+    for groups in reversed(levels):
+        nested = F.from_json(
+            F.lit("[" + ",".join("[" + ",".join(g) + "]" for g in groups) + "]"), f"array<array<{schema}>>", _JSON
+        )
+        own = F.element_at(nested, F.greatest(F.col("__node"), F.lit(1)))
+        passed = F.size(F.filter(own, lambda b: b <= F.col("__key")))
+        below = (F.col("__node") == 0) | (passed == 0)  # only keys before the first border
+        out = out.withColumn("__node", F.when(below, F.lit(0)).otherwise((F.col("__node") - 1) * _FAN + passed))
+    return out.withColumnRenamed("__node", RANGE).drop("__key"), len(borders) + 1
 
 
 def range_offsets(ranged: DataFrame, ranges: int, weight: Column | None = None) -> list[int]:
@@ -190,11 +202,6 @@ def with_neighbours(
     return placed.drop("__seen", RANGE)
 
 
-_JSON = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "ignoreNullFields": "false",
-}
 
 
 def _constant_cells(texts: list[str | None], struct_type: str) -> Column:

@@ -73,7 +73,9 @@ def parse_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Colu
         F.when(trimmed.rlike(_shape_of(f)) if re.fullmatch(r"[yMdHms\W]+", f) else F.lit(True), F.try_to_timestamp(trimmed, F.lit(f)))
         for f in formats
     ]
-    # A date holds a digit and is short: most texts are settled by this test alone.
+    if formats is not DATE_FORMATS:
+        return F.coalesce(parsed, *tried)
+    # All of these layouts hold a digit and are short: most texts are settled by this test alone.
     likely = (F.length(trimmed) <= 64) & trimmed.rlike(r"\d")
     return F.when(likely, F.coalesce(parsed, *tried))
 

@@ -197,7 +197,7 @@ def category_counts(
         counted.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= top)
         .join(F.broadcast(few), "column_id", "left_semi")  # at most one row per column
-        .select(labels.alias("column_name"), shown(F.col("value")).alias("value"), F.col("n").alias("count"))
+        .select(labels.alias("column_name"), shown(counted).alias("value"), F.col("n").alias("count"))
     )
 
 

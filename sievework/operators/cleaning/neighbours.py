@@ -27,7 +27,6 @@ from sievework.functions.frequencies import attach
 from sievework.session import materialize
 
 _SAMPLE = 50_000
-_MAX_LEAVES = 65_536
 _GAPS_PER_TASK = 20_000
 _CHUNK_CELLS = 4_000_000
 
@@ -80,7 +79,7 @@ def _search(
     """(q, mean): the mean target value of the k nearest donors of each gap vector."""
     donors = distinct.filter(F.col(f"x{target}").isNotNull())
     total = donors.count()
-    leaves = min(_MAX_LEAVES, 1 << max(0, math.ceil(math.log2(max(1, total / leaf_rows)))))
+    leaves = 1 << max(0, math.ceil(math.log2(max(1, total / leaf_rows))))
     tree = _grow(_sampled(donors, xs, total), leaves)
     leaf_of = _leaf_udf(tree)
     if len(tree) > 1:

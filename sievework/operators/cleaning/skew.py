@@ -24,17 +24,11 @@ def _not_negative(name: str, params, facts) -> None:
 
 def _scores(rows: DataFrame, transform: Callable[[Column, Column], Column], grid: list[float]) -> list[float]:
     """The log-likelihood at each power of the grid: one scan, one total per power is shuffled."""
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(grid)])
-    spread = F.nullif(F.var_pop(transform(F.col("x"), F.col("g.p"))), F.lit(0.0))
-    scored = (
-        rows.withColumn("g", F.explode(points))
-        .groupBy("g")
-        .agg((-F.count("x") / 2 * F.log(spread) + (F.col("g.p") - 1) * F.sum("j")).alias("score"))
-        .select("g.i", "score")
-        .collect()
-    )
+    spreads = [F.nullif(F.var_pop(transform(F.col("x"), F.lit(float(p)))), F.lit(0.0)) for p in grid]
+    scores = [-F.count("x") / 2 * F.log(v) + (p - 1) * F.sum("j") for v, p in zip(spreads, grid)]
+    scored = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(scores)]).first()
     found = [-math.inf] * len(grid)
-    for i, score in scored:
+    for i, score in enumerate(scored):
         if score is not None and not math.isnan(score):
             found[i] = score
     return found

@@ -50,7 +50,8 @@ def lemmatize(df: DataFrame, name: str, lemmas: DataFrame, bound: int = LEMMA_RO
     into their words, each distinct word is looked up once, and the words are
     put together again by position.
     """
-    changes = lemmas.filter(F.col("word") != F.col("lemma")).select("word", "lemma")
+    # A word with several lemmas gets the smallest, however large the dictionary is.
+    changes = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")).filter(F.col("word") != F.col("lemma"))
     rows = changes.limit(bound + 1).collect()
     text = as_text(quoted(name))
     if len(rows) > bound:
@@ -66,10 +67,11 @@ def lemmatize(df: DataFrame, name: str, lemmas: DataFrame, bound: int = LEMMA_RO
 
 
 def _lemmatize_by_join(df: DataFrame, name: str, changes: DataFrame) -> DataFrame:
-    """Distinct texts are taken apart into distinct words, so copies and frequent words travel once per text."""
-    marked = df.withColumn("__t", as_text(quoted(name)))
+    """Distinct texts are taken apart into distinct words; a digest stands for the text, so words travel alone."""
+    marked = df.withColumn("__t", F.unhex(F.md5(as_text(quoted(name)))))
     texts = marked.groupBy("__t").agg(F.count(F.lit(1)).alias("n"))
-    pairs = texts.select("__t", F.explode(F.array_distinct(words(F.col("__t")))).alias("word"))
+    own = marked.select("__t", F.explode(F.array_distinct(words(as_text(quoted(name))))).alias("word"))
+    pairs = own.distinct()
     # The salt spreads a frequent word over many tasks; its lemma row is repeated to match.
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("__t"), F.lit(_SALTS)))
     salts = F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))
@@ -79,7 +81,7 @@ def _lemmatize_by_join(df: DataFrame, name: str, changes: DataFrame) -> DataFram
         F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("value")
     )
     lookup = found.join(texts, "__t").select(F.col("__t").alias("key"), "value", "n")
-    text = F.struct(F.col("__t").alias("t"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    text = F.struct(as_text(quoted(name)).alias("t"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     joined = attach(marked.select("__t", text.alias("__row")), "__t", lookup, "__m", _FREQUENT_TEXTS)
     parts = words(F.col("__row.t"))
     value = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at("__m", w), w)), " ")

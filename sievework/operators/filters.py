@@ -33,6 +33,13 @@ class Filtered(NamedTuple):
     total: DataFrame
 
 
+#: Date layouts tried after ISO; a month comes before a day where both are numbers.
+_LAYOUTS = (
+    "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%d-%b-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y",
+    "%B %d, %Y", "%Y%m%d",
+)
+
+
 def coerce_literal(df: DataFrame, column: str, value: Any) -> Any:
     """The Python value to compare ``column`` with; unusable numbers and dates are errors."""
     data_type = type_of(df, column)
@@ -56,10 +63,13 @@ def coerce_literal(df: DataFrame, column: str, value: Any) -> Any:
     if is_temporal(data_type):
         if isinstance(value, (datetime, date)):
             return value
-        try:
-            return datetime.fromisoformat(str(value).strip())
-        except ValueError as error:
-            raise FilterError(f"'{value}' is not a date or time ('{column}').") from error
+        for layout in (None, *_LAYOUTS):
+            try:
+                text = str(value).strip()
+                return datetime.fromisoformat(text) if layout is None else datetime.strptime(text, layout)
+            except ValueError:
+                continue
+        raise FilterError(f"'{value}' is not a date or time ('{column}').")
     return str(value)
 
 

@@ -31,9 +31,9 @@ def sort_rows(
     return df.orderBy(*sort_columns([Order(column, ascending), *ties])).limit(limit)
 
 
-def head(df: DataFrame, order_by: Sequence[str | Order] | str, rows: int = 5) -> DataFrame:
-    """The first rows (1 to 50) along a key."""
-    return df.orderBy(*sort_columns(order_by)).limit(max(1, min(rows, 50)))
+def head(df: DataFrame, order_by: Sequence[str | Order] | str, rows: int = 5, most: int | None = None) -> DataFrame:
+    """The first rows along a key, one at least; ``most`` holds a caller to a number (50 in a chat)."""
+    return df.orderBy(*sort_columns(order_by)).limit(max(1, rows if most is None else min(rows, most)))
 
 
 def paginate(

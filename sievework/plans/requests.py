@@ -153,8 +153,9 @@ def route_requests(
 def _number_after(text: Column, words: str, default: int, most: int | None) -> Column:
     """The first whole number after one of ``words``, held to 1..most."""
     digits = F.regexp_extract(text, rf"(?iU)\b(?:{words})\s+(\d+)\b", 1)
-    ceiling = most if most is not None else 10**18
-    value = F.when(F.length(digits) > 18, F.lit(ceiling)).otherwise(digits.try_cast("bigint"))
+    ceiling = most if most is not None else (1 << 63) - 1
+    # Only numbers beyond the range of a long are held to its largest value.
+    value = F.coalesce(digits.try_cast("bigint"), F.lit(ceiling))
     value = F.greatest(F.lit(1), F.least(F.lit(ceiling), value))
     return F.when(digits == "", F.lit(default)).otherwise(value).cast("long")
 

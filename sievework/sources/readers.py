@@ -36,9 +36,10 @@ def scan_csv(
 
     Missing tokens become NULL before types are decided, so ``NA`` in a column
     of numbers does not turn it into text.  Types are decided from all rows in
-    one scan; give ``schema`` to skip that scan.
+    one scan; give ``schema`` to skip that scan.  Quoted cells may hold line
+    breaks; files without any can be split among tasks with ``multiLine="false"``.
     """
-    settings = {"header": "true", "escape": '"', **options}
+    settings = {"header": "true", "escape": '"', "multiLine": "true", **options}
     if schema is not None:
         # One reader setting covers one token only; read text, null the set, then cast.
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
