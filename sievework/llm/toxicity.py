@@ -45,9 +45,13 @@ class ToxicSettings:
     neighbours: int = 15
     #: Least log-likelihood ratio of a kept term.
     telling: float = 20.0
+    #: Least rate of positive contexts of a kept term, as a multiple of the rate of all; words that a
+    #: language with more positives merely uses stay out.
+    lift: float = 3.0
     block: int = 64
     #: Weight of the prior vote, in neighbours of cosine 1.
     prior_weight: float = 0.5
+    rows_per_task: int = 10_000
 
 
 def _train_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +77,7 @@ def telling_terms(examples: DataFrame, s: ToxicSettings) -> list[str]:
         return F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
 
     ratio = 2 * (part(F.col("p"), rate) + part(F.col("n") - F.col("p"), 1 - rate))
-    told = counts.filter((F.col("p") > rate * F.col("n")) & (ratio >= s.telling))
+    told = counts.filter((F.col("p") >= min(s.lift * rate, (1 + rate) / 2) * F.col("n")) & (ratio >= s.telling))
     return sorted(r["term"] for r in told.select("term").collect())  # bounded by the sample
 
 
@@ -227,5 +231,8 @@ def toxicity(
                 out.append(known[key])
             yield pd.DataFrame({"doc": batch["doc"], "score": [x[0] for x in out], "evidence": [x[1] for x in out]})
 
-    scored = vectors.mapInPandas(run, "doc long, score double, evidence array<long>")
+    # Few bytes but much work a row: dealt to many tasks, equal vectors to few.
+    tasks = max(1, -(-total // s.rows_per_task))
+    dealt = vectors.repartition(tasks, F.xxhash64("terms", "tf"), F.col("doc") % 64)
+    scored = dealt.mapInPandas(run, "doc long, score double, evidence array<long>")
     return scored.select(F.nullif("doc", F.lit((1 << 63) - 1)).alias("doc_id"), "score", "evidence")
