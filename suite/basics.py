@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import json_safe
+from sievework.functions.ordering import Order
 from sievework.operators.aggregates import (
     Aggregation,
     aggregate,
@@ -173,6 +174,12 @@ def _export_tables(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def _export_documents(spark, sf_dir):
+    paths = export_tables({"documents": table(spark, sf_dir, "documents")}, scratch_path(spark, "export"), "csv")
+    return scan_csv(spark, paths["documents"])
+
+
+suite.add("k3_export_documents_csv", _export_documents, "select * from documents")
 suite.add("k2_query_to_dataset", _query_to_dataset, _REVENUE)
 suite.add(
     "k3_export_tables",
@@ -459,6 +466,23 @@ suite.add(
     ).rows,
     "select * from orders order by o_orderkey limit 1000 offset 9000",
 )
+def _long_key(s, d):
+    """Keys that a double cannot tell apart."""
+    return table(s, d, "orders").withColumn("k", F.col("o_orderkey").cast("decimal(38,0)") + F.lit("1e30").cast("decimal(38,0)"))
+
+
+suite.add(
+    "o3_paginate_decimal",
+    lambda s, d: paginate(_long_key(s, d), "k", page=10, page_size=1000, shallow=1000, rows_per_range=2000).rows.drop("k"),
+    "select * from orders order by o_orderkey limit 1000 offset 9000",
+)
+suite.add(
+    "o3_paginate_text_descending",
+    lambda s, d: paginate(
+        table(s, d, "customer"), Order("c_name", False), page=2, page_size=500, shallow=100, rows_per_range=200
+    ).rows,
+    "select * from customer order by c_name desc limit 500 offset 500",
+)
 suite.add(
     "o3_paginate_info",
     lambda s, d: paginate(table(s, d, "orders"), "o_orderkey", page=1, page_size=700).info,
@@ -556,6 +580,12 @@ _sql(
     "nation",
     "region",
 )
+_LITERALS = "select o_orderkey, '--x' as a, 'b /* c */ d' as b from orders where o_orderpriority <> 'a--b' -- end"
+suite.add(
+    "q1_sql_literals",
+    lambda s, d: read_only_query(s, _LITERALS.replace(" -- end", "; -- end"), {"orders": raw_table(s, d, "orders")}),
+    _LITERALS,
+)
 _sql(
     "q1_sql_union",
     "select c_nationkey as k from customer union select s_nationkey from supplier",

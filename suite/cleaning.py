@@ -69,6 +69,17 @@ def _long_gaps(s, d):
 _LONG_GAPS = (
     "(select event_id, ts, case when (event_id // 40) % 2 = 1 then value end as value from events)"
 )
+suite.add(
+    "m6_forward_fill_decimal_key",
+    lambda s, d: rounded(
+        apply_operation(
+            _long_gaps(s, d).withColumn("k", F.col("event_id").cast("decimal(38,0)") + F.lit("1e30").cast("decimal(38,0)")),
+            "missing_values.forward_fill", "value", order_by="k", rows_per_range=1500,
+        ).select("event_id", "value"),
+        6,
+    ),
+    f"select event_id, round(last_value(value ignore nulls) over (order by event_id), 6) as value from {_LONG_GAPS}",
+)
 for _name, _key, _over in (
     ("m6_forward_fill", "forward_fill", "last_value(value ignore nulls) over (order by event_id)"),
     (
@@ -647,6 +658,19 @@ for _name, _bound in (("t7_lemmatize", 1_000_000), ("t7_lemmatize_by_join", 0)):
         ),
         _lemmatize_sql(),
     )
+def _several_lemmas(s, d):
+    lemmas = _lemmas(s, d)
+    return lemmas.unionByName(lemmas.select("word", F.concat("lemma", F.lit("~")).alias("lemma")))
+
+
+for _name, _bound in (("t7_lemmatize_ambiguous", 1_000_000), ("t7_lemmatize_ambiguous_by_join", 0)):
+    suite.add(
+        _name,
+        lambda s, d, bound=_bound: apply_operation(
+            _messy(s, d), "text.lemmatize", "text", lemmas=_several_lemmas(s, d), lemma_rows=bound
+        ),
+        _lemmatize_sql(),
+    )
 _clean("t8_stem", "text.stem", "text", None, source=_messy)
 
 _TERMS = (

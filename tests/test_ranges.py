@@ -1,6 +1,7 @@
 """Ordered work and quantiles: the paths for large data, forced on small data."""
 
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -106,3 +107,28 @@ def test_summaries(spark):
     found = column_summaries(df, ["n", "t", "x"])
     assert found["n"] == {"distinct": 2, "top": 1, "top_count": 2, "smallest": [1, 2]}
     assert found["t"]["top"] == "a" and found["x"]["distinct"] == 2 and found["x"]["top"] == 0.0
+
+
+def test_long_decimals_and_texts_keep_their_order(spark):
+    from sievework.functions.frequencies import column_summaries
+    from sievework.functions.ordering import Order, with_position, with_range
+
+    rows = [(i, Decimal(10**29 + i), "p" * 70 + f"{i:04}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, k decimal(38,1), t string")
+    for key in (["k", "id"], ["t"], [Order("k", False)], [Order("t", False)]):
+        back = isinstance(key[0], Order)
+        placed = {r["id"]: r["__position"] for r in with_position(df, key, rows_per_range=10).collect()}
+        assert placed == {i: 999 - i if back else i for i in range(1000)}
+        assert with_range(df, key, rows_per_range=10)[1] > 50
+    found = column_summaries(df, ["k"])["k"]
+    assert found["distinct"] == 1000 and found["top_count"] == 1 and found["smallest"][1] == Decimal(10**29 + 1)
+
+
+def test_lookup_by_shuffle_reads_the_table_once(spark):
+    from sievework.functions.frequencies import attach
+
+    df = spark.createDataFrame([(i % 40 if i % 9 else None, i) for i in range(500)], "k long, i long")
+    lookup = df.filter("k is not null").groupBy("k").count().selectExpr("k as key", "k * 10 as value", "count as n")
+    out = attach(df, "k", lookup, "k", bound=3)
+    assert {(r["k"], r["i"]) for r in out.collect()} == {(10 * (i % 40) if i % 9 else None, i) for i in range(500)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
