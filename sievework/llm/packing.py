@@ -39,7 +39,7 @@ class PackSettings:
     end_id: int = 1
     #: Pieces of at least this part of a sequence are large.
     large: float = 1 / 8
-    groups: int = 24
+    groups: int = 64
     #: Sizes are also rounded up to multiples of this, which keeps the knapsack small.
     grain: int = 16
     shard_pieces: int = 16_384
