@@ -52,6 +52,8 @@ class ScanSettings:
     min_chars: int = 16
     #: Labelled values per kind from which an automaton is inferred.
     sample: int = 600
+    #: Longer labelled values are spans, but no examples of a format: one would outweigh all others.
+    longest: int = 256
     #: Confidence of the Hoeffding bound.
     alpha: float = 0.05
     tail: float = 0.02
@@ -205,7 +207,7 @@ def infer_formats(found: DataFrame, s: ScanSettings) -> list[tuple[Automaton, fl
     labelled = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
     formats = []
     for kind in KINDS[:-1]:
-        rows = labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(s.sample).collect()
+        rows = labelled.filter((F.col("kind") == kind) & (F.length("value") <= s.longest)).orderBy(F.xxhash64("value"), "value").limit(s.sample).collect()
         strings = [symbols(r["value"]) for r in rows if set(r["value"]) <= _CLASS_OF.keys()]
         if len(strings) >= s.min_labelled:
             made = Automaton(strings, s.alpha)

@@ -34,8 +34,8 @@ def test_secrets(spark, documents, odd, empty):
     rng = random.Random(5)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     base62 = lambda n: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
-    rows = [(i, f"é text ToKen = '{base62(24)}' more {key(40)} AKIA{key(16).upper()} api_key:short") for i in range(60)]
-    rows += [(100, f"ünder the {base62(23)}7 line"), (101, "plain-words_only.and/such=things"), (102, "secreT: ſecret=abcdefghi1 password=" + "x" * 9000)]
+    rows = [(10**6 + i, f"é text ToKen = '{base62(24)}' more {key(40)} AKIA{key(16).upper()} api_key:short") for i in range(60)]
+    rows += [(10**5, f"ünder the {base62(23)}7 line"), (10**5 + 1, "plain-words_only.and/such=things"), (10**5 + 2, "secreT: ſecret=abcdefghi1 password=" + "x" * 9000)]
     made = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
     texts = sorted(((r["doc_id"], r["text"]) for r in made.collect()), key=repr)
     got = sorted(secret_scan(made).collect(), key=lambda r: repr(r["doc_id"]))
@@ -43,8 +43,8 @@ def test_secrets(spark, documents, odd, empty):
     want = sorted((str(i), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in brute_spans(t)).encode()).hexdigest()) for i, t in texts)
     assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == want
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
-    assert by_id[100]["n_grammar"] == 1 and by_id[101]["n_grammar"] == 0
-    assert all(set(brute_spans(t)) <= {(int(a), int(b), k) for k, a, b in (x.split(":") for x in by_id[i]["spans"].split(",") if x)} for i, t in texts if i and i >= 100)
+    assert by_id[10**5]["n_grammar"] == 1 and by_id[10**5 + 1]["n_grammar"] == 0
+    assert all(set(brute_spans(t)) <= {(int(a), int(b), k) for k, a, b in (x.split(":") for x in by_id[i]["spans"].split(",") if x)} for i, t in texts if i and i >= 10**5)
 
 
 def test_automaton_learns_a_format():
