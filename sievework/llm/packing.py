@@ -39,7 +39,8 @@ class PackSettings:
     end_id: int = 1
     #: Pieces of at least this part of a sequence are large.
     large: float = 1 / 8
-    groups: int = 64
+    #: More groups waste less where nearly all pieces are long, fewer leave whole configurations where many are short.
+    groups: int = 24
     #: Sizes are also rounded up to multiples of this, which keeps the knapsack small.
     grain: int = 16
     shard_pieces: int = 16_384

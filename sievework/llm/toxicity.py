@@ -231,8 +231,7 @@ def toxicity(
                 out.append(known[key])
             yield pd.DataFrame({"doc": batch["doc"], "score": [x[0] for x in out], "evidence": [x[1] for x in out]})
 
-    # Few bytes but much work a row: dealt to many tasks, equal vectors to few.
+    # Few bytes but much work a row: dealt evenly to more tasks than the bytes would get.
     tasks = max(1, -(-total // s.rows_per_task))
-    dealt = vectors.repartition(tasks, F.xxhash64("terms", "tf"), F.col("doc") % 64)
-    scored = dealt.mapInPandas(run, "doc long, score double, evidence array<long>")
+    scored = vectors.repartition(tasks).mapInPandas(run, "doc long, score double, evidence array<long>")
     return scored.select(F.nullif("doc", F.lit((1 << 63) - 1)).alias("doc_id"), "score", "evidence")

@@ -250,7 +250,9 @@ def test_configurations_cover_the_need():
     assert (columns @ use >= need - 1e-6).all() and (sizes @ columns <= 256).all()
     assert use.sum() <= 1.05 * (sizes @ need) / 256 + 15
     lengths = np.random.default_rng(3).integers(1, 4096, 3000)
-    sequence, offset = pack_lengths(lengths, PackSettings())
+    sequence, offset = pack_lengths(lengths, PackSettings(groups=64))
     sums = np.bincount(sequence, lengths)
     # Half of these pieces are longer than half a sequence, so each of them needs one of its own.
     assert sums.max() <= 4096 and len(sums) <= 1.04 * max(lengths.sum() / 4096, (lengths > 2048).sum()) + 2
+    many = np.minimum(4095, np.random.default_rng(1).lognormal(6.6, 1.1, 16_384).astype(int) + 1)
+    assert len(set(pack_lengths(many, PackSettings())[0].tolist())) <= 1.005 * many.sum() / 4096 + 1
