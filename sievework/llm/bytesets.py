@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
@@ -126,8 +126,12 @@ class Texts:
         return sums[ends] - sums[starts]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``limit`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of text, one row at least.
+
+    Work arrays take many times a piece's bytes, and workers wait for their next task
+    without giving memory back by themselves: pieces are small, and what the batch took is released.
+    """
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
     upto, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
@@ -135,6 +139,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         stop = max(start + 1, int(np.searchsorted(upto, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def window_hashes(words: np.ndarray, per_row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -215,7 +215,7 @@ def kept_lines(
     return joined.mapInArrow(run, spec)
 
 
-def shards_for(docs: DataFrame, rows_per_shard: int = 50_000) -> int:
+def shards_for(docs: DataFrame, rows_per_shard: int = 20_000) -> int:
     """Shards for a first batch: one for so many documents."""
     return max(1, -(-docs.count() // rows_per_shard))
 
