@@ -30,8 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sievework.llm.bytesets import slices
 from sievework.llm.tables import known_id
 from sievework.session import materialize
 
@@ -54,18 +56,33 @@ class ToxicSettings:
     rows_per_task: int = 10_000
 
 
-def _train_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_CONTEXT = ["before", "term", "after", "label"]
+#: Contexts and texts that a task holds as Python objects at once.
+_CONTEXTS_HELD = 50_000
+_KNOWN_HELD = 10_000
+
+
+def _train_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(found: set[tuple]) -> pa.RecordBatch:
+        columns = zip(*found) if found else [[]] * 4
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _CONTEXT)
+
     for batch in batches:
-        out = set()
-        for text, label in zip(batch["text"], batch["label"]):
-            terms = _TERM.findall(text.lower()) if text else []
-            out.update(zip(["", *terms[:-1]], terms, [*terms[1:], ""], [int(label)] * len(terms)))
-        yield pd.DataFrame(list(out), columns=["before", "term", "after", "label"])
+        for part in slices(batch, "text"):
+            out: set[tuple] = set()
+            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
+                terms = _TERM.findall(text.lower()) if text else []
+                out.update(zip(["", *terms[:-1]], terms, [*terms[1:], ""], [label] * len(terms)))
+                if len(out) > _CONTEXTS_HELD:
+                    yield made(out)
+                    out = set()
+            yield made(out)
 
 
 def telling_terms(examples: DataFrame, s: ToxicSettings) -> list[str]:
     """Terms that occur in the positive class far more often than by chance, each context once."""
-    contexts = examples.mapInPandas(_train_contexts, "before string, term string, after string, label int").distinct()
+    contexts = examples.mapInArrow(_train_contexts, "before string, term string, after string, label int").distinct()
     counts = contexts.groupBy("term").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     counts = materialize(counts, "terms")
     total = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
@@ -85,16 +102,19 @@ def term_counts(rows: DataFrame, terms: list[str], passed: str) -> DataFrame:
     """The kept terms of each text as parallel arrays; ``passed`` is the schema of the other columns, which stay."""
     place = {t: i for i, t in enumerate(terms)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tfs = [], []
-            for text in batch["text"]:
-                own = Counter(place[t] for t in _TERM.findall(text.lower()) if t in place) if text else {}
-                ids.append(sorted(own))
-                tfs.append([own[i] for i in sorted(own)])
-            yield batch.drop(columns="text").assign(terms=ids, tf=tfs)
+            for part in slices(batch, "text"):
+                ids, tfs = [], []
+                for text in part.column("text").to_pylist():
+                    own = Counter(place[t] for t in _TERM.findall(text.lower()) if t in place) if text else {}
+                    ids.append(sorted(own))
+                    tfs.append([own[i] for i in sorted(own)])
+                names = [c for c in part.schema.names if c != "text"]
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, tfs)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *lists], [*names, "terms", "tf"])
 
-    return rows.mapInPandas(run, f"{passed}, terms array<int>, tf array<int>")
+    return rows.mapInArrow(run, f"{passed}, terms array<int>, tf array<int>")
 
 
 class BlockIndex:
@@ -225,7 +245,7 @@ def toxicity(
             for t, f in zip(batch["terms"], batch["tf"]):
                 key = (tuple(t), tuple(f))
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > _KNOWN_HELD:
                         known.clear()
                     known[key] = model.score(t, f)
                 out.append(known[key])
