@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework.session import materialize
 
@@ -187,7 +187,6 @@ def search(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding:
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     near = q.groupBy("unit").cogroup(c.groupBy("unit")).applyInPandas(run, "query_id long, vec_id long, score double")
-    # The best of bounded lists: k rows from each probed unit.
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, s.k).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("place", "at"))
-    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("at.vec_id").alias("vec_id"), F.col("at.score").alias("score"))
+    # A limit on a rank per query: each task keeps k rows a query before anything is shuffled.
+    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
