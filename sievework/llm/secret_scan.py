@@ -70,6 +70,18 @@ def base_spans(text: str, hex_runs: list[tuple[int, int]]) -> list[tuple[int, in
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def outside(runs: list[tuple[int, int]], known: list[tuple]) -> list[tuple[int, int]]:
+    """The runs that meet no known span; both ascend by start, so one pass over the two is enough."""
+    free, at, reach = [], 0, 0
+    for start, end in runs:
+        while at < len(known) and known[at][0] < end:
+            reach = max(reach, known[at][1])
+            at += 1
+        if reach <= start:
+            free.append((start, end))
+    return free
+
+
 def joined(spans: list[tuple]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind, *_ in spans)
 
@@ -105,7 +117,7 @@ def found_spans(docs: DataFrame, doc_id: str, text: str, s: ScanSettings) -> Dat
                         x, y = np.searchsorted(a, [low, high])
                         spans.append(list(zip((chars[a[x:y]] - chars[low]).tolist(), (chars[b[x:y]] - chars[low]).tolist())))
                     known = base_spans(own, spans[0])
-                    free = [(a, b) for a, b in spans[1] if not any(a < y and x < b for x, y, *_ in known)]
+                    free = outside(spans[1], known)
                     base.append([dict(zip(("start", "end", "kind", "value"), x)) for x in known])
                     more.append([{"start": a, "end": b, "kind": "grammar", "value": own[a:b]} for a, b in free])
                 struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm.queries import queries
-from sievework.llm.secret_scan import KINDS, Automaton, ScanSettings, secret_scan, symbols
+from sievework.llm.secret_scan import KINDS, Automaton, ScanSettings, outside, secret_scan, symbols
 from sievework.llm.tool_calls import link_calls
 from sievework.llm.toxicity import BlockIndex, ToxicSettings, toxicity
 from sievework.llm.url_filter import RULES, Rule, url_filter
@@ -47,6 +47,15 @@ def test_secrets(spark, documents, odd, empty):
     assert all(set(brute_spans(t)) <= {(int(a), int(b), k) for k, a, b in (x.split(":") for x in by_id[i]["spans"].split(",") if x)} for i, t in texts if i and i >= 10**5)
 
 
+def test_runs_outside_known_spans():
+    rng = random.Random(8)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 6)))
+        runs = list(zip(cuts[::2], cuts[1::2]))
+        known = sorted((a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6))))
+        assert outside(runs, known) == [(a, b) for a, b in runs if not any(a < y and x < b for x, y in known)]
+
+
 def test_automaton_learns_a_format():
     rng = random.Random(2)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
