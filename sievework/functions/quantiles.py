@@ -11,7 +11,7 @@ no pass shuffles the column.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,6 +24,9 @@ ONE_STATE_VALUES = 1_000_000
 _VALUES_PER_PASS = 8_000_000
 _SORTED_VALUES = 250_000
 _ACCURACY = 10_000
+#: One look holds at most about so many values in a task, and so many expressions.
+_HELD_PER_LOOK = 2_000_000
+_TARGETS_PER_LOOK = 60
 
 
 @dataclass
@@ -96,55 +99,74 @@ def exact_quantiles(
     return found
 
 
+def _looks(targets: list[_Target], sortable: int) -> Iterator[list[_Target]]:
+    """Targets in groups whose sorted values and sketches fit one aggregate; those of a column stay together."""
+    group, held = [], 0
+    for t in targets:
+        size = t.inside if t.inside <= sortable else _ACCURACY
+        if group and (held + size > _HELD_PER_LOOK or len(group) == _TARGETS_PER_LOOK):
+            yield group
+            group, held = [], 0
+        group.append(t)
+        held += size
+    if group:
+        yield group
+
+
 def _locate(df: DataFrame, values: Mapping[str, Column], targets: list[_Target], sortable: int) -> None:
     open_targets = targets
     while open_targets:
-        names = {t.column for t in open_targets}
-        near = df.select([values[c].alias(c) for c in names])
-        # Only rows inside some bracket are read on; Spark pushes the ranges to the scan.
-        keep = None
-        for t in open_targets:
-            condition = t.within(quoted(t.column))
-            keep = condition if keep is None else keep | condition
-        near = near.filter(keep)
+        for group in _looks(open_targets, sortable):
+            _look(df, values, group, sortable)
+        open_targets = [t for t in open_targets if t.value is None]
 
-        # Look inside: sort what is small, bracket what is not.
-        looks = []
-        for i, t in enumerate(open_targets):
-            x = F.when(t.within(quoted(t.column)), quoted(t.column))
-            local = t.rank - t.below
-            if t.inside <= sortable:
-                look = F.array(F.element_at(F.array_sort(F.collect_list(x)), local + 1))
-            else:
-                reach = t.slack * max(1.0, t.inside / _ACCURACY)
-                low = max(0.0, (local - reach) / t.inside)
-                high = min(1.0, (local + reach) / t.inside)
-                look = F.percentile_approx(x, [low, high], _ACCURACY)
-            looks.append(look.alias(f"l{i}"))
-        row = near.agg(*looks).first()
 
-        checks, pending = [], []
-        for i, t in enumerate(open_targets):
-            if t.inside <= sortable:
-                t.value = row[f"l{i}"][0]
-                continue
-            t.guess = (row[f"l{i}"][0], row[f"l{i}"][1])
-            x, (lo, hi) = quoted(t.column), t.guess
-            inside = t.within(x)
-            n = len(pending)
-            pending.append(t)
-            checks += [
-                F.count_if(inside & (x < lo)).alias(f"b{n}"),
-                F.count_if(inside & (x == lo)).alias(f"lo{n}"),
-                F.count_if(inside & (x > lo) & (x < hi)).alias(f"in{n}"),
-                F.count_if(inside & (x == hi)).alias(f"hi{n}"),
-            ]
-        if not pending:
-            return
-        row = near.agg(*checks).first()
-        for n, t in enumerate(pending):
-            _narrow(t, row[f"b{n}"], row[f"lo{n}"], row[f"in{n}"], row[f"hi{n}"])
-        open_targets = [t for t in pending if t.value is None]
+def _look(df: DataFrame, values: Mapping[str, Column], targets: list[_Target], sortable: int) -> None:
+    """Find or narrow down each target: sort what is small, bracket what is not."""
+    names = {t.column for t in targets}
+    near = df.select([values[c].alias(c) for c in names])
+    # Only rows inside some bracket are read on; Spark pushes the ranges to the scan.
+    keep = None
+    for t in targets:
+        condition = t.within(quoted(t.column))
+        keep = condition if keep is None else keep | condition
+    near = near.filter(keep)
+
+    looks = []
+    for i, t in enumerate(targets):
+        x = F.when(t.within(quoted(t.column)), quoted(t.column))
+        local = t.rank - t.below
+        if t.inside <= sortable:
+            look = F.array(F.element_at(F.array_sort(F.collect_list(x)), local + 1))
+        else:
+            reach = t.slack * max(1.0, t.inside / _ACCURACY)
+            low = max(0.0, (local - reach) / t.inside)
+            high = min(1.0, (local + reach) / t.inside)
+            look = F.percentile_approx(x, [low, high], _ACCURACY)
+        looks.append(look.alias(f"l{i}"))
+    row = near.agg(*looks).first()
+
+    checks, pending = [], []
+    for i, t in enumerate(targets):
+        if t.inside <= sortable:
+            t.value = row[f"l{i}"][0]
+            continue
+        t.guess = (row[f"l{i}"][0], row[f"l{i}"][1])
+        x, (lo, hi) = quoted(t.column), t.guess
+        inside = t.within(x)
+        n = len(pending)
+        pending.append(t)
+        checks += [
+            F.count_if(inside & (x < lo)).alias(f"b{n}"),
+            F.count_if(inside & (x == lo)).alias(f"lo{n}"),
+            F.count_if(inside & (x > lo) & (x < hi)).alias(f"in{n}"),
+            F.count_if(inside & (x == hi)).alias(f"hi{n}"),
+        ]
+    if not pending:
+        return
+    row = near.agg(*checks).first()
+    for n, t in enumerate(pending):
+        _narrow(t, row[f"b{n}"], row[f"lo{n}"], row[f"in{n}"], row[f"hi{n}"])
 
 
 def _narrow(t: _Target, below: int, at_lo: int, between: int, at_hi: int) -> None:

@@ -7,7 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from sievework.functions.columns import as_double, numeric_columns, quoted
-from sievework.session import materialize
+from sievework.session import remove_step, write_step
 
 _TOLERANCE = 1e-3
 
@@ -19,7 +19,8 @@ def forest_impute(df: DataFrame, trees: int = 50, rounds: int = 10, depth: int =
     their number of gaps and replaces the filled cells by predictions, until
     they move less than a thousandth of the largest known value.  Predictions
     are row-local, so rows never move; each round is written to the shared
-    folder, which keeps the plan short and survives lost executors.
+    folder, which keeps the plan short and survives lost executors, and the round
+    before it is deleted.
     """
     names = numeric_columns(df)
     row = df.agg(
@@ -38,7 +39,7 @@ def forest_impute(df: DataFrame, trees: int = 50, rounds: int = 10, depth: int =
         *[F.coalesce(as_double(df, names[i]), F.lit(row[f"m{i}"])).alias(f"__x{i}") for i in usable],
         *[quoted(names[i]).isNull().alias(f"__g{i}") for i in gaps],
     )
-    state = materialize(state, "forest")
+    state, written = write_step(state, "forest")
     largest = max(row[f"a{i}"] for i in usable)
     for _ in range(rounds):
         before = state.select("*", *[F.col(f"__x{i}").alias(f"__old{i}") for i in gaps])
@@ -61,7 +62,9 @@ def forest_impute(df: DataFrame, trees: int = 50, rounds: int = 10, depth: int =
             after = guessed.withColumn(
                 f"__x{i}", F.when(F.col(f"__g{i}"), F.col("__guess")).otherwise(F.col(f"__x{i}"))
             ).drop("__features", "__guess")
-        after = materialize(after, "forest")
+        superseded = written
+        after, written = write_step(after, "forest")
+        remove_step(df.sparkSession, superseded)  # only this loop read it
         moved = after.agg(
             F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(f"__x{i}") - F.col(f"__old{i}"))) for i in gaps])
         ).first()[0]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework.errors import OperationError
 from sievework.functions.columns import as_double, is_numeric, numeric_columns, quoted, require_columns, type_of
+from sievework.functions.frequencies import attach
 from sievework.functions.ordering import RANGE, literal_array, range_offsets, with_range
-from sievework.session import materialize
+from sievework.session import temporary
 
 _PAIRS_PER_PASS = 60
 
@@ -32,13 +33,18 @@ def correlation(
     if method == "pearson":
         cells = _pearson(wide, pairs)
     elif method in ("spearman", "kendall"):
-        one = _spearman_pair if method == "spearman" else _kendall_pair
         cells = _pearson(wide, [(i, i) for i in range(len(names))])
-        for i, j in itertools.combinations(range(len(names)), 2):
-            cell = one(wide, i, j, **options).select(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("r").alias("correlation")
-            )
-            cells = cells.unionByName(cell)
+        apart = list(itertools.combinations(range(len(names)), 2))
+        if method == "spearman":
+            whole = _columns_without_gaps(wide)
+            ranked = [(i, j) for i, j in apart if i in whole and j in whole]
+            if ranked:
+                cells = cells.unionByName(_pearson(_with_ranks(wide, whole, **options), ranked))
+            apart = [p for p in apart if p not in ranked]
+        one = _spearman_pair if method == "spearman" else _kendall_pair
+        if apart:  # a number for each pair; what a pair needed is deleted before the next
+            found = [(i, j, one(wide, i, j, **options)) for i, j in apart]
+            cells = cells.unionByName(df.sparkSession.createDataFrame(found, "i int, j int, correlation double"))
     else:
         raise OperationError(f"Unknown correlation method '{method}'.")
     labels = F.array(*[F.lit(n) for n in names])
@@ -92,14 +98,29 @@ def _ratio(n: int) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def _columns_without_gaps(wide: DataFrame) -> list[int]:
+    row = wide.agg(F.count(F.lit(1)), *[F.count(c) for c in wide.columns]).first()
+    return [i for i, n in enumerate(row[1:]) if n == row[0]]
+
+
+def _with_ranks(wide: DataFrame, columns: Sequence[int], **options) -> DataFrame:
+    """Columns without gaps as average ranks: the same for every pair, so each is ranked once."""
+    ranked = wide.select([f"x{i}" for i in columns])
+    for i in columns:
+        counts = wide.groupBy(F.col(f"x{i}").alias("x")).agg(F.count(F.lit(1)).alias("w"))
+        ranks = _value_ranks(counts, "x", **options)
+        lookup = ranks.select(F.col("value").alias("key"), F.col("rank").alias("value"), F.col("t").alias("n"))
+        ranked = attach(ranked, f"x{i}", lookup, f"x{i}")
+    return ranked
+
+
 def _pair_counts(wide: DataFrame, i: int, j: int) -> DataFrame:
-    """Distinct (x, y) with their number, written once because ranking reads it several times."""
-    return materialize(
+    """Distinct (x, y) with their number."""
+    return (
         wide.select(F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y"))
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("w")),
-        "pairs",
+        .agg(F.count(F.lit(1)).alias("w"))
     )
 
 
@@ -118,21 +139,27 @@ def _value_ranks(counts: DataFrame, column: str, **options) -> DataFrame:
     )
 
 
-def _spearman_pair(wide: DataFrame, i: int, j: int, **options) -> DataFrame:
+def _spearman_pair(wide: DataFrame, i: int, j: int, **options) -> float | None:
     """Pearson on average ranks, weighted by how often each value pair occurs."""
-    counts = _pair_counts(wide, i, j)
-    rx = _value_ranks(counts, "x", **options).select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-    ry = _value_ranks(counts, "y", **options).select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-    ranked = counts.join(rx, "x").join(ry, "y")
-    # Ranks average (n + 1) / 2, so the moments can be centred up front.
-    size = counts.agg(F.sum("w")).first()[0] or 0
-    dx, dy, w = F.col("rx") - (size + 1) / 2, F.col("ry") - (size + 1) / 2, F.col("w")
-    return ranked.agg(
-        F.sum(w * dx * dy).alias("c0"), F.sum(w * dx * dx).alias("a0"), F.sum(w * dy * dy).alias("b0")
-    ).select(_ratio(0).alias("r"))
-
-
-def _kendall_pair(wide: DataFrame, i: int, j: int, **options) -> DataFrame:
+    with temporary(_pair_counts(wide, i, j), "pairs") as counts:  # ranking reads it several times
+        rx = _value_ranks(counts, "x", **options).select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+        ry = _value_ranks(counts, "y", **options).select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+        ranked = counts.join(rx, "x").join(ry, "y")
+        # Ranks average (n + 1) / 2, so the moments can be centred up front.
+        size = counts.agg(F.sum("w")).first()[0] or 0
+        dx, dy, w = F.col("rx") - (size + 1) / 2, F.col("ry") - (size + 1) / 2, F.col("w")
+        moments = ranked.agg(
+            F.sum(w * dx * dy).alias("c0"), F.sum(w * dx * dx).alias("a0"), F.sum(w * dy * dy).alias("b0")
+        )
+        return moments.select(_ratio(0).alias("r")).first()["r"]
+
+
+def _kendall_pair(wide: DataFrame, i: int, j: int, **options) -> float | None:
+    with temporary(_pair_counts(wide, i, j), "pairs") as counts:
+        return _kendall(counts, **options).first()["r"]
+
+
+def _kendall(counts: DataFrame, **options) -> DataFrame:
     """Tau-b by counting discordant pairs bit by bit; no pair of rows is ever formed.
 
     Rows are ordered by (x, y) and y is replaced by its dense rank.  Two ranks
@@ -141,7 +168,6 @@ def _kendall_pair(wide: DataFrame, i: int, j: int, **options) -> DataFrame:
     running sum per (digit, prefix) counts them all.  The running sums are cut
     into row ranges, because the top digit puts all rows under one prefix.
     """
-    counts = _pair_counts(wide, i, j)
     ys = _value_ranks(counts, "y", **options)
     placed = counts.join(ys.select(F.col("value").alias("y"), F.col("dense").alias("d")), "y")
     ranged, _ = with_range(placed, ["x", "d"], **options)

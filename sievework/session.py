@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -73,8 +74,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df, name: str = "step"):
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def write_step(df, name: str = "step"):
+    """Write ``df`` to the shared folder and read it back; returns it with its path."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df, name: str = "step"):
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return write_step(df, name)[0]
+
+
+def remove_step(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`write_step` wrote, once no plan reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary(df, name: str = "step"):
+    """As :func:`materialize`, for a table that nothing reads after the block: its files are deleted then."""
+    written, path = write_step(df, name)
+    try:
+        yield written
+    finally:
+        remove_step(df.sparkSession, path)

@@ -389,6 +389,12 @@ suite.add(
     lambda s, d: rounded(correlation(gap_events(s, d), ["user_id", "value"], "spearman"), 6),
     _spearman_sql(GAP_EVENTS, ["user_id", "value"]),
 )
+_LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+suite.add(
+    "a12_correlation_spearman_lineitem",
+    lambda s, d: rounded(correlation(table(s, d, "lineitem"), _LINE_NUMBERS, "spearman"), 6),
+    _spearman_sql("lineitem", _LINE_NUMBERS),
+)
 
 
 def _kendall_sql(origin, names):

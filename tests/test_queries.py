@@ -2,12 +2,15 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from sievework import session
 from sievework.errors import AggregationError, FilterError, OperationError, ReadOnlyError, UnknownColumnError
 from sievework.functions.ordering import Order
 from sievework.operators.aggregates import Aggregation, aggregate, count_distinct, group_by, value_counts
@@ -110,6 +113,23 @@ def test_correlations_against_brute_force(spark):
             assert found[x, y] == found[y, x]
 
 
+def test_rank_correlation_leaves_no_pair_tables(spark, folder, monkeypatch):
+    numbers = np.random.default_rng(6).integers(0, 40, (500, 4)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in numbers], "a double, b double, c double, d double")
+    gaps = df.withColumn("d", F.when(F.col("a") > 3, F.col("d")))
+    monkeypatch.setattr(session, "shared_dir", lambda _: folder)
+    for method in ("spearman", "kendall"):
+        found = {(r[0], r[1]): r[2] for r in correlation(gaps, method=method, rows_per_range=50).collect()}
+        want = gaps.toPandas().corr(method) if method == "spearman" else None
+        for x, y in itertools.combinations("abcd", 2):
+            if want is not None:
+                assert found[x, y] == pytest.approx(want.loc[x, y], abs=1e-9)
+            assert found[x, y] == found[y, x]
+    left = os.listdir(folder)
+    assert not [p for p in left if p.startswith("pairs")]
+    assert len([p for p in left if p.startswith("lookup")]) <= 3  # one per column without gaps
+
+
 def test_correlation_rules(spark):
     df = spark.createDataFrame([(1.0, 7.0, "x"), (2.0, 7.0, "y")], "a double, same double, t string")
     found = {(r[0], r[1]): r[2] for r in correlation(df).collect()}

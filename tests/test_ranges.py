@@ -9,6 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from sievework.functions import quantiles
 from sievework.functions.frequencies import attach, column_summaries
 from sievework.functions.ordering import Order, with_position, with_range
 from sievework.functions.quantiles import exact_quantiles, grouped_quantiles
@@ -35,6 +36,20 @@ def test_quantiles_by_narrowing(spark, kind):
     assert found == pytest.approx(list(np.quantile(data, PROBABILITIES)))
 
 
+def test_quantiles_of_a_wide_table(spark, monkeypatch):
+    looked = []
+    look = quantiles._look
+    monkeypatch.setattr(quantiles, "_look", lambda df, v, group, most: (looked.append([t.inside for t in group]), look(df, v, group, most)))
+    monkeypatch.setattr(quantiles, "_HELD_PER_LOOK", 100_000)
+    df = spark.range(2_000).select([((F.col("id") * (2 * i + 1)) % 2_003).cast("double").alias(f"x{i}") for i in range(60)])
+    found = exact_quantiles(df, {c: [0.25, 0.9] for c in df.columns}, one_state=1_000)
+    wanted = df.toPandas().quantile([0.25, 0.9])
+    assert all(found[c] == pytest.approx(wanted[c].tolist()) for c in df.columns)
+    assert len(looked) > 4
+    held = [sum(n if n <= 1_000 else quantiles._ACCURACY for n in group) for group in looked]
+    assert max(held) <= 100_000 and max(map(len, looked)) <= 60
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1)], "x double, y long")
     assert exact_quantiles(df, {"x": [0.5], "y": [0.25, 0.5]}) == {"x": [None], "y": [1.0, 1.0]}
