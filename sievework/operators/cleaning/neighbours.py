@@ -248,15 +248,25 @@ def _visit_udf(boxes: pd.DataFrame):
     low = boxes[[c for c in boxes.columns if c.startswith("lo_")]].to_numpy(dtype=float)
     high = boxes[[c for c in boxes.columns if c.startswith("hi_")]].to_numpy(dtype=float)
 
+    step = max(1, _CHUNK_CELLS // max(1, len(leaves)))
+
     @F.pandas_udf("array<int>")
     def visit(vectors: pd.DataFrame, reach: pd.Series, own: pd.Series) -> pd.Series:
+        points, limits, homes = vectors.to_numpy(dtype=float), reach.to_numpy(), own.to_numpy()
         lists = []
-        for x, r, home in zip(vectors.to_numpy(dtype=float), reach.to_numpy(), own.to_numpy()):
-            have = ~np.isnan(x)
-            outside = np.maximum(0.0, np.maximum(low[:, have] - x[have], x[have] - high[:, have]))
-            least = np.sqrt(len(x) / max(1, have.sum()) * (outside**2).sum(axis=1))
-            close = (least <= r * (1 + 1e-9)) & (leaves != home)
-            lists.append([int(v) for v in leaves[close]])
-        return pd.Series(lists)
+        for start in range(0, len(points), step):
+            some = points[start : start + step]
+            squares = np.zeros((len(some), len(leaves)))
+            for c in range(some.shape[1]):
+                x = np.nan_to_num(some[:, c])[:, None]
+                outside = np.maximum(0.0, np.maximum(low[:, c] - x, x - high[:, c]))
+                squares += np.where(np.isnan(some[:, c])[:, None], 0.0, outside * outside)
+            have = np.maximum(1, (~np.isnan(some)).sum(axis=1))
+            least = np.sqrt(some.shape[1] / have[:, None] * squares)
+            close = least <= limits[start : start + step, None] * (1 + 1e-9)
+            close &= leaves != homes[start : start + step, None]
+            row, leaf = np.nonzero(close)
+            lists += np.split(leaves[leaf].astype(np.int32), np.searchsorted(row, np.arange(1, len(some))))
+        return pd.Series(lists, dtype=object)
 
     return visit
