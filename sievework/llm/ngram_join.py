@@ -235,7 +235,26 @@ def verified_links(members: DataFrame, s: JoinSettings) -> DataFrame:
     return _in_units(dealt, links, "cls binary, other binary, links long")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def repeats_ids(signed: DataFrame) -> bool:
+    """Whether some id (missing ones count as one) stands at several rows, so that an id alone does not name a text."""
+    return not signed.groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+
+
+def _with_digest(rows: DataFrame, text: str, cls: str, words: int) -> DataFrame:
+    """The rows with shingles, with the digest of their set as a last column ``cls``."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                digests = [_set_digest(v) if len(v) else None for v in shingle_sets(part.column(at), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())], [*part.schema.names, cls])
+
+    spec = rows.select("*", F.lit(None).cast("binary").alias(cls)).schema
+    return rows.mapInArrow(run, spec).filter(F.col(cls).isNotNull())
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int, repeated: bool) -> DataFrame:
     """The shingle sets of the classes' first documents: ``cls, root, copies, shingles``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +269,21 @@ def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words:
                 )
 
     rows = docs.select(known_id(doc_id).alias("doc"), F.col(f"`{text}`").alias("text"))
-    joined = rows.join(members, F.col("doc") == F.col("first"))
+    on = F.col("doc") == F.col("first")
+    if repeated:  # the texts of one id must not each meet all classes of that id
+        rows = _with_digest(rows, "text", "_set", words).dropDuplicates(["doc", "_set"])
+        on &= F.col("_set") == F.col("cls")
+    joined = rows.join(members, on)
     found = joined.select("text", "cls", "root", "copies").mapInArrow(run, "cls binary, root binary, copies long, shingles array<long>")
     return found
 
 
 def link_classes(docs: DataFrame, signed: DataFrame, doc_id: str, text: str, s: JoinSettings) -> DataFrame:
-    """A row for each class with shingles: ``cls, first, first_rows, copies, class_id, n_links``."""
+    """A row for each class with shingles: ``cls, first, copies, class_id, chosen, n_links``.
+
+    ``chosen`` marks one class of each component: the smallest id, and of several sets under
+    that id the smallest set.  ``class_id`` does not tell components apart where ids repeat.
+    """
     counted = signed.filter("cls is not null").groupBy("cls").agg(
         F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"),
         F.first("sketch").alias("sketch"),
@@ -265,18 +292,17 @@ def link_classes(docs: DataFrame, signed: DataFrame, doc_id: str, text: str, s:
     maybe = components(candidate_edges(classes, s))
     narrow = classes.select("cls", "first", "copies")
     members = narrow.join(maybe.withColumnRenamed("node", "cls"), "cls")
-    # rows that repeat an id and a text give the same set again
-    sets = materialize(_sets_of(docs, members, doc_id, text, s.words), "shingles")
-    true = materialize(verified_links(sets.dropDuplicates(["cls"]), s), "links")
+    sets = materialize(_sets_of(docs, members, doc_id, text, s.words, repeats_ids(signed)), "shingles")
+    true = materialize(verified_links(sets, s), "links")
     group = components(true.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cls")
     links = true.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = narrow.join(group, "cls").join(links, "cls")
     linked = materialize(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    marked = linked.join(least, "root").select("cls", "class_id", "links")
+    best = linked.groupBy("root").agg(F.min(F.struct("first", "cls")).alias("best"))
+    marked = linked.join(best, "root").select("cls", "best", "links")
     return narrow.join(marked, "cls", "left").select(
-        "cls", "first", "copies", F.coalesce("class_id", "first").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "cls", "first", "copies", F.coalesce("best.first", "first").alias("class_id"),
+        (F.coalesce("best.cls", "cls") == F.col("cls")).alias("chosen"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
 
 
@@ -292,36 +318,23 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sett
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """One row of each class of near copies (the smallest id), with the columns of ``docs``.
+    """One row of each component of near copies (the smallest id), with the columns of ``docs``.
 
     Texts without shingles are kept.  Of rows that repeat both the id and the set of
-    shingles one stays.
+    shingles one stays; rows that share an id (or have none) and are no near copies all stay.
     """
-    key, cls, rank = unused(docs, "_doc", "_cls", "_rank")
+    key, cls = unused(docs, "_doc", "_cls")
     signed = materialize(signatures(docs, doc_id, text, settings), "signatures")
-    classes = link_classes(docs, signed, doc_id, text, settings)
-    # The class' own row: the smallest id, and of several sets under that id the smallest set.
-    chosen = classes.filter("first = class_id").groupBy("class_id").agg(F.min("cls").alias("cls")).toDF("_keep", "_set")
-    repeated = signed.filter("cls is not null").groupBy("doc").agg(F.count("*").alias("_rows")).filter("_rows > 1")
-    bare = signed.filter("cls is null").select("doc").distinct().select(F.col("doc").alias("_keep"), F.lit(None).cast("binary").alias("_set"))
-    keep = materialize(chosen.unionByName(bare).join(repeated.withColumnRenamed("doc", "_keep"), "_keep", "left"), "kept")
-    rows = docs.withColumn(key, known_id(doc_id)).join(keep, F.col(key) == F.col("_keep"))
-    if not keep.filter("_rows is not null").isEmpty() or not keep.groupBy("_keep").count().filter("count > 1").isEmpty():
-        rows = _one_of_each(rows, text, key, cls, settings.words)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _one_of_each(rows: DataFrame, text: str, key: str, cls: str, words: int) -> DataFrame:
-    """Where ids repeat: the rows whose set was chosen, and one of those that are equal in id and set."""
-    at = rows.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                digests = [_set_digest(v) if len(v) else None for v in shingle_sets(part.column(at), words)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())], [*part.schema.names, cls])
-
-    spec = rows.select("*", F.lit(None).cast("binary").alias(cls)).schema
-    marked = rows.mapInArrow(run, spec).filter(F.col(cls).eqNullSafe(F.col("_set")))
-    single = marked.filter(F.col("_rows").isNull() | F.col(cls).isNull())
-    return single.unionByName(marked.filter(F.col("_rows").isNotNull() & F.col(cls).isNotNull()).dropDuplicates([key, cls]))
+    chosen = link_classes(docs, signed, doc_id, text, settings).filter("chosen").select(F.col("first").alias("_keep"), F.col("cls").alias("_set"))
+    chosen = materialize(chosen, "kept")
+    rows = docs.withColumn(key, known_id(doc_id))
+    if repeats_ids(signed):
+        filled = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        # Copies go before the join, so an id or text that many rows repeat is no hot key.
+        single = _with_digest(rows.filter(filled), text, cls, settings.words).dropDuplicates([key, cls])
+        kept = single.join(chosen, (F.col(key) == F.col("_keep")) & (F.col(cls) == F.col("_set")))
+        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return kept.unionByName(rows.filter(~filled).select(kept.columns))
+    bare = signed.filter("cls is null").select(F.col("doc").alias("_keep"))
+    kept = rows.join(chosen.select("_keep").unionByName(bare), F.col(key) == F.col("_keep"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -148,6 +148,49 @@ def test_join_of_odd_texts(odd, empty):
     assert ids == Counter([1, 2, 3, None, 4, 5, 7, None, 8])
 
 
+def brute_kept(rows):
+    """(id, distinct words) of the rows that stay: one of each component, and all without words."""
+    top, sets = (1 << 63) - 1, {}
+    for i, text in rows:
+        w = words(text)
+        if w:
+            sets[top if i is None else i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))] = text
+    nodes, left = list(sets), [i for i, text in rows if not words(text)]
+    todo, components = set(nodes), []
+    while todo:
+        group, open_ = [], [todo.pop()]
+        while open_:
+            a = open_.pop()
+            group.append(a)
+            near = {b for b in todo if len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1])}
+            todo -= near
+            open_ += near
+        components.append(group)
+    return components, left
+
+
+def test_near_copies_of_missing_and_repeated_ids(spark):
+    def text(n, change=None):
+        w = [f"t{n}w{i}" for i in range(60)]
+        return " ".join(w if change is None else [*w[:-1], change])
+
+    rows = [(None, text(n)) for n in range(6)] + [(None, text(0)), (None, text(1, "x")), (None, text(9, "y")), (4, text(2, "z"))]
+    rows += [(7, text(n)) for n in range(10, 14)] + [(7, text(10)), (8, text(11, "u")), (6, text(12, "v")), (9, text(9)), (7, None), (None, " "), (None, None)]
+    rows += [(20, text(30)), (21, text(30)), (22, text(31))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in drop_near_copies(docs).collect()]
+    components, left = brute_kept(rows)
+    assert len(got) == len(components) + len(left)
+    assert sorted(map(repr, left)) == sorted(repr(i) for i, t in got if not words(t))
+    top = (1 << 63) - 1
+    for group in components:
+        shingles = {s for _, s in group}
+        own = [i for i, t in got if words(t) and frozenset(tuple(words(t)[k : k + 5]) for k in range(56)) in shingles]
+        smallest = min(i for i, _ in group)
+        assert own == [None if smallest == top else smallest]
+    assert plain(ngram_join(docs).collect()) == brute_join(rows)
+
+
 def test_join_of_a_large_group_in_blocks(spark):
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join([*base[:40], f"x{i % 60}", *base[41:]])) for i in range(150)] + [(1000 + i, " ".join(f"q{i}{k}" for k in range(20))) for i in range(20)]
