@@ -1,28 +1,30 @@
 """Toxicity of texts from their nearest labelled examples by TF-IDF cosine.
 
 Learning.  The ``examples`` labelled texts with the smallest hashes of their ids (a
-bounded sample) are the examples.  A term (a run of letters, lower-cased) is kept if
-it tells the labels apart: the log-likelihood ratio of its occurrences in either class,
-where occurrences between the same neighbours count once, so that copies of one text
-do not make its words look telling.
-
-Scoring.  One pass counts the kept terms of every text; document frequencies come from
-all texts.  The examples' normalised vectors form an inverted index in blocks of
-examples; a block stores the largest weight of each term, which bounds any cosine in
-it.  For a text, blocks are visited by falling bound until no bound can reach the k-th
-nearest found, so the neighbours are exact.  Their labels vote, weighted by cosine,
-together with the share of positives among examples without any kept term as a prior
-vote; the score is calibrated on the examples themselves, each left out of its own
-neighbours, by monotone (isotonic) regression.
-
-Defined cases: missing and empty texts, and those without a kept term, score the share
-of positives among such examples; without examples, or with labels of one kind only,
-every score is the share of positives (0 if none are labelled); ties of cosine go to
-the smaller example id; repeated rows are scored alike.
+bounded sample) are the examples.  All their terms (runs of letters, lower-cased) span
+the vectors.  A term's weight is its idf; one that tells the labels apart by the
+log-likelihood ratio of its occurrences in either class weighs ``emphasis`` times more.
+Occurrences between the same neighbours count once, so that copies of one text do not
+make its words look telling.  No term is left out for its label.
+
+Scoring.  One pass over all texts counts in how many of them each term is.  The
+examples' normalised vectors form an inverted index; a second pass computes the cosine
+of each text with every example that shares a term, so the neighbours are exact.  A
+term that no example holds meets nothing and counts in the text's norm only, with the
+idf of a term of one text.  The neighbours' labels vote, weighted by cosine, together
+with the share of positives among the examples as a prior vote; the score is calibrated
+on the examples themselves, each left out of its own neighbours, by monotone (isotonic)
+regression.
+
+Defined cases: missing and empty texts, and those without any term, score the share of
+positives among the examples; so does every text without examples (0 then) or with
+labels of one kind only; ties of cosine go to the smaller example id; repeated rows are
+scored alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,15 +47,15 @@ class ToxicSettings:
     #: Labelled texts that become examples, at most.
     examples: int = 6000
     neighbours: int = 15
-    #: Least log-likelihood ratio of a kept term.
+    #: Least log-likelihood ratio of a telling term.
     telling: float = 20.0
-    #: Least rate of positive contexts of a kept term, as a multiple of the rate of all; words that a
-    #: language with more positives merely uses stay out.
+    #: Least rate of positive contexts of a telling term, as a multiple of the rate of all; words that a
+    #: language with more positives merely uses weigh no more than others.
     lift: float = 3.0
-    block: int = 64
+    #: Weight of a telling term beside its idf; other terms have 1.
+    emphasis: float = 100.0
     #: Weight of the prior vote, in neighbours of cosine 1.
     prior_weight: float = 0.5
-    rows_per_task: int = 10_000
 
 
 _CONTEXT = ["before", "term", "after", "label"]
@@ -80,79 +82,73 @@ def _train_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield made(out)
 
 
-def telling_terms(examples: DataFrame, s: ToxicSettings) -> list[str]:
-    """Terms that occur in the positive class far more often than by chance, each context once."""
+def weighted_terms(examples: DataFrame, s: ToxicSettings) -> pd.DataFrame:
+    """``term, weight`` of all terms of the examples; ``emphasis`` where positive contexts are far more than by chance."""
     contexts = examples.mapInArrow(_train_contexts, "before string, term string, after string, label int").distinct()
     counts = contexts.groupBy("term").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     counts = materialize(counts, "terms")
     total = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-    if not total["p"] or total["p"] == total["n"]:
-        return []
-    rate = float(total["p"] / total["n"])
+    weight = F.lit(1.0)
+    if total["p"] and total["p"] < total["n"]:
+        rate = float(total["p"] / total["n"])
 
-    def part(k: Column, share: float) -> Column:
-        return F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
+        def part(k: Column, share: float) -> Column:
+            return F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
 
-    ratio = 2 * (part(F.col("p"), rate) + part(F.col("n") - F.col("p"), 1 - rate))
-    told = counts.filter((F.col("p") >= min(s.lift * rate, (1 + rate) / 2) * F.col("n")) & (ratio >= s.telling))
-    return sorted(r["term"] for r in told.select("term").collect())  # bounded by the sample
+        ratio = 2 * (part(F.col("p"), rate) + part(F.col("n") - F.col("p"), 1 - rate))
+        told = (F.col("p") >= min(s.lift * rate, (1 + rate) / 2) * F.col("n")) & (ratio >= s.telling)
+        weight = F.when(told, s.emphasis).otherwise(1.0)
+    return counts.select("term", weight.alias("weight")).orderBy("term").toPandas()  # bounded by the sample
 
 
-def term_counts(rows: DataFrame, terms: list[str], passed: str) -> DataFrame:
-    """The kept terms of each text as parallel arrays; ``passed`` is the schema of the other columns, which stay."""
-    place = {t: i for i, t in enumerate(terms)}
+def text_frequencies(rows: DataFrame, place: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The number of texts, and of texts with each term; a task hands on one row a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(len(place), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, tfs = [], []
                 for text in part.column("text").to_pylist():
-                    own = Counter(place[t] for t in _TERM.findall(text.lower()) if t in place) if text else {}
-                    ids.append(sorted(own))
-                    tfs.append([own[i] for i in sorted(own)])
-                names = [c for c in part.schema.names if c != "text"]
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, tfs)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *lists], [*names, "terms", "tf"])
+                    own = {place[t] for t in set(_TERM.findall(text.lower())) if t in place} if text else ()
+                    seen[list(own)] += 1
+                total += part.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], ["t", "n"])
 
-    return rows.mapInArrow(run, f"{passed}, terms array<int>, tf array<int>")
+    found = rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # one per term
+    t, n = found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    out = np.zeros(len(place), np.int64)
+    out[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), out
 
 
 class BlockIndex:
-    """Examples' unit vectors in blocks with the largest weight of each term; exact nearest by cosine."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int):
-        order = np.array(sorted(range(len(ids)), key=lambda i: (tuple(vectors[i][0]), ids[i])), int)  # like stands next to like
-        self.labels, self.ids, self.block = labels[order], ids[order], block
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for row, i in enumerate(order):
-            for t, w in zip(*vectors[i]):
-                lists[t].append((row, w))
-        self.rows = [np.array([r for r, _ in x], int) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.blocks = -(-len(ids) // block)
-        self.most = np.zeros((n_terms, max(1, self.blocks)))
-        for t, (r, w) in enumerate(zip(self.rows, self.weights)):
-            np.maximum.at(self.most[t], r // block, w)
+    """Examples' unit vectors as one block of postings by term; exact nearest by cosine."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int = 0):
+        """``block`` is not used: cosines with all examples are summed at once."""
+        self.labels, self.ids = labels, ids
+        terms = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        order = np.argsort(terms, kind="stable")
+        self.rows = rows[order]
+        self.weights = np.concatenate([v[1] for v in vectors])[order] if vectors else np.zeros(0)
+        self.start = np.searchsorted(terms[order], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with cosine above zero."""
-        bound = weights @ self.most[terms]
-        rows, cosines = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) >= k and bound[b] < cosines[-1] - 1e-12):
-                break
-            low = b * self.block
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                x, y = np.searchsorted(self.rows[t], [low, low + self.block])
-                sums[self.rows[t][x:y] - low] += w * self.weights[t][x:y]
-            hit = np.flatnonzero(sums > 0)
-            if without is not None:
-                hit = hit[self.ids[low + hit] != without]
-            rows, cosines = np.append(rows, low + hit), np.append(cosines, np.round(sums[hit], 12))
-            best = np.lexsort((self.ids[rows], -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
-        return rows, cosines
+        if not len(self.ids) or not len(terms):
+            return np.zeros(0, int), np.zeros(0)
+        low, high = self.start[terms], self.start[np.asarray(terms) + 1]
+        cuts = [slice(a, b) for a, b in zip(low.tolist(), high.tolist())]
+        shares = np.repeat(weights, high - low) * np.concatenate([self.weights[c] for c in cuts])
+        cosines = np.round(np.bincount(np.concatenate([self.rows[c] for c in cuts]), shares, minlength=len(self.ids)), 12)
+        if without is not None:
+            cosines[self.ids == without] = 0
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        rows = np.flatnonzero((cosines >= least) & (cosines > 0))
+        rows = rows[np.lexsort((self.ids[rows], -cosines[rows]))[:k]]
+        return rows, cosines[rows]
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,43 +171,50 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    place: dict[str, int]
+    #: Idf times weight of each term, and the idf of a term that no example holds.
+    scale: np.ndarray
+    strange: float
     index: BlockIndex
-    bare: float
+    share: float
     knots: tuple[np.ndarray, np.ndarray]
     settings: ToxicSettings
 
-    def unit(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, int)
-        w = (1 + np.log(np.asarray(tf, float))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
-
-    def vote(self, terms, tf, without: int | None = None) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.bare, []
-        rows, cosines = self.index.nearest(*self.unit(terms, tf), self.settings.neighbours, without)
-        weight = self.settings.prior_weight
-        share = (float(cosines @ self.index.labels[rows]) + weight * self.bare) / (float(cosines.sum()) + weight)
+    def unit(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of the text's terms that some example holds, as part of its whole unit vector."""
+        counts = Counter(_TERM.findall(text.lower())) if text else {}
+        known = sorted((self.place[t], n) for t, n in counts.items() if t in self.place)
+        other = np.array([n for t, n in counts.items() if t not in self.place], float)
+        t = np.array([i for i, _ in known], int)
+        w = (1 + np.log(np.array([n for _, n in known], float))) * self.scale[t]
+        norm = (w * w).sum() + (((1 + np.log(other)) * self.strange) ** 2).sum()
+        return t, w / np.sqrt(norm) if len(t) else w
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, list[int]]:
+        rows, cosines = self.index.nearest(terms, weights, self.settings.neighbours, without)
+        prior = self.settings.prior_weight
+        share = (float(cosines @ self.index.labels[rows]) + prior * self.share) / (float(cosines.sum()) + prior)
         return share, self.index.ids[rows].tolist()
 
-    def score(self, terms, tf) -> tuple[float, list[int]]:
-        vote, near = self.vote(terms, tf)
-        return float(np.interp(vote, *self.knots)) if len(terms) else self.bare, near
+    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
+        if not len(terms):
+            return self.share, []
+        vote, near = self.vote(terms, weights)
+        return float(np.interp(vote, *self.knots)), near
 
 
-def fit(examples: pd.DataFrame, terms: list[str], idf: np.ndarray, s: ToxicSettings) -> Model:
-    """``examples``: doc, label, terms, tf of the bounded sample."""
+def fit(examples: pd.DataFrame, place: dict[str, int], scale: np.ndarray, strange: float, s: ToxicSettings) -> Model:
+    """``examples``: doc, label, text of the bounded sample."""
     labels = examples["label"].to_numpy(float) if len(examples) else np.zeros(0)
-    holds = np.array([len(t) > 0 for t in examples["terms"]], bool)
-    none = labels[~holds]
-    bare = float(none.mean()) if len(none) else (float(labels.mean()) if len(labels) else 0.0)
-    model = Model(terms, idf, BlockIndex([], labels[:0], np.zeros(0, int), max(1, len(terms)), s.block), bare, (np.array([0.0, 1.0]),) * 2, s)
-    own = examples[holds] if len(examples) else examples
-    if len(own):
-        vectors = [model.unit(t, f) for t, f in zip(own["terms"], own["tf"])]
-        model.index = BlockIndex(vectors, labels[holds], own["doc"].to_numpy(), len(terms), s.block)
-        votes = np.array([model.vote(t, f, without=d)[0] for t, f, d in zip(own["terms"], own["tf"], own["doc"])])
+    share = float(labels.mean()) if len(labels) else 0.0
+    ids = examples["doc"].to_numpy(np.int64)
+    model = Model(place, scale, strange, BlockIndex([], labels[:0], ids[:0], len(place)), share, (np.array([0.0, 1.0]),) * 2, s)
+    vectors = [model.unit(t) for t in examples["text"]]
+    holds = np.array([len(t) > 0 for t, _ in vectors], bool)
+    if holds.any():
+        vectors = [v for v, h in zip(vectors, holds) if h]
+        model.index = BlockIndex(vectors, labels[holds], ids[holds], len(place))
+        votes = np.array([model.vote(*v, without=d)[0] for v, d in zip(vectors, ids[holds])])
         model.knots = _isotonic(votes, labels[holds])
     return model
 
@@ -230,28 +233,26 @@ def toxicity(
     chosen = usable.orderBy(F.xxhash64("doc"), "doc").limit(s.examples)
     chosen = F.broadcast(materialize(chosen, "examples"))  # at most ``examples`` rows
     sample = materialize(rows.join(chosen, "doc").dropDuplicates(["doc"]), "example-texts")
-    terms = telling_terms(sample.select("text", "label"), s)
-    vectors = materialize(term_counts(rows, terms, "doc long"), "term-counts")
-    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # one per kept term
-    total = vectors.count()
-    idf = np.array([np.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(terms))])
-    examples = term_counts(sample.select("doc", "label", "text"), terms, "doc long, label int").toPandas()
-    model = fit(examples, terms, idf, s)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, tuple[float, list[int]]] = {}
+    terms = weighted_terms(sample.select("text", "label"), s)
+    place = {t: i for i, t in enumerate(terms["term"])}
+    total, seen = text_frequencies(rows, place)
+    idf = np.log((1 + total) / (1 + seen)) + 1
+    model = fit(sample.select("doc", "label", "text").toPandas(), place, idf * terms["weight"].to_numpy(float), float(np.log((1 + total) / 2) + 1), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
-            out = []
-            for t, f in zip(batch["terms"], batch["tf"]):
-                key = (tuple(t), tuple(f))
-                if key not in known:
-                    if len(known) > _KNOWN_HELD:
-                        known.clear()
-                    known[key] = model.score(t, f)
-                out.append(known[key])
-            yield pd.DataFrame({"doc": batch["doc"], "score": [x[0] for x in out], "evidence": [x[1] for x in out]})
-
-    # Few bytes but much work a row: dealt evenly to more tasks than the bytes would get.
-    tasks = max(1, -(-total // s.rows_per_task))
-    scored = vectors.repartition(tasks).mapInPandas(run, "doc long, score double, evidence array<long>")
+            for part in slices(batch, "text"):
+                out = []
+                for text in part.column("text").to_pylist():
+                    key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+                    if key not in known:
+                        if len(known) > _KNOWN_HELD:
+                            known.clear()
+                        known[key] = model.score(*model.unit(text))
+                    out.append(known[key])
+                score, near = (pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.list_(pa.int64()))))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), score, near], ["doc", "score", "evidence"])
+
+    scored = rows.mapInArrow(run, "doc long, score double, evidence array<long>")
     return scored.select(F.nullif("doc", F.lit((1 << 63) - 1)).alias("doc_id"), "score", "evidence")

@@ -100,6 +100,23 @@ def test_toxicity_by_held_out_rows(spark, odd, empty):
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_uses_all_terms(spark):
+    rng = random.Random(6)
+    topics = [[f"{c}{chr(97 + i)}{chr(97 + k)}" for i in range(12) for k in range(10)] for c in ("river", "stone", "cloud")]
+    rows = [(i, " ".join(rng.choices(topics[i % 3], k=40)) + (" blast" if i % 10 == 0 else "")) for i in range(240)] + [(900, "nothing known 12"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(180)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity(docs, labels).collect()}
+    # Texts without any insult have neighbours too: examples of their own topic.
+    for i in range(180, 240):
+        near = found[i]["evidence"]
+        assert len(near) == 15
+        if i % 10:
+            assert all(n % 3 == i % 3 for n in near)
+    assert min(found[i]["score"] for i in range(180, 240, 10)) > max(found[i]["score"] for i in range(180, 240) if i % 10)
+    assert found[900]["evidence"] == [] and found[901]["score"] == pytest.approx(0.1)
+
+
 def exact_nearest(vectors, ids, q, k=10):
     apart = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
     apart[q] = np.inf
