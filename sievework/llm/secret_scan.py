@@ -1,13 +1,14 @@
 """Secrets in texts: fixed formats, and formats inferred as probabilistic automata.
 
 One pass over the texts finds the base spans (assignments to secret-like names, access
-keys, long hexadecimal runs) and the candidates: other runs of ``min_chars`` or more
-credential characters that hold both letters and digits.  The values of base spans are
-the labelled credentials.  For each kind a prefix tree of a bounded sample of them, by
+keys, long hexadecimal runs) and the candidates: runs of ``min_chars`` or more credential
+characters, their parts between equals signs, and either without punctuation at its ends,
+as far as they meet no base span.  The values of base spans are the labelled credentials.  For each kind a prefix tree of a bounded sample of them, by
 character class, is folded into an automaton: states whose ends and next symbols have
-statistically equal frequencies (Hoeffding bound) are merged.  A candidate becomes a
-span of kind ``grammar`` if some automaton gives it at least the likelihood per
-character that all but ``tail`` of that automaton's labelled values have.
+statistically equal frequencies (Hoeffding bound) are merged.  A candidate is
+accepted if some automaton gives it at least the likelihood per character that all but
+``tail`` of that automaton's labelled values have.  Of accepted candidates that overlap
+the one furthest above that (then the longer one) becomes a span of kind ``grammar``.
 
 The sample is the ``sample`` values with the smallest hashes, so reruns agree; labelled
 values beyond it are spans all the same.  Without labelled values nothing is added.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,9 @@ _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 _LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _VALUE = _DIGIT | _LETTER | np.isin(np.arange(256), list(b"+/_.=-"))
+_EDGE = "+/_.=-"
+#: Scored values that a task remembers.
+_VALUES_HELD = 100_000
 #: Character classes of the automata.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", ".=")
 _CLASS_OF = {c: i for i, group in enumerate(_CLASSES) for c in group}
@@ -49,7 +54,8 @@ _CLASS_OF = {c: i for i, group in enumerate(_CLASSES) for c in group}
 
 @dataclass(frozen=True)
 class ScanSettings:
-    min_chars: int = 16
+    #: As short as the values of assignments.
+    min_chars: int = 8
     #: Labelled values per kind from which an automaton is inferred.
     sample: int = 600
     #: Longer labelled values are spans, but no examples of a format: one would outweigh all others.
@@ -82,6 +88,34 @@ def outside(runs: list[tuple[int, int]], known: list[tuple]) -> list[tuple[int,
     return free
 
 
+def pieces(runs: list[tuple[int, int]], text: str, known: list[tuple], least: int) -> list[tuple[int, int]]:
+    """The runs, their parts between equals signs, and both without punctuation at the ends, outside the known spans."""
+    parts, found = [], set()
+    for a, b in runs:
+        for part in text[a:b].split("="):
+            parts.append((a, a + len(part)))
+            a += len(part) + 1
+    for cut in (runs, parts):
+        bare = []
+        for a, b in cut:
+            value = text[a:b]
+            left = value.lstrip(_EDGE)
+            bare.append((b - len(left), b - len(value) + len(value.rstrip(_EDGE)) if left else b))
+        for some in (cut, bare):
+            found.update(outside([(a, b) for a, b in some if b - a >= least], known))
+    return sorted(found)
+
+
+def apart(accepted: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Of ``(margin, start, end)`` the best that do not overlap."""
+    kept: list[tuple[int, int]] = []
+    for _, start, end in sorted(accepted, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+        at = bisect_left(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (start, end))
+    return kept
+
+
 def joined(spans: list[tuple]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind, *_ in spans)
 
@@ -103,10 +137,7 @@ def found_spans(docs: DataFrame, doc_id: str, text: str, s: ScanSettings) -> Dat
                 hexes = (start[long_], end[long_])
                 start, end = texts.runs(_VALUE[data])
                 long_ = end - start >= s.min_chars
-                start, end = start[long_], end[long_]
-                digits, letters = (np.concatenate([[0], np.cumsum(m[data])]) for m in (_DIGIT, _LETTER))
-                mixed = (digits[end] > digits[start]) & (letters[end] > letters[start])
-                runs = (start[mixed], end[mixed])
+                runs = (start[long_], end[long_])
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 base, more = [], []
                 plain = part.column("text").to_pylist()
@@ -117,7 +148,7 @@ def found_spans(docs: DataFrame, doc_id: str, text: str, s: ScanSettings) -> Dat
                         x, y = np.searchsorted(a, [low, high])
                         spans.append(list(zip((chars[a[x:y]] - chars[low]).tolist(), (chars[b[x:y]] - chars[low]).tolist())))
                     known = base_spans(own, spans[0])
-                    free = outside(spans[1], known)
+                    free = pieces(spans[1], own, known, s.min_chars)
                     base.append([dict(zip(("start", "end", "kind", "value"), x)) for x in known])
                     more.append([{"start": a, "end": b, "kind": "grammar", "value": own[a:b]} for a, b in free])
                 struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
@@ -234,14 +265,23 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", set
     formats = infer_formats(found, settings)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        margins: dict[str, float] = {}
+
+        def margin(value: str) -> float:
+            if value not in margins:
+                if len(margins) > _VALUES_HELD:
+                    margins.clear()
+                string = symbols(value)
+                margins[value] = max((f.likelihood(string) - least for f, least in formats), default=-math.inf)
+            return margins[value]
+
         for batch in batches:
             rows = []
             for base, more in zip(batch["base"], batch["candidates"]):
                 known = [(b["start"], b["end"], b["kind"]) for b in base]
                 kinds = [k for _, _, k in known]
-                added = [
-                    (c["start"], c["end"], c["kind"]) for c in more if any(f.likelihood(symbols(c["value"])) >= least for f, least in formats)
-                ]
+                scored = [(margin(c["value"]), c["start"], c["end"]) for c in more]
+                added = [(a, b, "grammar") for a, b in apart([x for x in scored if x[0] >= 0])]
                 spans = sorted(known + added, key=lambda x: (x[0], KINDS.index(x[2])))
                 digest = hashlib.sha256(joined(known).encode()).hexdigest()
                 rows.append((*(kinds.count(k) for k in KINDS[:-1]), digest, joined(spans), len(added)))

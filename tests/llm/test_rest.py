@@ -47,6 +47,17 @@ def test_secrets(spark, documents, odd, empty):
     assert all(set(brute_spans(t)) <= {(int(a), int(b), k) for k, a, b in (x.split(":") for x in by_id[i]["spans"].split(",") if x)} for i, t in texts if i and i >= 10**5)
 
 
+def test_secrets_short_or_joined_to_names(spark):
+    rng = random.Random(9)
+    key = lambda n, of="ABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(of) for _ in range(n))
+    texts = [f"token={key(10)}" for _ in range(80)]
+    asked = {100: ("client_key=", key(10), ""), 101: ("it was ", key(10), "."), 102: ("", key(10), " here"), 103: ("x ", "QWZXKPTVRS", " y"), 104: ("a=", key(10), "=b.")}
+    rows = list(enumerate(texts)) + [(i, "".join(t)) for i, t in asked.items()]
+    found = {r["doc_id"]: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (before, value, _) in asked.items():
+        assert found[i]["spans"] == f"grammar:{len(before)}:{len(before) + len(value)}" and found[i]["n_grammar"] == 1
+
+
 def test_runs_outside_known_spans():
     rng = random.Random(8)
     for _ in range(300):
