@@ -98,10 +98,63 @@ from talks where role not in ('user', 'assistant')
 """
 
 
+OP12_MERKLE_MANIFEST = r"""
+with recursive base as (
+  select doc_id, lang, n_chars, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') as a,
+    coalesce(strlen(source) || ':' || source, '-') as b, coalesce(strlen(lang) || ':' || lang, '-') as tree,
+    coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as d, coalesce(strlen(text) || ':' || text, '-') as e,
+    list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)) as inverted
+  from documents),
+leaves as (
+  select doc_id, lang, tree, sha256(a || b || tree || d || e) as leaf,
+    case when xor(inverted, 4294967295::bigint) % 7 = 0
+      then sha256(a || b || tree || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || e)
+      else sha256(a || b || tree || d || e) end as altered
+  from base),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls last, leaf) - 1 as i, count(*) over (partition by tree) as n
+  from leaves),
+nodes as (
+  select 0 as l, tree, i, leaf as h, n from placed
+  union all
+  select l + 1, tree, i // 2, sha256(string_agg(h, '' order by i)), any_value((n + 1) // 2) from nodes where n > 1 group by l, tree, i // 2),
+subroots as (
+  select tree, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n
+  from (select tree, h from nodes where n = 1) join (select distinct tree, lang from leaves) using (tree)),
+upper_ as (
+  select 0 as l, i, h, n from subroots
+  union all
+  select l + 1, i // 2, sha256(string_agg(h, '' order by i)), any_value((n + 1) // 2) from upper_ where n > 1 group by l, i // 2),
+root_ as (select h as root from upper_ where n = 1),
+steps as (
+  select p.tree, p.i, a.l, s.h as sibling, (p.i >> a.l) & 1 as slot
+  from placed p join nodes a on a.tree = p.tree and a.n > 1 and a.i = p.i >> a.l
+  left join nodes s on s.tree = p.tree and s.l = a.l and s.i = xor(a.i, 1)
+  union all
+  select p.tree, p.i, 1000 + a.l, s.h, (r.i >> a.l) & 1
+  from placed p join subroots r on r.tree = p.tree join upper_ a on a.n > 1 and a.i = r.i >> a.l
+  left join upper_ s on s.l = a.l and s.i = xor(a.i, 1)),
+proofs as (
+  select tree, i, string_agg(coalesce(sibling, ''), '' order by l) as proof, list(coalesce(sibling, '') order by l) as siblings, list(slot order by l) as slots
+  from steps group by tree, i),
+fold as (
+  select p.tree, p.i, 1 as k, altered as h, siblings, slots from placed p left join proofs q using (tree, i)
+  union all
+  select tree, i, k + 1, sha256(case when slots[k] = 1 then siblings[k] || h else h || siblings[k] end), siblings, slots
+  from fold where k <= len(siblings))
+select p.doc_id, p.leaf, s.h as subroot, root, sha256(coalesce(proof, '')) as proof_sha256, f.h as folded_root, f.h = root as verified
+from placed p join subroots s on s.tree = p.tree join root_ on true left join proofs q on q.tree = p.tree and q.i = p.i
+  join fold f on f.tree = p.tree and f.i = p.i and f.k = coalesce(len(f.siblings), 0) + 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_QUALITY_RULES,
         "op2_ngram_join": OP2_NGRAM_JOIN,
         "op4_tool_calls": OP4_TOOL_CALLS,
         "op8_line_dedup": OP8_LINE_DEDUP,
+        "op12_merkle_manifest": OP12_MERKLE_MANIFEST,
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievework.llm.line_dedup import line_dedup
+from sievework.llm.merkle import folded, hexed, merkle_manifest, proof_digest
 from sievework.llm.mixing import mix
 from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import best_fit_packing
@@ -107,5 +108,24 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents`` by language, checked after tampering with every seventh ``n_chars``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    made = merkle_manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), "doc_id", "lang", tampered)
+    made = made.withColumn("folded_root", hexed(folded(F.col("altered"), F.col("path"))))
+    return made.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_ALL = (
+    op1_quality_rules, op2_ngram_join, op3_mixing, op4_tool_calls, op5_url_filter, op6_packing, op7_secret_scan, op8_line_dedup,
+    op9_toxicity, op10_vector_search, op12_merkle_manifest,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_ngram_join, op3_mixing, op4_tool_calls, op5_url_filter, op6_packing, op7_secret_scan, op8_line_dedup, op9_toxicity, op10_vector_search)}
+    return {q.__name__: q for q in _ALL}
