@@ -81,7 +81,6 @@ def climb(nodes: DataFrame, longest: int, fan_out: int = 2) -> tuple[list[DataFr
             "tree", (F.col("index") / fan_out).cast("long").alias("index"),
             F.ceil(F.col("left") / fan_out).cast("long").alias("left"), parent.alias("digest"),
         )
-        nodes = materialize(nodes, "merkle-nodes")
         tops = tops.unionByName(nodes.filter("left = 1"))
         longest = -(-longest // fan_out)
     return levels, tops.select("tree", "digest")
