@@ -98,6 +98,26 @@ from talks where role not in ('user', 'assistant')
 """
 
 
+OP11_HARD_NEGATIVES = r"""
+with base as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_dot_product(a.v, b.v)::bigint as score
+  from base a join base b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, n.vec_id as negative_id, p.positive_score, n.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id)::int as rank
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+  and 30 * p.positive_score <= 100 * n.score and 100 * n.score <= 90 * p.positive_score
+qualify rank <= 10
+"""
+
 OP12_MERKLE_MANIFEST = r"""
 with recursive base as (
   select doc_id, lang, n_chars, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') as a,
@@ -156,5 +176,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_join": OP2_NGRAM_JOIN,
         "op4_tool_calls": OP4_TOOL_CALLS,
         "op8_line_dedup": OP8_LINE_DEDUP,
+        "op11_hard_negatives": OP11_HARD_NEGATIVES,
         "op12_merkle_manifest": OP12_MERKLE_MANIFEST,
     }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sievework.llm.hard_negatives import hard_negatives
 from sievework.llm.line_dedup import line_dedup
 from sievework.llm.merkle import folded, hexed, merkle_manifest, proof_digest
 from sievework.llm.mixing import mix
@@ -108,6 +109,12 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, F.col("vec_id") % 100 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, label, F.col("vec_id") % 100 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of ``documents`` by language, checked after tampering with every seventh ``n_chars``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -123,7 +130,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_quality_rules, op2_ngram_join, op3_mixing, op4_tool_calls, op5_url_filter, op6_packing, op7_secret_scan, op8_line_dedup,
-    op9_toxicity, op10_vector_search, op12_merkle_manifest,
+    op9_toxicity, op10_vector_search, op11_hard_negatives, op12_merkle_manifest,
 )
 
 
