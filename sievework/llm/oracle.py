@@ -169,6 +169,22 @@ from placed p join subroots s on s.tree = p.tree join root_ on true left join pr
   join fold f on f.tree = p.tree and f.i = p.i and f.k = coalesce(len(f.siblings), 0) + 1
 """
 
+OP13_NEAR_VECTORS = r"""
+with recursive base as (
+  select row_number() over () as r, vec_id, embedding::double[] as v from embeddings),
+usable as (
+  select r, vec_id, v, sqrt(list_dot_product(v, v)) as norm from base
+  where v is not null and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.r as a, b.r as b from usable a join usable b on a.r <> b.r and len(a.v) = len(b.v)
+    and list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+reach as (select r as a, r as b from base union select reach.a, links.b from reach join links on links.a = reach.b),
+components as (select a, min(vec_id) as component_id from reach join base on b = r group by a),
+degrees as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from base join components c on c.a = r left join degrees d on d.a = r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -178,4 +194,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": OP8_LINE_DEDUP,
         "op11_hard_negatives": OP11_HARD_NEGATIVES,
         "op12_merkle_manifest": OP12_MERKLE_MANIFEST,
+        "op13_near_vectors": OP13_NEAR_VECTORS,
     }

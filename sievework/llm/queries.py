@@ -10,6 +10,7 @@ from sievework.llm.hard_negatives import hard_negatives
 from sievework.llm.line_dedup import line_dedup
 from sievework.llm.merkle import folded, hexed, merkle_manifest, proof_digest
 from sievework.llm.mixing import mix
+from sievework.llm.near_vectors import near_vectors
 from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import best_fit_packing
 from sievework.llm.quality_rules import quality_rules
@@ -128,9 +129,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 _ALL = (
     op1_quality_rules, op2_ngram_join, op3_mixing, op4_tool_calls, op5_url_filter, op6_packing, op7_secret_scan, op8_line_dedup,
-    op9_toxicity, op10_vector_search, op11_hard_negatives, op12_merkle_manifest,
+    op9_toxicity, op10_vector_search, op11_hard_negatives, op12_merkle_manifest, op13_near_vectors,
 )
 
 
