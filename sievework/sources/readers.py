@@ -11,6 +11,7 @@ from sievework.errors import SourceError
 from sievework.functions.columns import nan_to_null, quoted
 from sievework.functions.parsing import INTEGER_PATTERN, MISSING_TOKENS, parse_number
 from sievework.operators.filters import Condition, keep_rows
+from sievework.sources.records import column_names, may_break, records
 
 # Spellings read as booleans when a whole column consists of them.
 _BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -36,21 +37,52 @@ def scan_csv(
 
     Missing tokens become NULL before types are decided, so ``NA`` in a column
     of numbers does not turn it into text.  Types are decided from all rows in
-    one scan; give ``schema`` to skip that scan.  Quoted cells may hold line
-    breaks; files without any can be split among tasks with ``multiLine="false"``.
+    one scan; give ``schema`` to skip that scan.
+
+    Quoted cells may hold line breaks, and files are read in byte ranges all the
+    same: if some record runs over lines, records are cut out by
+    :mod:`sievework.sources.records` and written once.  ``multiLine`` "true" or
+    "false" leaves that to Spark's own reader, as do other escapes, encodings,
+    comments and separators of several characters, and text with stray quotes.
     """
-    settings = {"header": "true", "escape": '"', "multiLine": "true", **options}
+    text = _text_cells(spark, path, options)
     if schema is not None:
         # One reader setting covers one token only; read text, null the set, then cast.
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        text = spark.read.options(**settings).csv(path)
         cells = [_cell(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in wanted.fields]
         return nan_to_null(text.select(cells))
-    text = spark.read.options(**settings).csv(path)
     text = text.select([_cell(quoted(c)).alias(c) for c in text.columns])
     return text.select([_typed(quoted(c), kind).alias(c) for c, kind in _kinds(text).items()])
 
 
+#: Options that say nothing about where a record ends.
+_CELL_OPTIONS = {"header", "sep", "delimiter", "quote", "escape", "nullvalue", "emptyvalue", "ignoreleadingwhitespace", "ignoretrailingwhitespace"}
+
+
+def _text_cells(spark: SparkSession, path: str, options: Mapping[str, str]) -> DataFrame:
+    """All cells as text."""
+    settings = {"header": "true", "escape": '"', **options}
+    given = {k.lower(): str(v) for k, v in settings.items()}
+    sep, quote = given.get("sep", given.get("delimiter", ",")), given.get("quote", '"')
+    plain = set(given) <= _CELL_OPTIONS and given["escape"] == quote and len(sep.encode()) == len(quote.encode()) == 1
+    if not plain:
+        return spark.read.options(**{"multiLine": "true", **settings}).csv(path)
+    if not may_break(spark, path, sep, quote):
+        return spark.read.options(**settings).csv(path)
+    found = records(spark, path, sep, quote)
+    whole = {"multiLine": "true", **settings}
+    if found is None:
+        return spark.read.options(**whole).csv(path)
+    header = given["header"].lower() == "true"
+    names = column_names(found, sep, quote, header)
+    if header:
+        found = found.filter(~F.col("first"))
+    spec = ", ".join(f"c{i} string" for i in range(len(names)))
+    cells = F.from_csv("value", spec, {k: str(v) for k, v in whole.items() if k.lower() != "header"})
+    parsed = found.filter(F.trim("value") != "").select(cells.alias("cells"))
+    return parsed.select([F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)])
+
+
 def _cell(column: Column) -> Column:
     return F.when(~column.isin(*MISSING_TOKENS), column)
 
