@@ -6,9 +6,11 @@ the ones they lack.  For one target column:
 * rows equal in all numeric columns are combined first, with their number, so a
   large group of copies is one donor (or one gap row);
 * donors are cut into leaves of a k-d tree whose splits come from a sample;
-* a gap row first searches its own leaf, which bounds how far its k-th
-  neighbour can be; then it visits just the leaves whose bounding box is within
-  that bound.  No donor within reach is left out, so the result is exact;
+* a gap row searches its own leaf first.  The k-th nearest found there, or in a
+  small sample of all donors, bounds its reach.  Then it visits other leaves in the
+  order of their boxes' distance, 4, 16, 64, ... of them a round, and every round shrinks
+  the reach; it is settled once the next box is beyond it.  No donor within reach is
+  left out, so the result is exact;
 * leaves with many gap rows are searched in several tasks.
 
 Equal distances are resolved by the smaller donor value.
@@ -17,6 +19,7 @@ Equal distances are resolved by the smaller donor value.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -24,9 +27,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sievework.functions.columns import as_double, numeric_columns, quoted
 from sievework.functions.frequencies import attach
-from sievework.session import materialize
+from sievework.session import materialize, remove_step, write_step
 
+#: Donors that shape the tree: so many at least, and some for each leaf.
 _SAMPLE = 50_000
+_SAMPLE_PER_LEAF = 4
+#: Donors whose distances seed the reach of every gap vector.
+_SEEDS = 512
+_COLUMNS_AT_ONCE = 4
 _GAPS_PER_TASK = 20_000
 _CHUNK_CELLS = 4_000_000
 
@@ -50,8 +58,10 @@ def neighbour_impute(df: DataFrame, k: int = 5, leaf_rows: int = 20_000) -> Data
         any_gap = any_gap | F.col(f"x{i}").isNull()
     asking = distinct.filter(any_gap).withColumn("q", _key(xs))
     fills = asking.select("q", "w", *xs)
-    for i in gaps:
-        found = _search(distinct, asking.filter(F.col(f"x{i}").isNull()), xs, i, k, leaf_rows)
+    # Columns do not wait for each other's rounds: their jobs share the executors.
+    with ThreadPoolExecutor(_COLUMNS_AT_ONCE) as pool:
+        means = list(pool.map(lambda i: _search(distinct, asking.filter(F.col(f"x{i}").isNull()), xs, i, k, leaf_rows), gaps))
+    for i, found in zip(gaps, means):
         fills = fills.join(found, "q", "left").withColumn(
             f"f{i}", F.when(F.col(f"x{i}").isNull(), F.coalesce(F.col("mean"), F.lit(row[f"m{i}"])))
         ).drop("mean")
@@ -80,28 +90,46 @@ def _search(
     donors = distinct.filter(F.col(f"x{target}").isNotNull())
     total = donors.count()
     leaves = 1 << max(0, math.ceil(math.log2(max(1, total / leaf_rows))))
-    tree = _grow(_sampled(donors, xs, total), leaves)
-    leaf_of = _leaf_udf(tree)
-    if len(tree) > 1:
-        donors = materialize(donors.withColumn("leaf", leaf_of(F.struct(*xs))), "donors")
-        asking = asking.withColumn("leaf", leaf_of(F.struct(*xs)))
-    else:
-        donors, asking = donors.withColumn("leaf", F.lit(0)), asking.withColumn("leaf", F.lit(0))
-    near = _nearest(donors, asking, xs, target, k)
-    if len(tree) > 1:
-        near = materialize(near, "near")
-        reach = near.groupBy("q").agg(
-            F.when(F.sum("w") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach")
-        )
-        boxes = _boxes(donors, xs)
-        visits = (
-            asking.join(reach, "q", "left")
-            .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-            .withColumn("more", _visit_udf(boxes)(F.struct(*xs), "reach", "leaf"))
-            .withColumn("leaf", F.explode("more"))
-            .drop("reach", "more")
-        )
-        near = near.unionByName(_nearest(donors, visits, xs, target, k))
+    sample = _sampled(donors, [*xs, "w"], total, max(_SAMPLE, _SAMPLE_PER_LEAF * leaves))
+    tree = _grow(sample[:, :-1], leaves)
+    if len(tree) == 1:
+        here = F.lit(0)
+        return _means(_nearest(donors.withColumn("leaf", here), asking.withColumn("leaf", here), xs, target, k), k)
+    leaf_of = _leaf_udf(tree)(F.struct(*xs))
+    seeds = sample[np.random.default_rng(5).permutation(len(sample))[:_SEEDS]]
+    donors = materialize(donors.withColumn("leaf", leaf_of), "donors")
+    seeded = _seed_udf(seeds, target, k)(F.struct(*xs))
+    asking = materialize(asking.select("q", *xs).withColumn("leaf", leaf_of).withColumn("seed", seeded), "asking")
+    boxes = _boxes(donors, xs)
+    best, written = write_step(_kept(_nearest(donors, asking, xs, target, k), k), "near")
+    seen, count = 0, 4
+    open_ = asking
+    while True:  # rounds grow with the logarithm of the leaves
+        reach = best.groupBy("q").agg(F.when(F.sum("w") >= k, F.max("d")).alias("found"))
+        within = F.least(F.coalesce("found", F.lit(float("inf"))), "seed")
+        more = _visit_udf(boxes, seen, count)(F.struct(*xs), within, "leaf")
+        visits = open_.join(reach, "q", "left").withColumn("visits", more).filter(F.size("visits") > 0)
+        visits, round_ = write_step(visits.select("q", *xs, "leaf", "seed", "visits"), "visits")
+        found = _nearest(donors, visits.select("q", *xs, F.explode("visits").alias("leaf")), xs, target, k)
+        if found is None:
+            remove_step(distinct.sparkSession, round_)
+            break
+        best, newer = write_step(_kept(best.unionByName(found), k), "near")
+        if seen:
+            remove_step(distinct.sparkSession, previous)
+        remove_step(distinct.sparkSession, written)
+        open_, previous, written = visits, round_, newer
+        seen, count = seen + count, count * 4
+    return _means(best, k)
+
+
+def _kept(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each gap vector, copies counted; ``d`` of the last is its reach."""
+    upto = Window.partitionBy("q").orderBy("d", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumn("upto", F.sum("w").over(upto)).filter(F.col("upto") - F.col("w") < k).drop("upto")
+
+
+def _means(near: DataFrame, k: int) -> DataFrame:
     # At most k candidates per visited leaf remain for each gap vector.
     upto = Window.partitionBy("q").orderBy("d", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     take = F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - (F.col("upto") - F.col("w"))))
@@ -113,9 +141,11 @@ def _search(
     )
 
 
-def _nearest(donors: DataFrame, asking: DataFrame, xs: list[str], target: int, k: int) -> DataFrame:
-    """(q, d, v, w): the k nearest donors of each gap vector within the leaf it is sent to."""
+def _nearest(donors: DataFrame, asking: DataFrame, xs: list[str], target: int, k: int) -> DataFrame | None:
+    """(q, d, v, w): the k nearest donors of each gap vector within the leaf it is sent to; None if none is sent."""
     sizes = {r["leaf"]: r["n"] for r in asking.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return None
     busy = {leaf: math.ceil(n / _GAPS_PER_TASK) for leaf, n in sizes.items() if n > _GAPS_PER_TASK}
     tasks = F.lit(1)
     if busy:
@@ -144,18 +174,7 @@ def _top_k(ask: pd.DataFrame, have: pd.DataFrame, xs: list[str], target: int, k:
     owners, picks, distances = [], [], []
     step = max(1, _CHUNK_CELLS // len(points))
     for start in range(0, len(queries), step):
-        some = queries[start : start + step]
-        total = np.zeros((len(some), len(points)))
-        common = np.zeros((len(some), len(points)))
-        for c in range(len(xs)):
-            gap = some[:, c][:, None] - points[:, c][None, :]
-            both = ~np.isnan(gap)
-            total += np.where(both, gap * gap, 0.0)
-            common += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.sqrt(len(xs) / common * total)
-        distance[common == 0] = np.inf
-        for r, d in enumerate(distance):
+        for r, d in enumerate(_distances(queries[start : start + step], points)):
             edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
             pick = np.flatnonzero((d <= edge) & np.isfinite(d))
             pick = pick[np.lexsort((value[pick], d[pick]))][:k]
@@ -168,9 +187,44 @@ def _top_k(ask: pd.DataFrame, have: pd.DataFrame, xs: list[str], target: int, k:
     )
 
 
-def _sampled(donors: DataFrame, xs: list[str], total: int) -> np.ndarray:
-    """At most about ``_SAMPLE`` donor vectors; they shape the tree, not the result."""
-    share = min(1.0, _SAMPLE / max(1, total))
+def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Every query to every point over the columns that both have; infinite without any."""
+    total = np.zeros((len(queries), len(points)))
+    common = np.zeros((len(queries), len(points)))
+    for c in range(queries.shape[1]):
+        gap = queries[:, c][:, None] - points[:, c][None, :]
+        both = ~np.isnan(gap)
+        total += np.where(both, gap * gap, 0.0)
+        common += both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        distance = np.sqrt(queries.shape[1] / common * total)
+    distance[common == 0] = np.inf
+    return distance
+
+
+def _seed_udf(seeds: np.ndarray, target: int, k: int):
+    """An upper bound of the distance of the k-th nearest donor: that in a sample of them."""
+    points, copies = seeds[:, :-1], seeds[:, -1]
+
+    @F.pandas_udf("double")
+    def seed(vectors: pd.DataFrame) -> pd.Series:
+        queries = vectors.to_numpy(dtype=float)
+        out = np.full(len(queries), np.inf)
+        for start in range(0, len(queries), 4096):
+            distance = _distances(queries[start : start + 4096], points)
+            order = np.argsort(distance, axis=1, kind="stable")
+            enough = np.cumsum(copies[order], axis=1) >= k
+            at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
+            rows = np.flatnonzero(at >= 0)
+            out[start + rows] = distance[rows, order[rows, at[rows]]]
+        return pd.Series(out)
+
+    return seed
+
+
+def _sampled(donors: DataFrame, xs: list[str], total: int, wanted: int) -> np.ndarray:
+    """About ``wanted`` donor vectors; they shape the tree and first bounds, not the result."""
+    share = min(1.0, wanted / max(1, total))
     return donors.select(*xs).sample(share, seed=5).toPandas().to_numpy(dtype=float)
 
 
@@ -243,7 +297,8 @@ def _boxes(donors: DataFrame, xs: list[str]) -> pd.DataFrame:
     return donors.groupBy("leaf").agg(*edges).toPandas()
 
 
-def _visit_udf(boxes: pd.DataFrame):
+def _visit_udf(boxes: pd.DataFrame, seen: int, count: int):
+    """The next ``count`` leaves after ``seen`` ones, nearest boxes first, as far as they are within reach."""
     leaves = boxes["leaf"].to_numpy()
     low = boxes[[c for c in boxes.columns if c.startswith("lo_")]].to_numpy(dtype=float)
     high = boxes[[c for c in boxes.columns if c.startswith("hi_")]].to_numpy(dtype=float)
@@ -263,10 +318,10 @@ def _visit_udf(boxes: pd.DataFrame):
                 squares += np.where(np.isnan(some[:, c])[:, None], 0.0, outside * outside)
             have = np.maximum(1, (~np.isnan(some)).sum(axis=1))
             least = np.sqrt(some.shape[1] / have[:, None] * squares)
-            close = least <= limits[start : start + step, None] * (1 + 1e-9)
-            close &= leaves != homes[start : start + step, None]
-            row, leaf = np.nonzero(close)
-            lists += np.split(leaves[leaf].astype(np.int32), np.searchsorted(row, np.arange(1, len(some))))
+            least[leaves[None, :] == homes[start : start + step, None]] = -1  # visited first
+            order = np.argsort(least, axis=1, kind="stable")[:, 1 + seen : 1 + seen + count]
+            close = np.take_along_axis(least, order, axis=1) <= limits[start : start + step, None] * (1 + 1e-9)
+            lists += [leaves[row[fits]].astype(np.int32) for row, fits in zip(order, close)]
         return pd.Series(lists, dtype=object)
 
     return visit

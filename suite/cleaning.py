@@ -145,22 +145,20 @@ _KNN_GAPS = (
 _KNN_NUMBERS = ["c_custkey", "nation", "balance"]
 
 
-def _knn_sql():
-    total = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in _KNN_NUMBERS)
-    common = " + ".join(f"(a.{c} is not null and b.{c} is not null)::int" for c in _KNN_NUMBERS)
+def _knn_sql(origin, key, numbers, filled, kept):
+    total = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in numbers)
+    common = " + ".join(f"(a.{c} is not null and b.{c} is not null)::int" for c in numbers)
 
     def found(c):
         return (
-            f"(select k, avg(v) as v from (select a.c_custkey as k, b.{c} as v, row_number() over (partition by "
-            f"a.c_custkey order by sqrt(3 / ({common}) * ({total})), b.{c}) as r from g a join g b on a.{c} is null and "
+            f"(select k, avg(v) as v from (select a.{key} as k, b.{c} as v, row_number() over (partition by "
+            f"a.{key} order by sqrt({len(numbers)} / ({common}) * ({total})), b.{c}) as r from g a join g b on a.{c} is null and "
             f"b.{c} is not null) where r <= 5 group by 1)"
         )
 
-    return (
-        f"with g as {_KNN_GAPS} select g.c_custkey::double as c_custkey, round(coalesce(nation, n.v), 6) as nation, "
-        f"round(coalesce(balance, m.v), 6) as balance from g left join {found('nation')} n on n.k = c_custkey left join "
-        f"{found('balance')} m on m.k = c_custkey"
-    )
+    cells = ", ".join(f"round(coalesce({c}, n{i}.v), 6) as {c}" for i, c in enumerate(filled))
+    joins = " ".join(f"left join {found(c)} n{i} on n{i}.k = g.{key}" for i, c in enumerate(filled))
+    return f"with g as {origin} select {kept}, {cells} from g {joins}"
 
 
 suite.add(
@@ -171,7 +169,35 @@ suite.add(
         ),
         6,
     ),
-    _knn_sql(),
+    _knn_sql(_KNN_GAPS, "c_custkey", _KNN_NUMBERS, ["nation", "balance"], "g.c_custkey::double as c_custkey"),
+)
+
+# Ten columns: coordinates of a key in rings of ten lengths, with gaps in three of them.
+_WIDE = [f"x{i}" for i in range(10)]
+_RINGS = [3, 5, 7, 11, 13, 17, 19, 23, 29, 31]
+
+
+def _wide_gaps(s, d):
+    key = F.col("c_custkey")
+    ring = [(key % n).cast("double") * (i + 1) + F.col("c_acctbal") / 1000 for i, n in enumerate(_RINGS)]
+    gap = [key % 17 != 0, key % 19 != 0, key % 23 != 0]
+    return table(s, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        *[(F.when(gap[i], x) if i < 3 else x).alias(c) for i, (c, x) in enumerate(zip(_WIDE, ring))],
+    )
+
+
+_WIDE_SQL = "(select c_custkey, " + ", ".join(
+    (f"case when c_custkey % {17 + 2 * i + 2 * (i == 2)} <> 0 then {x} end" if i < 3 else x) + f" as x{i}"
+    for i, x in enumerate(f"(c_custkey % {n})::double * {i + 1} + c_acctbal / 1000" for i, n in enumerate(_RINGS))
+) + " from customer)"
+suite.add(
+    "m9_knn_wide",
+    lambda s, d: rounded(apply_operation(_wide_gaps(s, d), "missing_values.knn", "x0", leaf_rows=100), 6),
+    _knn_sql(
+        _WIDE_SQL, "c_custkey", _WIDE, _WIDE[:3],
+        "g.c_custkey::varchar as id, " + ", ".join(f"round({c}, 6) as {c}" for c in _WIDE[3:]),
+    ),
 )
 _clean(
     "m10_missforest",

@@ -12,6 +12,7 @@ from sievework.errors import OperationError, UnknownOperationError
 from sievework.functions.stemming import stem
 from sievework.functions.text import tokenize
 from sievework.operators.cleaning.base import Operation, OperationSpec
+from sievework.operators.cleaning import neighbours
 from sievework.operators.cleaning.neighbours import neighbour_impute
 from sievework.operators.cleaning.skew import skew_change
 from sievework.plans.cleaning import apply_operation, default_catalog, preview_chain, run_chain
@@ -121,6 +122,25 @@ def test_knn_against_brute_force(spark, leaf_rows):
         assert got.loc[str(i)].to_numpy() == pytest.approx(want[i]), (i, rows[i])
 
 
+def test_knn_visits_few_leaves(spark, monkeypatch):
+    """Ten columns, and leaves that lack donors: boxes are visited nearest first, and few of them."""
+    rng = np.random.default_rng(12)
+    centres = rng.uniform(-50, 50, (40, 10))
+    points = centres[rng.integers(0, 40, 2400)] + rng.standard_normal((2400, 10))
+    rows = [[float(x) for x in p] for p in points]
+    for i in range(0, 2400, 20):
+        rows[i][i % 4] = None
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} double" for i in range(10)))
+    asked = []
+    nearest = neighbours._nearest
+    monkeypatch.setattr(neighbours, "_nearest", lambda donors, asking, *a: asked.append(asking.count()) or nearest(donors, asking, *a))
+    got = sorted(tuple(r) for r in neighbour_impute(df, 5, 20).collect())
+    want = sorted(tuple(map(float, r)) for r in brute_knn(rows, 5))
+    assert np.allclose(got, want)
+    # 120 gap vectors, 128 leaves: the own one and some neighbours each.
+    assert sum(asked) < 120 * 20
+
+
 def test_forest_fills_and_keeps_known(spark):
     rows = [(float(i), 3.0 * i + 1, None if i % 6 == 0 else 2.0 * i) for i in range(120)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
