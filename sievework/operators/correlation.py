@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sievework.errors import OperationError
 from sievework.functions.columns import as_double, is_numeric, numeric_columns, quoted, require_columns, type_of
 from sievework.functions.frequencies import attach
-from sievework.functions.ordering import RANGE, literal_array, range_offsets, with_range
+from sievework.functions.ordering import RANGE, with_range
 from sievework.session import temporary
 
 _PAIRS_PER_PASS = 60
@@ -35,16 +34,8 @@ def correlation(
     elif method in ("spearman", "kendall"):
         cells = _pearson(wide, [(i, i) for i in range(len(names))])
         apart = list(itertools.combinations(range(len(names)), 2))
-        if method == "spearman":
-            whole = _columns_without_gaps(wide)
-            ranked = [(i, j) for i, j in apart if i in whole and j in whole]
-            if ranked:
-                cells = cells.unionByName(_pearson(_with_ranks(wide, whole, **options), ranked))
-            apart = [p for p in apart if p not in ranked]
-        one = _spearman_pair if method == "spearman" else _kendall_pair
-        if apart:  # a number for each pair; what a pair needed is deleted before the next
-            found = [(i, j, one(wide, i, j, **options)) for i, j in apart]
-            cells = cells.unionByName(df.sparkSession.createDataFrame(found, "i int, j int, correlation double"))
+        rank = _spearman if method == "spearman" else _kendall
+        cells = cells.unionByName(rank(wide, apart, **options))
     else:
         raise OperationError(f"Unknown correlation method '{method}'.")
     labels = F.array(*[F.lit(n) for n in names])
@@ -63,13 +54,16 @@ def correlation(
     )
 
 
-def _pearson(wide: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """All pairs in one aggregation (a few for very wide tables); no shuffle but the totals."""
+def _pearson(wide: DataFrame, pairs: list[tuple[int, int]], labels: list[tuple[int, int]] | None = None) -> DataFrame:
+    """All pairs in one aggregation (a few for very wide tables); no shuffle but the totals.
+
+    ``labels`` are given out as ``i, j`` in place of the columns' numbers.
+    """
     parts = None
     for at in range(0, len(pairs), _PAIRS_PER_PASS):
-        some = pairs[at : at + _PAIRS_PER_PASS]
+        some = list(zip(pairs, labels or pairs))[at : at + _PAIRS_PER_PASS]
         aggregates = []
-        for n, (i, j) in enumerate(some):
+        for n, ((i, j), _) in enumerate(some):
             x, y = F.col(f"x{i}"), F.col(f"x{j}")
             if i == j:
                 aggregates.append(F.var_pop(x).alias(f"c{n}"))
@@ -82,11 +76,11 @@ def _pearson(wide: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
         row = wide.agg(*aggregates)
         cells = [
             F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
+                F.lit(named[0]).alias("i"),
+                F.lit(named[1]).alias("j"),
                 (F.when(F.col(f"c{n}") > 0, F.lit(1.0)) if i == j else _ratio(n)).alias("correlation"),
             )
-            for n, (i, j) in enumerate(some)
+            for n, ((i, j), named) in enumerate(some)
         ]
         part = row.select(F.inline(F.array(*cells)))
         parts = part if parts is None else parts.unionByName(part)
@@ -103,125 +97,111 @@ def _columns_without_gaps(wide: DataFrame) -> list[int]:
     return [i for i, n in enumerate(row[1:]) if n == row[0]]
 
 
-def _with_ranks(wide: DataFrame, columns: Sequence[int], **options) -> DataFrame:
-    """Columns without gaps as average ranks: the same for every pair, so each is ranked once."""
-    ranked = wide.select([f"x{i}" for i in columns])
-    for i in columns:
-        counts = wide.groupBy(F.col(f"x{i}").alias("x")).agg(F.count(F.lit(1)).alias("w"))
-        ranks = _value_ranks(counts, "x", **options)
-        lookup = ranks.select(F.col("value").alias("key"), F.col("rank").alias("value"), F.col("t").alias("n"))
-        ranked = attach(ranked, f"x{i}", lookup, f"x{i}")
-    return ranked
-
-
-def _pair_counts(wide: DataFrame, i: int, j: int) -> DataFrame:
-    """Distinct (x, y) with their number."""
-    return (
-        wide.select(F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y"))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-
-
-def _value_ranks(counts: DataFrame, column: str, **options) -> DataFrame:
-    """(value, average rank, dense rank, number) of one column, ranked range by range."""
-    totals = counts.groupBy(F.col(column).alias("value")).agg(F.sum("w").alias("t"))
-    ranged, ranges = with_range(totals, "value", **options)
-    inside = Window.partitionBy(RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end, dense = F.sum("t").over(inside), F.count(F.lit(1)).over(inside)
-    if ranges > 1:
-        at = F.col(RANGE) + 1
-        end = end + F.element_at(literal_array(range_offsets(ranged, ranges, F.col("t")), "bigint"), at)
-        dense = dense + F.element_at(literal_array(range_offsets(ranged, ranges), "bigint"), at)
-    return ranged.select(
-        "value", "t", (end - (F.col("t") - 1) / 2).alias("rank"), (dense - 1).cast("long").alias("dense")
-    )
-
-
-def _spearman_pair(wide: DataFrame, i: int, j: int, **options) -> float | None:
-    """Pearson on average ranks, weighted by how often each value pair occurs."""
-    with temporary(_pair_counts(wide, i, j), "pairs") as counts:  # ranking reads it several times
-        rx = _value_ranks(counts, "x", **options).select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-        ry = _value_ranks(counts, "y", **options).select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-        ranked = counts.join(rx, "x").join(ry, "y")
-        # Ranks average (n + 1) / 2, so the moments can be centred up front.
-        size = counts.agg(F.sum("w")).first()[0] or 0
-        dx, dy, w = F.col("rx") - (size + 1) / 2, F.col("ry") - (size + 1) / 2, F.col("w")
-        moments = ranked.agg(
-            F.sum(w * dx * dy).alias("c0"), F.sum(w * dx * dx).alias("a0"), F.sum(w * dy * dy).alias("b0")
-        )
-        return moments.select(_ratio(0).alias("r")).first()["r"]
-
+def _ranked(wide: DataFrame, values: Sequence[Column], measure: str, **options) -> DataFrame:
+    """``x0, x1, ...``: each value's average rank ("rank") or number from 0 ("dense") among those of its column.
 
-def _kendall_pair(wide: DataFrame, i: int, j: int, **options) -> float | None:
-    with temporary(_pair_counts(wide, i, j), "pairs") as counts:
-        return _kendall(counts, **options).first()["r"]
-
-
-def _kendall(counts: DataFrame, **options) -> DataFrame:
-    """Tau-b by counting discordant pairs bit by bit; no pair of rows is ever formed.
-
-    Rows are ordered by (x, y) and y is replaced by its dense rank.  Two ranks
-    first differ at some binary digit; at that digit, among rows sharing the
-    higher digits, every 1 placed before a 0 is one discordant pair.  So one
-    running sum per (digit, prefix) counts them all.  The running sums are cut
-    into row ranges, because the top digit puts all rows under one prefix.
+    All columns are ranked together: (column, value) is counted, cut into ranges and numbered
+    once, and ranks go back to the cells of every column in one join, then to
+    their rows by a row key.  So exchanges do not grow with the columns.
     """
-    ys = _value_ranks(counts, "y", **options)
-    placed = counts.join(ys.select(F.col("value").alias("y"), F.col("dense").alias("d")), "y")
-    ranged, _ = with_range(placed, ["x", "d"], **options)
-    size_y = ys.agg(F.count(F.lit(1))).first()[0]
-    digits = max(1, math.ceil(math.log2(size_y))) if size_y > 1 else 1
+    some = F.array(*[F.struct(F.lit(k).alias("id"), v.alias("v")) for k, v in enumerate(values)])
+    cells = wide.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(some).alias("key"))
+    cells = cells.filter(F.col("key.v").isNotNull()).select("row", "key", F.col("key.id").alias("id"))
+    counts = cells.groupBy("id", F.col("key.v").alias("v")).agg(F.count(F.lit(1)).alias("t"))
+    ranged, ranges = with_range(counts, ["id", "v"], **options)
+    inside = Window.partitionBy(RANGE, "id").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("t") if measure == "rank" else F.count(F.lit(1))
+    placed = ranged.withColumn("upto", upto.over(inside))
+    if ranges > 1:  # a row per range and column that it holds
+        earlier = Window.partitionBy("id").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        before = ranged.groupBy(RANGE, "id").agg(upto.alias("own")).select(RANGE, "id", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
+        placed = placed.join(before, [RANGE, "id"]).withColumn("upto", F.col("upto") + F.col("before"))
+    value = F.col("upto") - (F.col("t") - 1) / 2 if measure == "rank" else F.col("upto") - 1
+    lookup = placed.select(F.struct("id", "v").alias("key"), value.alias("value"), F.col("t").alias("n"))
+    found = attach(cells, "key", lookup, "found")
+    return found.groupBy("row").agg(*[F.max(F.when(F.col("id") == k, F.col("found"))).alias(f"x{k}") for k in range(len(values))])
+
+
+def _spearman(wide: DataFrame, pairs: list[tuple[int, int]], **options) -> DataFrame:
+    """Pearson on average ranks.  A pair with gaps is ranked over the rows that have both, as columns of its own."""
+    whole = _columns_without_gaps(wide)
+    values, at = [F.col(f"x{i}") for i in whole], []
+    for i, j in pairs:
+        if i in whole and j in whole:
+            at.append((whole.index(i), whole.index(j)))
+            continue
+        x, y = F.col(f"x{i}"), F.col(f"x{j}")
+        at.append((len(values), len(values) + 1))
+        values += [F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)]
+    return _pearson(_ranked(wide, values, "rank", **options), at, pairs)
+
+
+def _kendall(wide: DataFrame, pairs: list[tuple[int, int]], **options) -> DataFrame:
+    """Tau-b of all pairs at once."""
+    dense = _ranked(wide, [F.col(c) for c in wide.columns], "dense", **options)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for n, (i, j) in enumerate(pairs)]))
+    present = dense.select(each.alias("p")).select("p.*").filter("x is not null and y is not null")
+    counts = present.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    with temporary(counts, "pairs") as counts:  # read several times
+        found = {r["pair"]: r["r"] for r in _tau(counts, **options).collect()}
+    rows = [(i, j, found.get(n)) for n, (i, j) in enumerate(pairs)]
+    return wide.sparkSession.createDataFrame(rows, "i int, j int, correlation double")
+
+
+def _tau(counts: DataFrame, **options) -> DataFrame:
+    """``pair, r`` by counting discordant pairs bit by bit; no pair of rows is ever formed.
+
+    ``counts`` holds ``pair, x, y, w``, x and y as dense ranks.  Rows are ordered by
+    (x, y).  Two ranks first differ at some binary digit; at that digit, among rows
+    sharing the higher digits, every 1 placed before a 0 is one discordant pair.
+    So one running sum per (pair, digit, prefix) counts them all.  The running
+    sums are cut into row ranges, because the top digit puts all rows under one prefix.
+    """
+    largest = counts.agg(F.max("y")).first()[0] or 0
+    digits = max(1, int(largest).bit_length())
+    ranged, _ = with_range(counts, ["pair", "x", "y"], **options)
 
     w = F.col("w").cast("decimal(19,0)")
     spread = ranged.select(
-        RANGE, "x", "d", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")
+        RANGE, "pair", "x", "y", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")
     ).select(
         RANGE,
+        "pair",
         "x",
-        "d",
+        "y",
         "w",
         "digit",
-        F.expr("shiftright(d, digit + 1)").alias("prefix"),
-        (F.expr("shiftright(d, digit)").bitwiseAND(F.lit(1)) == 1).alias("one"),
+        F.expr("shiftright(y, digit + 1)").alias("prefix"),
+        (F.expr("shiftright(y, digit)").bitwiseAND(F.lit(1)) == 1).alias("one"),
     )
     zero = F.lit(0).cast("decimal(19,0)")
     ones = F.when(F.col("one"), F.col("w")).otherwise(zero)
     zeros = F.when(F.col("one"), zero).otherwise(F.col("w"))
-    group = ["digit", "prefix"]
+    group = ["pair", "digit", "prefix"]
     by_range = spread.groupBy(*group, RANGE).agg(F.sum(ones).alias("s1"), F.sum(zeros).alias("s0"))
     earlier = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    across = by_range.withColumn("before", F.coalesce(F.sum("s1").over(earlier), zero)).agg(
-        F.coalesce(F.sum((F.col("before") * F.col("s0")).cast("decimal(38,0)")), F.lit(0)).alias("across")
-    )
-    running = (
-        Window.partitionBy(*group, RANGE).orderBy("x", "d").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    within = spread.withColumn("before", F.coalesce(F.sum(ones).over(running), zero)).agg(
-        F.coalesce(F.sum((F.col("before") * zeros).cast("decimal(38,0)")), F.lit(0)).alias("within")
-    )
+    running = Window.partitionBy(*group, RANGE).orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1)
+
+    def discordant(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+        product = (F.coalesce(before, zero) * after).cast("decimal(38,0)")
+        return rows.select("pair", product.alias("bad")).groupBy("pair").agg(F.sum("bad").alias("bad"))
+
+    bad = discordant(by_range, F.sum("s1").over(earlier), F.col("s0")).unionByName(discordant(spread, F.sum(ones).over(running), zeros))
+    bad = bad.groupBy("pair").agg(F.sum("bad").cast("double").alias("bad"))
 
-    def tied(column: Column | None) -> DataFrame:
-        totals = counts if column is None else counts.groupBy(column).agg(F.sum("w").alias("w"))
+    def tied(name: str, *columns: str) -> DataFrame:
+        totals = counts.groupBy("pair", *columns).agg(F.sum("w").alias("w")) if len(columns) < 2 else counts
         t = F.col("w").cast("decimal(19,0)")
-        return totals.agg(F.coalesce(F.sum((t * (t - 1) / 2).cast("decimal(38,0)")), F.lit(0)))
-
-    # Each part is a single total; scalar subqueries put them in one row.
-    n = F.col("n").cast("decimal(19,0)")
-    totals = counts.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).select(
-        (n * (n - 1) / 2).cast("double").alias("n0"),
-        tied(F.col("x")).scalar().cast("double").alias("n1"),
-        tied(F.col("y")).scalar().cast("double").alias("n2"),
-        tied(None).scalar().cast("double").alias("n3"),
-        (across.scalar() + within.scalar()).cast("double").alias("bad"),
-    )
+        return totals.groupBy("pair").agg(F.sum((t * (t - 1) / 2).cast("decimal(38,0)")).cast("double").alias(name))
+
+    # A row for each pair of columns.
+    totals = bad
+    for part in (tied("n0"), tied("n1", "x"), tied("n2", "y"), tied("n3", "x", "y")):
+        totals = totals.join(part, "pair")
     numerator = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("bad")
     spread_x, spread_y = F.col("n0") - F.col("n1"), F.col("n0") - F.col("n2")
     r = F.try_divide(numerator, F.sqrt(spread_x) * F.sqrt(spread_y))
-    return totals.select(
-        F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")
-    )
+    return totals.select("pair", F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def correlation_wide(long: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:

@@ -414,6 +414,45 @@ suite.add(
     lambda s, d: rounded(correlation(table(s, d, "customer"), ["c_custkey", "c_nationkey", "c_acctbal"], "kendall"), 6),
     _kendall_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
 )
+_FIVE = ["c_custkey", "c_nationkey", "c_acctbal", "seventh", "gap"]
+
+
+def _five(s, d):
+    key = F.col("c_custkey")
+    return table(s, d, "customer").select(
+        *_FIVE[:3], (key % 7).alias("seventh"), F.when(key % 5 != 0, F.round(F.col("c_acctbal") / 500)).alias("gap")
+    )
+
+
+_FIVE_SQL = (
+    "(select c_custkey, c_nationkey, c_acctbal, c_custkey % 7 as seventh, "
+    "case when c_custkey % 5 <> 0 then round(c_acctbal / 500) end as gap from customer)"
+)
+
+
+def _kendall_gaps_sql(origin, names):
+    parts = []
+    for x in names:
+        for y in names:
+            sx, sy = f"sign(a.{x} - b.{x})", f"sign(a.{y} - b.{y})"
+            both = f"{sx} is not null and {sy} is not null"
+            parts.append(
+                f"select '{x}' as column_x, '{y}' as column_y, round(sum({sx} * {sy}) / (sqrt(sum(abs({sx})) filter ({both})) "
+                f"* sqrt(sum(abs({sy})) filter ({both}))), 6) as correlation from g a, g b"
+            )
+    return f"with g as {origin} " + " union all ".join(parts)
+
+
+suite.add(
+    "a13_correlation_kendall_five",
+    lambda s, d: rounded(correlation(_five(s, d), _FIVE, "kendall"), 6),
+    _kendall_gaps_sql(_FIVE_SQL, _FIVE),
+)
+suite.add(
+    "a12_correlation_spearman_five",
+    lambda s, d: rounded(correlation(_five(s, d), _FIVE, "spearman"), 6),
+    _spearman_sql(_FIVE_SQL, _FIVE),
+)
 suite.add(
     "a14_numeric_aggregates_table",
     lambda s, d: rounded(numeric_totals(mixed_gaps(s, d))),

@@ -14,6 +14,7 @@ from sievework import session
 from sievework.errors import AggregationError, FilterError, OperationError, ReadOnlyError, UnknownColumnError
 from sievework.functions.ordering import Order
 from sievework.operators.aggregates import Aggregation, aggregate, count_distinct, group_by, value_counts
+from sievework.operators import correlation as correlation_module
 from sievework.operators.correlation import correlation
 from sievework.operators.filters import Condition, coerce_literal, filter_rows, keep_rows
 from sievework.operators.sorting import paginate, sort_rows
@@ -127,7 +128,19 @@ def test_rank_correlation_leaves_no_pair_tables(spark, folder, monkeypatch):
             assert found[x, y] == found[y, x]
     left = os.listdir(folder)
     assert not [p for p in left if p.startswith("pairs")]
-    assert len([p for p in left if p.startswith("lookup")]) <= 3  # one per column without gaps
+    assert len([p for p in left if p.startswith("lookup")]) <= 2  # one for each method
+
+
+def test_rank_correlation_exchanges_do_not_grow_with_columns(spark):
+    numbers = np.random.default_rng(6).integers(0, 40, (300, 6)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in numbers], ", ".join(f"c{i} double" for i in range(6)))
+
+    def exchanges(n):
+        ranked = correlation_module._ranked(df.select([F.col(f"c{i}").alias(f"x{i}") for i in range(n)]), [F.col(f"x{i}") for i in range(n)], "rank")
+        return ranked._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(2) == exchanges(6)
+
 
 
 def test_correlation_rules(spark):
