@@ -40,6 +40,7 @@ class Operation:
     ``learn``       anything needing its own passes
     ``verify``      raises when the facts rule the operation out
     ``affected``    aggregate counting the rows it changes
+    ``before``, ``after``  further aggregates for the account of the step, over the table before and after it
     """
 
     key: str
@@ -56,6 +57,8 @@ class Operation:
     whole_table: bool = False
     drops_rows: bool = False
     reads: Callable[[DataFrame, str, Params], Iterable[str]] | None = None
+    before: Callable[[DataFrame, str, Params], dict[str, Column]] | None = None
+    after: Callable[[DataFrame, str, Params], dict[str, Column]] | None = None
 
     @property
     def category(self) -> str:
@@ -84,6 +87,7 @@ class Outcome:
     spec: OperationSpec
     dataframe: DataFrame
     _metrics: Callable[[], DataFrame]
+    before: DataFrame | None = None
 
     @property
     def metrics(self) -> DataFrame:
@@ -95,14 +99,18 @@ METRICS_SCHEMA = (
 )
 
 
+def affected_rows(op: Operation, df: DataFrame, name: str, params: Params, facts: Facts) -> Column:
+    affected = op.affected or (lambda *_: F.count(F.lit(1)))
+    return affected(df, name, params, facts).cast("long")
+
+
 def metrics_of(op: Operation, spec: OperationSpec, before: DataFrame, facts: Facts) -> DataFrame:
     """operation_key, column_name, affected_row_count, affected_column_count."""
     name, params = spec.column_name, spec.params
     if op.measure is not None:
         counted = op.measure(before, name, params, facts)
     else:
-        affected = op.affected or (lambda *_: F.count(F.lit(1)))
-        counted = before.agg(affected(before, name, params, facts).cast("long").alias("affected_row_count"))
+        counted = before.agg(affected_rows(op, before, name, params, facts).alias("affected_row_count"))
     changed = op.columns_changed(before, name, facts) if op.columns_changed else 1
     return counted.select(
         F.lit(spec.operation_key).alias("operation_key"),

@@ -117,6 +117,10 @@ def skew_change(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     )
 
 
+_SKEWNESS = {
+    when: lambda df, c, p, name=f"skewness_{when}": {name: skewness(as_double(df, c))} for when in ("before", "after")
+}
+
 OPERATIONS = [
     Operation(
         "skew.log_transform",
@@ -125,6 +129,7 @@ OPERATIONS = [
         statistics=minimum,
         verify=above_minus_one,
         numbers_only=True,
+        **_SKEWNESS,
     ),
     Operation(
         "skew.sqrt_transform",
@@ -133,6 +138,7 @@ OPERATIONS = [
         statistics=minimum,
         verify=_not_negative,
         numbers_only=True,
+        **_SKEWNESS,
     ),
     Operation(
         "skew.boxcox",
@@ -141,6 +147,7 @@ OPERATIONS = [
         learn=_boxcox_fit,
         affected=_filled,
         numbers_only=True,
+        **_SKEWNESS,
     ),
     Operation(
         "skew.yeojohnson",
@@ -149,5 +156,6 @@ OPERATIONS = [
         learn=_yeojohnson_fit,
         affected=_filled,
         numbers_only=True,
+        **_SKEWNESS,
     ),
 ]

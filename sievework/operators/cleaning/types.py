@@ -72,17 +72,22 @@ def _rows(df, name, params, facts) -> Column:
     return F.count(F.lit(1))
 
 
-def failures(df: DataFrame, spec) -> DataFrame:
-    """One row: how many filled cells a conversion cannot parse."""
-    name, kind = spec.column_name, spec.operation_key.rsplit("_", 1)[1]
+def _failed(df: DataFrame, name: str, kind: str, params) -> dict[str, Column]:
+    """How many filled cells a conversion cannot parse."""
     value = {
         "integer": lambda: _number(df, name),
         "float": lambda: _number(df, name),
-        "datetime": lambda: _timestamp(df, name, spec.params),
+        "datetime": lambda: _timestamp(df, name, params),
         "boolean": lambda: _boolean(df, name),
         "category": lambda: quoted(name),
     }[kind]()
-    return df.agg(F.count_if(quoted(name).isNotNull() & value.isNull()).alias("failed_count"))
+    return {"failed_count": F.count_if(quoted(name).isNotNull() & value.isNull())}
+
+
+def failures(df: DataFrame, spec) -> DataFrame:
+    """One row: how many filled cells a conversion cannot parse."""
+    found = _failed(df, spec.column_name, spec.operation_key.rsplit("_", 1)[1], spec.params)
+    return df.agg(*[c.alias(k) for k, c in found.items()])
 
 
 OPERATIONS = [
@@ -91,24 +96,28 @@ OPERATIONS = [
         "String → Integer",
         lambda df, c, p, f: put(df, c, _checked_integer(df, c)),
         affected=_rows,
+        before=lambda df, c, p: _failed(df, c, "integer", p),
     ),
     Operation(
         "type_conversion.to_float",
         "String → Float",
         lambda df, c, p, f: put(df, c, _number(df, c)),
         affected=_rows,
+        before=lambda df, c, p: _failed(df, c, "float", p),
     ),
     Operation(
         "type_conversion.to_datetime",
         "String → DateTime",
         lambda df, c, p, f: put(df, c, _timestamp(df, c, p)),
         affected=_rows,
+        before=lambda df, c, p: _failed(df, c, "datetime", p),
     ),
     Operation(
         "type_conversion.to_boolean",
         "Boolean Conversion",
         lambda df, c, p, f: put(df, c, _boolean(df, c)),
         affected=_rows,
+        before=lambda df, c, p: _failed(df, c, "boolean", p),
     ),
     Operation("type_conversion.to_category", "Category Conversion", _category, affected=_rows),
 ]

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from sievework.errors import VersionError
 from sievework.functions.columns import nan_to_null, quoted
 from sievework.operators.cleaning.base import Catalog, OperationSpec
-from sievework.plans.cleaning import run_chain
+from sievework.plans.cleaning import run_chain, watch_chain
 
 _MANIFEST = (
     "source_id string, version_id string, version_number int, path string, row_count long, "
     "column_count int, size_bytes long, created_at timestamp, removed boolean, "
     "operations array<struct<operation_key: string, column_name: string, params: map<string, string>, "
-    "affected_row_count: bigint>>"
+    "affected_row_count: bigint, failed_count: bigint, skewness_before: double, skewness_after: double>>"
 )
 
 
@@ -101,25 +101,37 @@ class VersionStore:
         catalog: Catalog | None = None,
         count_affected: bool = True,
     ) -> DataFrame:
-        """Run a chain on the current version and store the result as the next one."""
+        """Run a chain on the current version and store the result as the next one.
+
+        Its steps are counted while the result is written.  If a task that had
+        already counted was run again (a lost executor), the written rows tell,
+        and the steps are counted by scans.
+        """
         latest = self._latest(source_id)
         number = (latest["version_number"] if latest else 0) + 1
-        result = run_chain(nan_to_null(self.read(source_id, base)), specs, catalog)
+        current = nan_to_null(self.read(source_id, base))
         version_id = uuid.uuid4().hex
         path = f"{self.folder}/{source_id}/{version_id}"
-        _storable(result.dataframe).write.parquet(path)
+        if count_affected:
+            watch = watch_chain(current, specs, catalog)
+            _storable(watch.dataframe).write.parquet(path)
+        else:
+            _storable(run_chain(current, specs, catalog).dataframe).write.parquet(path)
         written = self.spark.read.parquet(path)
-        affected = (
-            [r["affected_row_count"] for r in result.metrics(self.spark).orderBy("step").collect()]
-            if count_affected
-            else [None] * len(specs)
-        )
+        rows = written.count()
+        if not count_affected:
+            accounts = [(None,) * 4] * len(specs)
+        elif specs and watch.rows not in (None, rows):
+            counted = watch.result.metrics(self.spark).orderBy("step").collect()
+            accounts = [(r["affected_row_count"], None, None, None) for r in counted]
+        else:
+            accounts = [(affected, *rest) for _, _, _, affected, _, *rest in watch.accounts()]
         operations = [
-            (s.operation_key, s.column_name, {k: json.dumps(v, default=str) for k, v in s.params.items()}, n)
-            for s, n in zip(specs, affected)
+            (s.operation_key, s.column_name, {k: json.dumps(v, default=str) for k, v in s.params.items()}, *account)
+            for s, account in zip(specs, accounts)
         ]
         self._append(
-            (source_id, version_id, number, path, written.count(), len(written.columns), self._size(path),
+            (source_id, version_id, number, path, rows, len(written.columns), self._size(path),
              datetime.now(timezone.utc), False, operations)
         )
         return self.list_versions(source_id).filter(F.col("version_id") == version_id)

@@ -106,7 +106,7 @@ def _version_manifest(spark, d):
         "row_count",
         "column_count",
         F.inline("operations"),
-    ).drop("params")
+    ).drop("params", "failed_count", "skewness_before", "skewness_after")
 
 
 def _read_version(spark, d):
@@ -127,6 +127,34 @@ def _undo_version(spark, d):
     )
 
 
+_COUNTED = [
+    OperationSpec("type_conversion.to_float", "amount"),
+    OperationSpec("missing_values.drop_rows", "amount"),
+    OperationSpec("skew.log_transform", "user_id"),
+    OperationSpec("skew.sqrt_transform", "amount"),
+]
+
+
+def _version_accounts(spark, d):
+    store = VersionStore(spark, scratch_path(spark, "versions"))
+    amount = F.when(F.col("event_id") % 9 == 0, F.lit("n.a.")).when(F.col("event_id") % 4 != 0, F.abs("value").cast("string"))
+    base = table(spark, d, "events").select("event_id", "user_id", amount.alias("amount"))
+    row = store.apply("events", base, _COUNTED)
+    return rounded(row.select(F.posexplode("operations").alias("nth", "o")).select("nth", "o.*").drop("params"), 5)
+
+
+suite.add(
+    "k1_version_accounts",
+    _version_accounts,
+    "with b as (select event_id, user_id, case when event_id % 9 = 0 then 'n.a.' when event_id % 4 <> 0 then abs(value)::varchar "
+    "end as amount, abs(value) as x from events), k as (select * from b where event_id % 9 <> 0 and amount is not null) "
+    "select 0 as nth, 'type_conversion.to_float' as operation_key, 'amount' as column_name, (select count(*) from b) as "
+    "affected_row_count, (select count(*) from b where event_id % 9 = 0) as failed_count, null::double as skewness_before, "
+    "null::double as skewness_after union all select 1, 'missing_values.drop_rows', 'amount', (select count(*) from b) - "
+    "(select count(*) from k), null, null, null union all select 2, 'skew.log_transform', 'user_id', count(*), null, "
+    "round(skewness(user_id), 5), round(skewness(ln(1 + user_id)), 5) from k union all select 3, 'skew.sqrt_transform', "
+    "'amount', count(*), null, round(skewness(x), 5), round(skewness(sqrt(x)), 5) from k",
+)
 suite.add("k1_write_version", _write_version, _STEPS_SQL)
 suite.add(
     "k1_version_manifest",

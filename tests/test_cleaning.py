@@ -15,7 +15,8 @@ from sievework.operators.cleaning.base import Operation, OperationSpec
 from sievework.operators.cleaning import neighbours
 from sievework.operators.cleaning.neighbours import neighbour_impute
 from sievework.operators.cleaning.skew import skew_change
-from sievework.plans.cleaning import apply_operation, default_catalog, preview_chain, run_chain
+from sievework.plans import cleaning
+from sievework.plans.cleaning import apply_operation, default_catalog, preview_chain, run_chain, watch_chain
 
 
 def column(df, name, order=None):
@@ -343,6 +344,38 @@ def test_chain_learns_together(spark):
         run_chain(df, [OperationSpec("missing_values.drop_columns", "y"), OperationSpec("scaling.minmax", "y")])
 
 
+def test_accounts_are_counted_while_the_chain_runs(spark):
+    """Every row of the input is read once, however many steps there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def once(row):
+        read.add(1)
+        return row
+
+    rows = [(float(i % 50), " a " if i % 3 else None, "bad" if i % 5 == 0 else str(i)) for i in range(200)]
+    df = spark.sparkContext.parallelize(rows, 3).map(once).toDF("x double, t string, n string")
+    steps = [
+        OperationSpec("type_conversion.to_float", "n"), OperationSpec("missing_values.constant", "t", {"value": "none"}),
+        OperationSpec("text.remove_extra_spaces", "t"), OperationSpec("missing_values.drop_rows", "n"),
+        OperationSpec("duplicates.keep_unique"),
+    ]
+    watch = watch_chain(df, steps)
+    assert read.value == 0 and len(watch.dataframe.collect()) == 160
+    found = watch.accounts()
+    assert read.value == 200 and watch.rows == 160
+    assert [(a[0], a[3], a[5]) for a in found] == [(1, 200, 40), (2, 67, None), (3, 133, None), (4, 40, None), (5, 0, None)]
+    lazy = watch.result.metrics(spark).orderBy("step").collect()
+    assert [tuple(r) for r in lazy] == [a[:5] for a in found]
+
+
+def test_accounts_of_skipped_steps_are_counted_by_scans(spark, monkeypatch):
+    """Without an action nothing is observed."""
+    monkeypatch.setattr(cleaning, "_OBSERVED_WITHIN", 0.5)
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
+    watch = watch_chain(df, [OperationSpec("missing_values.mean", "x"), OperationSpec("scaling.minmax", "x")])
+    assert [a[3] for a in watch.accounts()] == [r["affected_row_count"] for r in watch.result.metrics(spark).orderBy("step").collect()]
+
+
 def test_preview_leaves_the_table_alone(spark):
     df = spark.createDataFrame([(1.0,), (None,), (1.0,)], "x double")
     found = preview_chain(df, [OperationSpec("missing_values.drop_rows", "x"), OperationSpec("duplicates.remove")])
