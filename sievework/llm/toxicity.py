@@ -8,39 +8,40 @@ Occurrences between the same neighbours count once, so that copies of one text d
 make its words look telling.  No term is left out for its label.
 
 Scoring.  One pass over all texts counts in how many of them each term is.  The
-examples' normalised vectors form an inverted index; a second pass computes the cosine
-of each text with every example that shares a term, so the neighbours are exact.  A
+examples' normalised vectors form an inverted index: examples that resemble each other stand
+together in blocks, and per term and block the index knows the largest weight.  A text's
+bound for a block is the sum of its terms' largest weights there; the block of the largest bound is
+read first, and then only blocks whose bounds reach the last neighbour's cosine found there.
+What is read is summed exactly, so the neighbours are exact.  A
 term that no example holds meets nothing and counts in the text's norm only, with the
 idf of a term of one text.  The neighbours' labels vote, weighted by cosine, together
 with the share of positives among the examples as a prior vote; the score is calibrated
-on the examples themselves, each left out of its own neighbours, by monotone (isotonic)
-regression.
+on the examples themselves.  An example is never its own neighbour, neither there nor when it is scored.
+
+Terms are cut and hashed (64 bits) from the bytes of whole batches.
 
 Defined cases: missing and empty texts, and those without any term, score the share of
 positives among the examples; so does every text without examples (0 then) or with
 labels of one kind only; ties of cosine go to the smaller example id; repeated rows are
-scored alike.
+scored alike; of an id with several texts the smallest text is the example.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievework.llm.bytesets import slices
+from sievework.llm.bytesets import Texts, mix, run_hashes, slices
 from sievework.llm.tables import known_id
 from sievework.session import materialize
 
-_TERM = re.compile(r"[^\W\d_]+")
-
 
 @dataclass(frozen=True)
 class ToxicSettings:
@@ -58,33 +59,55 @@ class ToxicSettings:
     prior_weight: float = 0.5
 
 
-_CONTEXT = ["before", "term", "after", "label"]
-#: Contexts and texts that a task holds as Python objects at once.
-_CONTEXTS_HELD = 50_000
+#: Texts that are multiplied with the frequent terms' weights at once.
+_TEXTS_AT_ONCE = 64
+#: Texts whose results a task holds at once.
 _KNOWN_HELD = 10_000
+_NOT_LETTERS = r"[^\p{L}]+"
+_CONTEXT_KEYS = np.random.default_rng(29).integers(1 << 62, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
 
 
-def _train_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(found: set[tuple]) -> pa.RecordBatch:
-        columns = zip(*found) if found else [[]] * 4
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _CONTEXT)
+def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms in order, and the number of terms of each row."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), _NOT_LETTERS, " ")
+    texts = Texts(letters)
+    starts, ends = texts.words()
+    return run_hashes(texts.data, starts, ends), texts.per_row(starts)
+
+
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and number of its occurrences, by row and then term."""
+    hashes, per_row = terms_of(column)
+    rows = np.repeat(np.arange(len(per_row)), per_row)
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    at = np.flatnonzero(first)
+    return rows[at], hashes[at], np.diff(np.append(at, len(rows)))
+
 
+def _train_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            out: set[tuple] = set()
-            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                terms = _TERM.findall(text.lower()) if text else []
-                out.update(zip(["", *terms[:-1]], terms, [*terms[1:], ""], [label] * len(terms)))
-                if len(out) > _CONTEXTS_HELD:
-                    yield made(out)
-                    out = set()
-            yield made(out)
+            hashes, per_row = terms_of(part.column("text"))
+            row = np.repeat(np.arange(len(per_row)), per_row)
+            padded = np.concatenate([[0], hashes, [0]]).astype(np.uint64)
+            edge = np.concatenate([[-1], row, [-1]])
+            before = np.where(edge[:-2] == row, padded[:-2], np.uint64(0))
+            after = np.where(edge[2:] == row, padded[2:], np.uint64(0))
+            context = mix(before * _CONTEXT_KEYS[0] + hashes * _CONTEXT_KEYS[1] + after * _CONTEXT_KEYS[2])
+            label = part.column("label").to_numpy()[row]
+            _, at = np.unique(context + label.astype(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[at].view(np.int64)), pa.array(hashes[at].view(np.int64)), pa.array(label[at].astype(np.int32))],
+                ["context", "term", "label"],
+            )
 
 
 def weighted_terms(examples: DataFrame, s: ToxicSettings) -> pd.DataFrame:
-    """``term, weight`` of all terms of the examples; ``emphasis`` where positive contexts are far more than by chance."""
-    contexts = examples.mapInArrow(_train_contexts, "before string, term string, after string, label int").distinct()
+    """``term, weight`` of all terms (hashes) of the examples; ``emphasis`` where positive contexts are far more than by chance."""
+    contexts = examples.mapInArrow(_train_contexts, "context long, term long, label int").distinct()
     counts = contexts.groupBy("term").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     counts = materialize(counts, "terms")
     total = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
@@ -101,54 +124,144 @@ def weighted_terms(examples: DataFrame, s: ToxicSettings) -> pd.DataFrame:
     return counts.select("term", weight.alias("weight")).orderBy("term").toPandas()  # bounded by the sample
 
 
-def text_frequencies(rows: DataFrame, place: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The number of texts, and of texts with each term; a task hands on one row a term."""
+def _places(known: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term stands among the sorted known ones, and whether it does."""
+    at = np.minimum(np.searchsorted(known, terms), max(0, len(known) - 1))
+    return at, known[at] == terms if len(known) else np.zeros(len(terms), bool)
+
+
+def text_frequencies(rows: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of texts, and of texts with each of the sorted terms; a task hands on one row a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(len(place), np.int64), 0
+        seen, total = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    own = {place[t] for t in set(_TERM.findall(text.lower())) if t in place} if text else ()
-                    seen[list(own)] += 1
+                at, there = _places(known, term_counts(part.column("text"))[1])
+                seen += np.bincount(at[there], minlength=len(known))
                 total += part.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], ["t", "n"])
 
     found = rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # one per term
     t, n = found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    out = np.zeros(len(place), np.int64)
+    out = np.zeros(len(known), np.int64)
     out[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), out
 
 
 class BlockIndex:
-    """Examples' unit vectors as one block of postings by term; exact nearest by cosine."""
+    """Examples' unit vectors as postings by term, cut into blocks of examples; exact nearest by cosine."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int = 0):
-        """``block`` is not used: cosines with all examples are summed at once."""
-        self.labels, self.ids = labels, ids
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int = 128, common: int = 16):
         terms = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
+        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        order = np.argsort(terms, kind="stable")
-        self.rows = rows[order]
-        self.weights = np.concatenate([v[1] for v in vectors])[order] if vectors else np.zeros(0)
-        self.start = np.searchsorted(terms[order], np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with cosine above zero."""
+        order = _alike(vectors, terms, weights, rows, n_terms)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.labels, self.ids, self.size = labels[order], ids[order], block
+        rows = place[rows]
+        self.blocks = -(-len(vectors) // block)
+        #: Terms of more than one in ``common`` examples are held as whole rows and multiplied for many texts at once.
+        self.place = np.full(n_terms, -1)
+        frequent = np.flatnonzero(np.bincount(terms, minlength=n_terms) * common > len(vectors))
+        self.place[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(vectors)))
+        of = self.place[terms]
+        self.dense[of[of >= 0], rows[of >= 0]] = weights[of >= 0]
+        terms, rows, weights = terms[of < 0], rows[of < 0], weights[of < 0]
+        by = np.lexsort((rows, terms))
+        terms, self.rows, self.weights = terms[by], rows[by], weights[by]
+        #: Where the postings of each term in each block begin, and the largest weight among them.
+        cells = terms * self.blocks + self.rows // block
+        self.start = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
+        self.largest = np.zeros(n_terms * self.blocks)
+        if len(cells):
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            self.largest[cells[first]] = np.maximum.reduceat(self.weights, first)
+        self.largest = self.largest.reshape(n_terms, self.blocks)
+        #: Blocks read since the index was made.
+        self.read = 0
+
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms of each text add to its cosine with each example."""
+        asked = np.zeros((len(vectors), len(self.dense)))
+        for n, (terms, weights) in enumerate(vectors):
+            at = self.place[terms]
+            asked[n, at[at >= 0]] = weights[at >= 0]
+        return asked @ self.dense
+
+    def _cosines(self, first: int, last: int, terms: np.ndarray, weights: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines above zero of the blocks from ``first`` to before ``last``."""
+        self.read += last - first
+        found = share[first * self.size : last * self.size]
+        low, high = self.start[terms * self.blocks + first], self.start[terms * self.blocks + last]
+        some = np.flatnonzero(high > low)
+        if len(some):
+            low, size = low[some].astype(np.int64), (high[some] - low[some]).astype(np.int64)
+            ends = np.cumsum(size)
+            posts = np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
+            own = np.repeat(weights[some], size) * self.weights[posts]
+            found = found + np.bincount(self.rows[posts] - first * self.size, own, minlength=len(found))
+        found = np.round(found, 12)
+        rows = np.flatnonzero(found > 0)
+        return rows + first * self.size, found[rows]
+
+    def nearest(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, share: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples with cosine above zero; ``share`` is this text's row of :meth:`shares`.
+
+        If many blocks promise far less than the best one, that gives a cosine to beat.  Then all blocks whose bounds reach it are
+        read, side by side ones at once.
+        """
+        terms = np.asarray(terms, np.int64)
         if not len(self.ids) or not len(terms):
             return np.zeros(0, int), np.zeros(0)
-        low, high = self.start[terms], self.start[np.asarray(terms) + 1]
-        cuts = [slice(a, b) for a, b in zip(low.tolist(), high.tolist())]
-        shares = np.repeat(weights, high - low) * np.concatenate([self.weights[c] for c in cuts])
-        cosines = np.round(np.bincount(np.concatenate([self.rows[c] for c in cuts]), shares, minlength=len(self.ids)), 12)
-        if without is not None:
-            cosines[self.ids == without] = 0
-        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
-        rows = np.flatnonzero((cosines >= least) & (cosines > 0))
-        rows = rows[np.lexsort((self.ids[rows], -cosines[rows]))[:k]]
-        return rows, cosines[rows]
+        share = self.shares([(terms, weights)])[0] if share is None else share
+        rare = self.place[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        bounds = np.maximum.reduceat(share, np.arange(0, len(share), self.size)) + weights @ self.largest[terms]
+
+        def best(rows: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if without is not None:
+                other = self.ids[rows] != without
+                rows, cosines = rows[other], cosines[other]
+            if len(rows) > k:
+                high = cosines >= np.partition(cosines, -k)[-k]
+                rows, cosines = rows[high], cosines[high]
+            order = np.lexsort((self.ids[rows], -cosines))[:k]
+            return rows[order], cosines[order]
+
+        top = int(bounds.argmax())
+        rows, cosines, least = np.zeros(0, int), np.zeros(0), 0.0
+        if (bounds < bounds[top] / 2).sum() * 4 > self.blocks:  # else there is hardly a block to skip
+            rows, cosines = best(*self._cosines(top, top + 1, terms, weights, share))
+            least = cosines[-1] if len(cosines) == k else 0.0
+        open_ = np.flatnonzero((bounds + 1e-9 >= least) & (bounds > 0))
+        if len(open_) > (1 if least else 0) or (len(open_) and open_[0] != top):
+            runs = np.split(open_, np.flatnonzero(np.diff(open_) > 2) + 1)
+            parts = [self._cosines(int(r[0]), int(r[-1]) + 1, terms, weights, share) for r in runs]
+            rows, cosines = best(*(np.concatenate(x) for x in zip(*parts)))
+        return rows, cosines
+
+
+def _alike(vectors: list, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_terms: int, pivots: int = 32) -> np.ndarray:
+    """An order of the vectors in which like ones stand together: by the nearest of some pivots, like pivots side by side."""
+    if not vectors:
+        return np.zeros(0, int)
+    chosen = np.unique(np.linspace(0, len(vectors) - 1, pivots).astype(int))
+    cosines = np.empty((len(chosen), len(vectors)))
+    for n, pivot in enumerate(chosen):
+        dense = np.zeros(n_terms)
+        dense[vectors[pivot][0]] = vectors[pivot][1]
+        cosines[n] = np.bincount(rows, dense[terms] * weights, minlength=len(vectors))
+    chain, left = [0], set(range(1, len(chosen)))
+    while left:
+        chain.append(max(left, key=lambda n: (cosines[chain[-1], chosen[n]], -n)))
+        left.remove(chain[-1])
+    return np.lexsort((-cosines.max(axis=0), np.argsort(chain)[cosines.argmax(axis=0)]))
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +284,8 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    place: dict[str, int]
-    #: Idf times weight of each term, and the idf of a term that no example holds.
+    #: Sorted hashes of the terms, idf times weight of each, and the idf of a term that no example holds.
+    terms: np.ndarray
     scale: np.ndarray
     strange: float
     index: BlockIndex
@@ -180,41 +293,44 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
     settings: ToxicSettings
 
-    def unit(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of the text's terms that some example holds, as part of its whole unit vector."""
-        counts = Counter(_TERM.findall(text.lower())) if text else {}
-        known = sorted((self.place[t], n) for t, n in counts.items() if t in self.place)
-        other = np.array([n for t, n in counts.items() if t not in self.place], float)
-        t = np.array([i for i, _ in known], int)
-        w = (1 + np.log(np.array([n for _, n in known], float))) * self.scale[t]
-        norm = (w * w).sum() + (((1 + np.log(other)) * self.strange) ** 2).sum()
-        return t, w / np.sqrt(norm) if len(t) else w
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, list[int]]:
-        rows, cosines = self.index.nearest(terms, weights, self.settings.neighbours, without)
+    def units(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text places and weights of its terms that some example holds, as part of its whole unit vector."""
+        row, term, count = term_counts(column)
+        at, known = _places(self.terms, term)
+        weight = (1 + np.log(count)) * (np.where(known, self.scale[at], self.strange) if len(self.terms) else self.strange)
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(column)))
+        row, at, weight = row[known], at[known], weight[known] / norm[row[known]]
+        ends = np.searchsorted(row, np.arange(len(column) + 1))
+        return [(at[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None, share: np.ndarray) -> tuple[float, list[int]]:
+        rows, cosines = self.index.nearest(terms, weights, self.settings.neighbours, without, share)
         prior = self.settings.prior_weight
         share = (float(cosines @ self.index.labels[rows]) + prior * self.share) / (float(cosines.sum()) + prior)
         return share, self.index.ids[rows].tolist()
 
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.share, []
-        vote, near = self.vote(terms, weights)
-        return float(np.interp(vote, *self.knots)), near
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int | None]) -> Iterator[tuple[float, list[int]]]:
+        for low in range(0, len(vectors), _TEXTS_AT_ONCE):
+            some = vectors[low : low + _TEXTS_AT_ONCE]
+            for (terms, weights), own, share in zip(some, without[low:], self.index.shares(some)):
+                yield self.vote(terms, weights, own, share) if len(terms) else (np.nan, [])
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int | None]) -> list[tuple[float, list[int]]]:
+        return [(self.share if np.isnan(v) else float(np.interp(v, *self.knots)), near) for v, near in self.votes(vectors, without)]
 
 
-def fit(examples: pd.DataFrame, place: dict[str, int], scale: np.ndarray, strange: float, s: ToxicSettings) -> Model:
+def fit(examples: pa.Table, terms: np.ndarray, scale: np.ndarray, strange: float, s: ToxicSettings) -> Model:
     """``examples``: doc, label, text of the bounded sample."""
-    labels = examples["label"].to_numpy(float) if len(examples) else np.zeros(0)
+    labels = examples.column("label").to_numpy().astype(float)
     share = float(labels.mean()) if len(labels) else 0.0
-    ids = examples["doc"].to_numpy(np.int64)
-    model = Model(place, scale, strange, BlockIndex([], labels[:0], ids[:0], len(place)), share, (np.array([0.0, 1.0]),) * 2, s)
-    vectors = [model.unit(t) for t in examples["text"]]
+    ids = examples.column("doc").to_numpy().astype(np.int64)
+    model = Model(terms, scale, strange, BlockIndex([], labels[:0], ids[:0], len(terms)), share, (np.array([0.0, 1.0]),) * 2, s)
+    vectors = [v for batch in examples.to_batches() for part in slices(batch, "text") for v in model.units(part.column("text"))]
     holds = np.array([len(t) > 0 for t, _ in vectors], bool)
     if holds.any():
         vectors = [v for v, h in zip(vectors, holds) if h]
-        model.index = BlockIndex(vectors, labels[holds], ids[holds], len(place))
-        votes = np.array([model.vote(*v, without=d)[0] for v, d in zip(vectors, ids[holds])])
+        model.index = BlockIndex(vectors, labels[holds], ids[holds], len(terms))
+        votes = np.array([v for v, _ in model.votes(vectors, ids[holds].tolist())])
         model.knots = _isotonic(votes, labels[holds])
     return model
 
@@ -232,25 +348,31 @@ def toxicity(
     usable = usable.filter("doc is not null and label in (0, 1)").groupBy("doc").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc"), "doc").limit(s.examples)
     chosen = F.broadcast(materialize(chosen, "examples"))  # at most ``examples`` rows
-    sample = materialize(rows.join(chosen, "doc").dropDuplicates(["doc"]), "example-texts")
+    sample = rows.join(chosen, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    sample = materialize(sample, "example-texts")
     terms = weighted_terms(sample.select("text", "label"), s)
-    place = {t: i for i, t in enumerate(terms["term"])}
-    total, seen = text_frequencies(rows, place)
+    known = terms["term"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    total, seen = text_frequencies(rows, known)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    model = fit(sample.select("doc", "label", "text").toPandas(), place, idf * terms["weight"].to_numpy(float), float(np.log((1 + total) / 2) + 1), s)
+    scale = idf * terms["weight"].to_numpy(float)[order]
+    model = fit(sample.select("doc", "label", "text").toArrow(), known, scale, float(np.log((1 + total) / 2) + 1), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, list[int]]] = {}
+        held: dict[tuple, tuple[float, list[int]]] = {}
+        own = set(model.index.ids.tolist())
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for text in part.column("text").to_pylist():
-                    key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) > _KNOWN_HELD:
-                            known.clear()
-                        known[key] = model.score(*model.unit(text))
-                    out.append(known[key])
+                docs = [d if d in own else None for d in part.column("doc").to_pylist()]
+                texts = part.column("text").to_pylist()
+                keys = [(hashlib.blake2b((t or "").encode(), digest_size=16).digest(), d) for t, d in zip(texts, docs)]
+                new = {key: n for n, key in reversed(list(enumerate(keys))) if key not in held}
+                vectors = model.units(part.column("text"))
+                if len(held) > _KNOWN_HELD:
+                    new, held = {key: n for n, key in enumerate(keys)}, {}
+                held.update(zip(new, model.scores([vectors[n] for n in new.values()], [docs[n] for n in new.values()])))
+                out = [held[key] for key in keys]
                 score, near = (pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.list_(pa.int64()))))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), score, near], ["doc", "score", "evidence"])
 

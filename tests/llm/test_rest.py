@@ -98,6 +98,30 @@ def test_block_index_is_exact():
         assert index.ids[rows].tolist() == ids[want].tolist() and np.allclose(cosines, exact[want])
 
 
+def test_block_bounds_skip_blocks():
+    """Four groups of words: the blocks of other groups cannot hold a neighbour and are not read; ties go to smaller ids."""
+    rng = np.random.default_rng(8)
+    vectors, of = [], rng.integers(0, 4, 400)
+    for g in of:
+        t = np.sort(rng.choice(50, 12, replace=False)) + 50 * g
+        w = rng.random(12) + 0.2
+        t, w = np.append(t, 200), np.append(w, 0.1)  # one word that all share
+        vectors.append((t, w / np.linalg.norm(w)))
+    vectors[7] = vectors[3]
+    ids = rng.permutation(400)
+    index = BlockIndex(vectors, of.astype(float), ids, 201, 20)
+    dense = np.zeros((400, 201))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for i in range(100):
+        rows, cosines = index.nearest(*vectors[i], 5, without=int(ids[i]))
+        exact = np.round(dense @ dense[i], 12)
+        exact[i] = 0
+        want = np.lexsort((ids, -exact))[:5]
+        assert index.ids[rows].tolist() == ids[want].tolist() and np.allclose(cosines, exact[want])
+    assert index.read < 100 * index.blocks / 2
+
+
 def test_toxicity_by_held_out_rows(spark, odd, empty):
     scored = queries()["op9_toxicity"](spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
@@ -126,6 +150,7 @@ def test_toxicity_uses_all_terms(spark):
             assert all(n % 3 == i % 3 for n in near)
     assert min(found[i]["score"] for i in range(180, 240, 10)) > max(found[i]["score"] for i in range(180, 240) if i % 10)
     assert found[900]["evidence"] == [] and found[901]["score"] == pytest.approx(0.1)
+    assert all(i not in found[i]["evidence"] for i in range(180))  # an example is no neighbour of its own
 
 
 def exact_nearest(vectors, ids, q, k=10):
