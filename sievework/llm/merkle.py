@@ -24,9 +24,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievework.functions.ordering import with_position
+from sievework.functions.ordering import ROWS_PER_RANGE, with_position
 from sievework.session import materialize
 
+#: Leaves are numbered in so many ranges at least, of so many rows at least.
+_RANGES, _RANGE_ROWS = 256, 10_000
 #: Levels whose proofs are put together in one plan.
 _LEVELS_A_STEP = 6
 
@@ -156,7 +158,11 @@ def merkle_manifest(
     )
     leaves = materialize(leaves.withColumn("altered", F.coalesce("altered", "digest")), "merkle-leaves")
     known = F.col("name").isNotNull().cast("int")
-    placed = with_position(leaves.withColumn("known", known), ["known", "name", "key", "digest", "row"], "position")
+    number = leaves.count()
+    placed = with_position(
+        leaves.withColumn("known", known), ["known", "name", "key", "digest", "row"], "position",
+        rows=number, rows_per_range=min(ROWS_PER_RANGE, max(_RANGE_ROWS, number // _RANGES)),
+    )
     placed = materialize(placed.select("key", "tree", "position", "digest", "altered", "name", "known"), "merkle-placed")
     # A row per group, in the groups' order.
     groups = placed.groupBy("tree").agg(F.first("name").alias("name"), F.first("known").alias("known"), F.min("position").alias("first"), F.count("*").alias("left"))
