@@ -150,39 +150,61 @@ def text_frequencies(rows: DataFrame, known: np.ndarray) -> tuple[int, np.ndarra
     return int(n[t < 0].sum()), out
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    size = (high - low).astype(np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)
+
+
 class BlockIndex:
     """Examples' unit vectors as postings by term, cut into blocks of examples; exact nearest by cosine."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int = 128, common: int = 16):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int, block: int = 256, common: int = 16):
         terms = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
         weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
         order = _alike(vectors, terms, weights, rows, n_terms)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.labels, self.ids, self.size = labels[order], ids[order], block
+        self.labels, self.ids, self.size, self.common = labels[order], ids[order], block, common
         rows = place[rows]
-        self.blocks = -(-len(vectors) // block)
-        #: Terms of more than one in ``common`` examples are held as whole rows and multiplied for many texts at once.
-        self.place = np.full(n_terms, -1)
-        frequent = np.flatnonzero(np.bincount(terms, minlength=n_terms) * common > len(vectors))
-        self.place[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), len(vectors)))
-        of = self.place[terms]
-        self.dense[of[of >= 0], rows[of >= 0]] = weights[of >= 0]
-        terms, rows, weights = terms[of < 0], rows[of < 0], weights[of < 0]
         by = np.lexsort((rows, terms))
-        terms, self.rows, self.weights = terms[by], rows[by], weights[by]
-        #: Where the postings of each term in each block begin, and the largest weight among them.
-        cells = terms * self.blocks + self.rows // block
-        self.start = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
-        self.largest = np.zeros(n_terms * self.blocks)
-        if len(cells):
-            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            self.largest[cells[first]] = np.maximum.reduceat(self.weights, first)
-        self.largest = self.largest.reshape(n_terms, self.blocks)
+        self.start = np.searchsorted(terms[by], np.arange(n_terms + 1)).astype(np.int32)
+        self.rows, self.weights = rows[by].astype(np.int32), weights[by]
         #: Blocks read since the index was made.
         self.read = 0
+        self._prepare()
+
+    def __getstate__(self) -> dict:
+        """Only the postings travel; what follows from them is made where they arrive."""
+        return {k: v for k, v in self.__dict__.items() if k in ("labels", "ids", "size", "common", "start", "rows", "weights", "read")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._prepare()
+
+    def _prepare(self) -> None:
+        count = len(self.ids)
+        self.blocks = -(-count // self.size)
+        # Terms of more than one in ``common`` examples are held as whole rows, to be multiplied for many texts at once.
+        held = np.diff(self.start)
+        frequent = np.flatnonzero(held * self.common > count)
+        self.place = np.full(len(held), -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), count))
+        for n, term in enumerate(frequent):
+            own = slice(self.start[term], self.start[term + 1])
+            self.dense[n, self.rows[own]] = self.weights[own]
+        # A piece is what one term has in one block: where its postings begin, and the largest weight among them.
+        term, of = np.repeat(np.arange(len(held), dtype=np.int32), held), (self.rows // self.size).astype(np.int16)
+        new = np.ones(len(of), bool)
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        self.piece = np.append(at, len(of)).astype(np.int32)
+        self.piece_block = of[at]
+        self.largest = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.piece_start = np.searchsorted(term[at], np.arange(len(held) + 1)).astype(np.int32)
 
     def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the frequent terms of each text add to its cosine with each example."""
@@ -192,18 +214,18 @@ class BlockIndex:
             asked[n, at[at >= 0]] = weights[at >= 0]
         return asked @ self.dense
 
-    def _cosines(self, first: int, last: int, terms: np.ndarray, weights: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cosines(self, first: int, last: int, pieces: np.ndarray, own: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines above zero of the blocks from ``first`` to before ``last``."""
         self.read += last - first
         found = share[first * self.size : last * self.size]
-        low, high = self.start[terms * self.blocks + first], self.start[terms * self.blocks + last]
-        some = np.flatnonzero(high > low)
-        if len(some):
-            low, size = low[some].astype(np.int64), (high[some] - low[some]).astype(np.int64)
-            ends = np.cumsum(size)
-            posts = np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
-            own = np.repeat(weights[some], size) * self.weights[posts]
-            found = found + np.bincount(self.rows[posts] - first * self.size, own, minlength=len(found))
+        block = self.piece_block[pieces]
+        here = (block >= first) & (block < last)
+        if here.any():
+            pieces = pieces[here]
+            low, high = self.piece[pieces], self.piece[pieces + 1]
+            posts = _spans(low, high)
+            add = np.repeat(own[here], high - low) * self.weights[posts]
+            found = found + np.bincount(self.rows[posts] - first * self.size, add, minlength=len(found))
         found = np.round(found, 12)
         rows = np.flatnonzero(found > 0)
         return rows + first * self.size, found[rows]
@@ -221,8 +243,11 @@ class BlockIndex:
             return np.zeros(0, int), np.zeros(0)
         share = self.shares([(terms, weights)])[0] if share is None else share
         rare = self.place[terms] < 0
-        terms, weights = terms[rare], weights[rare]
-        bounds = np.maximum.reduceat(share, np.arange(0, len(share), self.size)) + weights @ self.largest[terms]
+        terms = terms[rare]
+        low, high = self.piece_start[terms], self.piece_start[terms + 1]
+        pieces, own = _spans(low, high), np.repeat(weights[rare], high - low)
+        bounds = np.maximum.reduceat(share, np.arange(0, len(share), self.size))
+        bounds = bounds + np.bincount(self.piece_block[pieces], own * self.largest[pieces], minlength=self.blocks)
 
         def best(rows: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if without is not None:
@@ -237,12 +262,12 @@ class BlockIndex:
         top = int(bounds.argmax())
         rows, cosines, least = np.zeros(0, int), np.zeros(0), 0.0
         if (bounds < bounds[top] / 2).sum() * 4 > self.blocks:  # else there is hardly a block to skip
-            rows, cosines = best(*self._cosines(top, top + 1, terms, weights, share))
+            rows, cosines = best(*self._cosines(top, top + 1, pieces, own, share))
             least = cosines[-1] if len(cosines) == k else 0.0
         open_ = np.flatnonzero((bounds + 1e-9 >= least) & (bounds > 0))
         if len(open_) > (1 if least else 0) or (len(open_) and open_[0] != top):
             runs = np.split(open_, np.flatnonzero(np.diff(open_) > 2) + 1)
-            parts = [self._cosines(int(r[0]), int(r[-1]) + 1, terms, weights, share) for r in runs]
+            parts = [self._cosines(int(r[0]), int(r[-1]) + 1, pieces, own, share) for r in runs]
             rows, cosines = best(*(np.concatenate(x) for x in zip(*parts)))
         return rows, cosines
 
