@@ -130,25 +130,35 @@ def _with_counts(df: DataFrame, name: str, known: list[str]) -> tuple[DataFrame,
     return base, [full - F.length(F.replace(F.col("__line"), F.lit(c), F.lit(""))) for c in letters]
 
 
-def _learn_terms(df: DataFrame, name: str, params) -> dict:
+def _size(params) -> int:
     size = int(params.get("max_features", 50))
     if not 0 < size <= _MOST_TERMS:
         raise OperationError(f"params.max_features must be 1 to {_MOST_TERMS}: every term becomes a column.")
-    return {"terms": vocabulary(df, name, size)}
+    return size
+
+
+def _learn_terms(df: DataFrame, name: str, params) -> dict:
+    return {"terms": vocabulary(df, name, _size(params))}
 
 
 def _learn_idf(df: DataFrame, name: str, params) -> dict:
-    facts = _learn_terms(df, name, params)
-    known = facts["terms"]
-    rows = df.count()
-    found = dict(
-        df.select(F.explode(F.array_distinct(_kept(name, known))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)))
-        .collect()
-    )
+    """Vocabulary, rows with each of its terms and all rows, from one pass over the texts.
+
+    A row's terms are sorted, so that a term's first occurrence counts the row; a row
+    without a term's name counts the rows.
+    """
+    ordered = df.select(F.array_sort(terms(as_text(quoted(name)))).alias("sorted"))
+    first = lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("sorted", i - 1) != t)).cast("int").alias("first"))
+    row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    cells = ordered.select(F.explode(F.concat(row, F.coalesce(F.transform("sorted", first), F.array().cast("array<struct<term:string,first:int>>")))).alias("cell"))
+    counted = cells.groupBy("cell.term").agg(F.count(F.lit(1)).alias("n"), F.sum("cell.first").alias("rows"))
+    # The row without a term comes first, then the most frequent terms.
+    top = counted.orderBy(F.col("term").isNotNull(), F.col("n").desc(), "term").limit(_size(params) + 1).collect()
+    rows = next((r["n"] for r in top if r["term"] is None), 0)
+    found = {r["term"]: r["rows"] for r in top if r["term"] is not None}
+    known = sorted(found)
     # ln((1 + rows) / (1 + rows with the term)) + 1
-    return facts | {"weights": [math.log((1 + rows) / (1 + found.get(t, 0))) + 1 for t in known]}
+    return {"terms": known, "weights": [math.log((1 + rows) / (1 + found[t])) + 1 for t in known]}
 
 
 def _bag(df: DataFrame, name: str, params, facts) -> DataFrame:
