@@ -179,9 +179,9 @@ def kept_lines(
 
     ``digest_only``: the text column is left out.
     """
-    key, lost, made = unused(docs, "_doc", "_lost", "lines")
-    joined = docs.withColumn(key, known_id(doc_id)).join(dropped_lines(state).toDF("_other", lost), F.col(key) == F.col("_other"), "left")
-    joined = joined.drop("_other", key)
+    key, lost, made, other = unused(docs, "_doc", "_lost", "lines", "_other")
+    joined = docs.withColumn(key, known_id(doc_id)).join(dropped_lines(state).toDF(other, lost), F.col(key) == F.col(other), "left")
+    joined = joined.drop(other, key)
     names = [c for c in docs.columns if not (digest_only and c == text)]
     kind = "struct<n_lines:bigint,n_dropped:bigint,kept_sha256:string>"
     spec = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast(kind).alias(made)).schema

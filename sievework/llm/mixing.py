@@ -178,16 +178,18 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows with the same id, source and size are interchangeable: their copies are dealt among them.
     """
-    key, size, turn = unused(docs, "_doc", "_size", "_turn")
+    key, size, turn, own, copy, of, held, words, same, total = unused(
+        docs, "_doc", "_size", "_turn", "_own", "_copy", "_of", "_held", "_words", "_same", "_all"
+    )
     made = mix_copies(document_sizes(docs, doc_id, text, source), settings)
-    same = made.groupBy("doc", "source", "size").agg(F.count("*").alias("_same"), F.sum("copies").alias("_all"))
-    same = same.toDF("_d", "_s", "_z", "_same", "_all")
+    counted = made.groupBy("doc", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("all"))
+    counted = counted.toDF(of, held, words, same, total)
     rows = docs.withColumn(key, known_id(doc_id)).withColumn(size, word_count(text))
-    joined = rows.join(same, (F.col(key) == F.col("_d")) & F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.col(size) == F.col("_z")))
-    alone = joined.filter("_same = 1").withColumn("_own", F.col("_all"))
-    dealt = joined.filter("_same > 1").withColumn(turn, F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(key)))
-    whole = F.floor(F.col("_all") / F.col("_same"))
-    several = dealt.withColumn("_own", whole + (F.col(turn) <= F.col("_all") - whole * F.col("_same")).cast("long")).drop(turn)
-    taken = alone.unionByName(several).filter("_own > 0")
-    copied = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long"))))
+    joined = rows.join(counted, (F.col(key) == F.col(of)) & F.col(f"`{source}`").eqNullSafe(F.col(held)) & (F.col(size) == F.col(words)))
+    alone = joined.filter(F.col(same) == 1).withColumn(own, F.col(total))
+    dealt = joined.filter(F.col(same) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(of, held, words).orderBy(key)))
+    whole = F.floor(F.col(total) / F.col(same))
+    several = dealt.withColumn(own, whole + (F.col(turn) <= F.col(total) - whole * F.col(same)).cast("long")).drop(turn)
+    taken = alone.unionByName(several).filter(F.col(own) > 0)
+    copied = taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own).cast("long"))))
     return copied.select(*[F.col(f"`{c}`") for c in docs.columns])

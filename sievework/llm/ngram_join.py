@@ -323,18 +323,18 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Texts without shingles are kept.  Of rows that repeat both the id and the set of
     shingles one stays; rows that share an id (or have none) and are no near copies all stay.
     """
-    key, cls = unused(docs, "_doc", "_cls")
+    key, cls, first, same = unused(docs, "_doc", "_cls", "_keep", "_set")
     signed = materialize(signatures(docs, doc_id, text, settings), "signatures")
-    chosen = link_classes(docs, signed, doc_id, text, settings).filter("chosen").select(F.col("first").alias("_keep"), F.col("cls").alias("_set"))
+    chosen = link_classes(docs, signed, doc_id, text, settings).filter("chosen").select(F.col("first").alias(first), F.col("cls").alias(same))
     chosen = materialize(chosen, "kept")
     rows = docs.withColumn(key, known_id(doc_id))
     if repeats_ids(signed):
         filled = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         # Copies go before the join, so an id or text that many rows repeat is no hot key.
         single = _with_digest(rows.filter(filled), text, cls, settings.words).dropDuplicates([key, cls])
-        kept = single.join(chosen, (F.col(key) == F.col("_keep")) & (F.col(cls) == F.col("_set")))
+        kept = single.join(chosen, (F.col(key) == F.col(first)) & (F.col(cls) == F.col(same)))
         kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns])
         return kept.unionByName(rows.filter(~filled).select(kept.columns))
-    bare = signed.filter("cls is null").select(F.col("doc").alias("_keep"))
-    kept = rows.join(chosen.select("_keep").unionByName(bare), F.col(key) == F.col("_keep"))
+    bare = signed.filter("cls is null").select(F.col("doc").alias(first))
+    kept = rows.join(chosen.select(first).unionByName(bare), F.col(key) == F.col(first))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -110,11 +110,12 @@ def host_verdicts(stats: DataFrame, host: str, failed: Column, rules: QualityRul
     return hosts.select("*", rate.alias("rate")).select("*", (F.col("rate") <= rules.max_host_rate).alias("host_kept"))
 
 
-def join_verdicts(stats: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """Every row of ``stats`` with its host's ``rate`` and ``host_kept``."""
+def join_verdicts(stats: DataFrame, hosts: DataFrame, host: str, rate: str, kept: str) -> DataFrame:
+    """Every row of ``stats`` with its host's rate and whether it is kept, under the given names."""
     small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    side = hosts.select(*[F.col(c).alias(f"_host_{c}") for c in ("host", "rate", "host_kept")])
-    return stats.join(F.broadcast(side) if small else side, F.col(host).eqNullSafe(F.col("_host_host")), "left").drop("_host_host")
+    (own,) = unused(stats.withColumns({rate: F.lit(0), kept: F.lit(0)}), "_host_host")
+    side = hosts.select("host", "rate", "host_kept").toDF(own, rate, kept)
+    return stats.join(F.broadcast(side) if small else side, F.col(host).eqNullSafe(F.col(own)), "left").drop(own)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -122,14 +123,15 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", rul
 
     Columns of ``docs`` that have one of these names are left out of the result.
     """
-    made = {*_STATS, "base_failed", "kept", "host_rate", "_quality", "_host"}
+    made = {*_STATS, "base_failed", "kept", "host_rate"}
     carried = [c for c in docs.columns if c != text and c.lower() not in made]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
-    stats = materialize(with_stats(narrow, "_text", rules, "_quality").drop("_text"), "quality")
-    hosts = host_verdicts(stats, "_host", F.col("_quality.base_failed"), rules)
-    return join_verdicts(stats, hosts, "_host").select(
-        *[F.col(f"`{c}`") for c in carried], "_quality.*", F.col("_host_rate").alias("host_rate"),
-        (~F.col("_quality.base_failed") & F.col("_host_host_kept")).alias("kept"),
+    own, words, mark, rate, good = unused(docs, "_host", "_text", "_quality", "_rate", "_good")
+    narrow = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias(own), F.col(f"`{text}`").alias(words))
+    stats = materialize(with_stats(narrow, words, rules, mark).drop(words), "quality")
+    hosts = host_verdicts(stats, own, F.col(f"{mark}.base_failed"), rules)
+    return join_verdicts(stats, hosts, own, rate, good).select(
+        *[F.col(f"`{c}`") for c in carried], f"{mark}.*", F.col(rate).alias("host_rate"),
+        (~F.col(f"{mark}.base_failed") & F.col(good)).alias("kept"),
     )
 
 
@@ -138,9 +140,9 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules:
 
     The counts are computed once for the hosts and again while rows pass, so no text is shuffled or stored.
     """
-    mark, key = unused(docs, "_quality", "_host")
+    mark, key, rate, good = unused(docs, "_quality", "_host", "_rate", "_good")
     sides = docs.select(F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
     hosts = host_verdicts(with_stats(sides, "_text", rules, "_quality"), "_host", F.col("_quality.base_failed"), rules)
     marked = with_stats(docs.withColumn(key, F.col(f"`{host}`")), text, rules, mark)
-    passed = join_verdicts(marked.filter(~F.col(f"{mark}.base_failed")), hosts, key).filter("_host_host_kept")
+    passed = join_verdicts(marked.filter(~F.col(f"{mark}.base_failed")), hosts, key, rate, good).filter(good)
     return passed.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sievework.llm.line_dedup import empty_state, insert, kept_lines
+from sievework.llm.mixing import mixed_documents
+from sievework.llm.ngram_join import drop_near_copies
+from sievework.llm.quality_rules import keep_good, quality_rules
 from sievework.llm.queries import queries
 from sievework.llm.secret_scan import KINDS, Automaton, ScanSettings, outside, secret_scan, symbols
 from sievework.llm.tool_calls import link_calls
@@ -267,3 +271,27 @@ def test_pipeline(spark, odd, empty, folder):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, rows, SF).count()
     assert isinstance(packed, pd.DataFrame)
+
+
+_INSIDE = (
+    "_doc _size _turn _own _copy _of _held _words _same _all _d _s _z _cls _keep _set _lost lines _other _quality _host _host_host "
+    "_host_rate _host_host_kept _rate _good _text doc cls first copies n_words kept base_failed host_rate host rate"
+).split()
+
+
+def test_stages_leave_clashing_columns_alone(spark, odd):
+    """Every name used inside stands in the table, with values of its own, and comes out as it went in."""
+    plain = odd.select("doc_id", "text", "source")
+    marked = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) for c in _INSIDE})
+    wide = marked.withColumns({"_own": F.lit(77), "_copy": F.lit(78)})
+    stages = [keep_good, lambda d: kept_lines(d, insert(empty_state(spark, 1), d)).drop("_lines"), drop_near_copies, mixed_documents]
+    for stage in stages:
+        got, alone = stage(wide), stage(plain)
+        assert set(wide.columns) <= set(got.columns)
+        rows = got.collect()
+        key = lambda r: repr((r["doc_id"], r["text"], r["source"]))
+        assert sorted(map(key, rows)) == sorted(map(key, alone.collect()))
+        assert all(r["_own"] == 77 and r["_copy"] == 78 for r in rows)
+        assert all(r[c] == f"{c}{r['doc_id'] or 0}" for r in rows for c in _INSIDE if c not in ("_own", "_copy"))
+    judged = quality_rules(wide)
+    assert judged.count() == odd.count() and {"_host", "_quality", "_good", "kept"} <= set(judged.columns)
