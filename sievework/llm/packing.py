@@ -9,7 +9,9 @@
    b) the best mix of configurations (how many pieces of each size fit together) is a
       linear programme, solved by column generation: an integer knapsack prices new
       configurations until none helps;
-   c) whole parts of the solution are filled with the actual, shorter pieces;
+   c) whole parts of the solution are filled with the actual, shorter pieces; rounding
+      leaves some of them half empty, and those are undone.  How much room a kept one
+      may have is tried at several values, the last of which undoes all;
    d) what is left and all small pieces go, from long to short, where they fit best.
 
 Defined cases: a missing text is an empty one, which is the end id alone; missing ids
@@ -39,8 +41,9 @@ class PackSettings:
     end_id: int = 1
     #: Pieces of at least this part of a sequence are large.
     large: float = 1 / 8
-    #: More groups waste less where nearly all pieces are long, fewer leave whole configurations where many are short.
     groups: int = 24
+    #: Filled configurations with more of a sequence left than this are undone; the part that needs fewest sequences wins.
+    spare: tuple[float, ...] = (1.0, 1 / 16, 1 / 64, 1 / 256, 0.0, -1.0)
     #: Sizes are also rounded up to multiples of this, which keeps the knapsack small.
     grain: int = 16
     shard_pieces: int = 16_384
@@ -125,29 +128,23 @@ def pack_lengths(lengths: np.ndarray, s: PackSettings) -> tuple[np.ndarray, np.n
     """Sequence and offset of each length, by the scheme above."""
     order = np.argsort(-lengths, kind="stable")
     n_large = int((lengths >= s.large * s.capacity).sum())
-    bins: list[list[int]] = []
-    left: list[int] = order[n_large:].tolist()
+    filled: list[list[int]] = []
     if n_large >= s.groups:
         cuts = np.linspace(0, n_large, s.groups + 1).astype(int)
-        by_size: dict[int, list[int]] = {}
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                top = -(-int(lengths[order[a]]) // s.grain)
-                by_size.setdefault(top, []).extend(order[a:b].tolist())
-        sizes = np.array(list(by_size))
-        need = np.array([len(v) for v in by_size.values()], float)
+        tops = -(-lengths[order[cuts[:-1]]].astype(int) // s.grain)
+        sizes, group = np.unique(tops, return_inverse=True)
+        need = np.bincount(group, np.diff(cuts))
         columns, use = configurations(sizes, need, s.capacity // s.grain)
-        queues = [iter(v) for v in by_size.values()]
-        for column, times in zip(columns.T, np.floor(use + 1e-9).astype(int)):
-            for _ in range(times):
-                own = [x for g, k in enumerate(column.astype(int)) for x in _take(queues[g], k)]
-                if own:
-                    bins.append(own)
-        rest = [x for q in queues for x in q]
-        left = sorted(rest, key=lambda x: (-lengths[x], x)) + left
-    else:
-        left = order.tolist()
-    _best_fit(bins, left, lengths, s.capacity)
+        filled = _substitute(columns, np.floor(use + 1e-9).astype(int), sizes * s.grain, order, lengths, s.capacity)
+    free = np.array([s.capacity - int(lengths[own].sum()) for own in filled], int)
+    bins = None
+    for part in s.spare:
+        kept = [own for own, room in zip(filled, free) if room <= part * s.capacity]
+        inside = np.zeros(len(lengths), bool)
+        inside[[x for own in kept for x in own]] = True
+        _best_fit(kept, order[~inside[order]].tolist(), lengths, s.capacity)
+        if bins is None or len(kept) < len(bins):
+            bins = kept
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, own in enumerate(bins):
         own = np.array(own)
@@ -156,8 +153,33 @@ def pack_lengths(lengths: np.ndarray, s: PackSettings) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
-def _take(queue: Iterator[int], n: int) -> list[int]:
-    return [x for _, x in zip(range(n), queue)]
+def _substitute(columns: np.ndarray, times: np.ndarray, tops: np.ndarray, order: np.ndarray, lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Configurations filled with actual pieces.
+
+    Each place but the last takes the longest piece that its size allows.  Real pieces are
+    shorter than the sizes they were rounded to; the last place gets all of that room, so it
+    takes the longest piece of any size that fits, and rounding wastes nothing there.
+    """
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for x in order[::-1].tolist():
+        held[lengths[x]].append(x)
+    some = np.array([bool(h) for h in held])
+    some[0] = True  # stands for "none fits"
+    bins: list[list[int]] = []
+    mixes = [sorted(np.repeat(tops, column.astype(int)).tolist(), reverse=True) for column in columns.T]
+    for k in sorted(range(len(mixes)), key=lambda k: mixes[k], reverse=True):
+        for _ in range(times[k]):
+            own, free = [], capacity
+            for place, top in enumerate(mixes[k], 1):
+                room = free if place == len(mixes[k]) else min(free, top)
+                size = room - int(some[room::-1].argmax())
+                if size:
+                    own.append(held[size].pop())
+                    some[size] = bool(held[size])
+                    free -= size
+            if own:
+                bins.append(own)
+    return bins
 
 
 def _best_fit(bins: list[list[int]], items: list[int], lengths: np.ndarray, capacity: int) -> None:

@@ -4,10 +4,12 @@ The tokenizer (BPE inside words, lower-cased, white space dropped) never joins w
 space parts, so the ids of a text are those of its blank-separated runs in turn.
 Texts of plain Latin letters are split here and looked up by run; any text with other
 characters, or with the mark of a special token, goes to the tokenizer as a whole.
+A tokenizer file of another kind is noticed and gets every text as a whole.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,21 @@ _OTHER = "[^\\t-\\r -~¡-įı-ňŊ-ſ]|<[|]"
 _MOST_RUNS = 300_000
 
 
+def cuts_at_blanks(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and marks word ends, as the shared words ask for."""
+    told = json.loads(tokenizer.to_str())
+    normalizer, cutter = told["normalizer"] or {}, told["pre_tokenizer"] or {}
+    steps = [step["type"] for step in normalizer.get("normalizers", [])]
+    first = next(iter(cutter.get("pretokenizers", [])), {})
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and first.get("pattern") == {"Regex": _WORDS.pattern}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and told["model"].get("end_of_word_suffix") == "</w>"
+        and all(token["content"].startswith("<|") for token in told["added_tokens"])
+    )
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -35,6 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_at_blanks(self.tokenizer)
         # Words that are cut and lower-cased already need neither step again.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = None
@@ -86,6 +104,8 @@ class Encoder:
     def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a missing text has none.  Meant for batches of a few megabytes."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.by_words:
+            return [np.frombuffer(self.whole(text.as_py()), "<u4") for text in texts]
         plain = ~(pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False))
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         for i in np.flatnonzero(~plain):

@@ -1,5 +1,6 @@
 """Quality rules, line dedup, similarity join, mixing and packing against brute force and odd inputs."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from sievework.llm.bytesets import shingle_sets
 from sievework.llm.cuckoo import CuckooFilter
@@ -266,6 +268,38 @@ def test_tokens_are_the_tokenizers():
         assert ids.tobytes() == encoder.whole(text or "")
 
 
+def test_another_tokenizer_gets_whole_texts():
+    path = default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    other, texts = Encoder(path), ["", "Hello  World", "it's\tI'LL", None, "á 日本 <|endoftext|>"]
+    assert Encoder(default_tokenizer()).by_words and not other.by_words
+    for text, ids in zip(texts, other.ids_of(pa.array(texts))):
+        assert ids.tolist() == Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+def best_fit(lengths, capacity=4096):
+    """Free room of the sequences when every piece, from long to short, goes where it fits best."""
+    free = []
+    for size in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(free, size)
+        left = (free.pop(at) if at < len(free) else capacity) - size
+        bisect.insort(free, left)
+    return free
+
+
+def test_packing_never_needs_more_than_best_fit():
+    rng = np.random.default_rng(5)
+    lognormal = np.minimum(4095, rng.lognormal(6.6, 1.1, 6000).astype(int) + 1)
+    middle, clustered = rng.integers(500, 1900, 6000), rng.integers(1300, 1500, 6000)
+    two = np.r_[rng.integers(1200, 1300, 3000), rng.integers(2600, 2900, 3000)]
+    needs = []
+    for lengths in (rng.integers(1, 4096, 6000), lognormal, middle, clustered, two, rng.integers(2000, 4096, 3000), np.full(50, 4095), np.array([7])):
+        sequence, _ = pack_lengths(lengths, PackSettings())
+        assert np.bincount(sequence, lengths).max() <= 4096
+        needs.append((len(set(sequence.tolist())), len(best_fit(lengths))))
+    assert all(scheme <= plain for scheme, plain in needs)
+    assert all(needs[i][0] < 0.99 * needs[i][1] for i in (2, 3))  # the configurations of the scheme pay here
+
+
 def test_packing(odd, empty, documents):
     encoder = Encoder(default_tokenizer())
     for docs, s in ((odd, PackSettings(shard_pieces=4)), (documents, PackSettings(capacity=256, shard_pieces=500))):
