@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -97,23 +98,50 @@ PREVIEW_CHARACTERS = 120
 _LETTER = r"[\p{L}\p{N}_]"
 
 
-def _word_pattern(keyword: str) -> str:
-    parts = [re.sub(r"([^\w\s])", r"\\\1", part) for part in keyword.lower().split()]
-    return r"\s+".join(parts)
+_HITS = "map<string, array<struct<tool: int, keyword: int>>>"
 
 
-def _matches(text: Column, keywords: Sequence[str]) -> Column:
-    """How many keywords occur as whole words.
+def _is_letter(character: str) -> bool:
+    """As ``_LETTER``, for the keywords themselves."""
+    return character.isalnum() or character == "_"
 
-    A plain substring search for the first word comes first; only texts that
-    pass it are matched against the pattern.
+
+def keyword_pattern(keywords: Iterable[str]) -> str:
+    """One pattern for all keywords: a tree by characters that finds the longest one at each place.
+
+    The match is inside a look-ahead, so keywords may overlap: the search goes on at
+    the next character.  Any number of blanks stands for one.
     """
-    number = F.lit(0)
+    tree: dict = {}
     for keyword in keywords:
-        whole = text.rlike(f"(?<!{_LETTER}){_word_pattern(keyword)}(?!{_LETTER})")
-        found = text.contains(keyword.lower().split()[0]) & whole
-        number = number + found.cast("int")
-    return number
+        node = tree
+        for character in keyword:
+            node = node.setdefault(character, {})
+        node[""] = {}
+
+    def written(character: str) -> str:
+        return r"\s+" if character == " " else re.sub(r"([^\w\s])", r"\\\1", character)
+
+    def branch(node: dict) -> str:
+        ways = [written(c) + branch(below) for c, below in sorted(node.items()) if c]
+        if "" in node:  # after the longer ones
+            ways.append(f"(?!{_LETTER})")
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"(?<!{_LETTER})(?=({branch(tree)}))"
+
+
+def _implied(keywords: Sequence[Sequence[str]]) -> dict[str, list[dict[str, int]]]:
+    """For each keyword of any tool, all keywords (by tool and number) that are found where it is the longest found."""
+    own = [(word, {"tool": i, "keyword": k}) for i, words in enumerate(keywords) for k, word in enumerate(words)]
+    return {
+        longest: [
+            place
+            for word, place in own
+            if longest.startswith(word) and not _is_letter(longest[len(word) : len(word) + 1] or " ")
+        ]
+        for longest in {word for word, _ in own}
+    }
 
 
 def route_requests(
@@ -123,21 +151,30 @@ def route_requests(
 
     The tool with most matching keywords wins, the earlier one on ties.  The
     keyword table is a constant, so each request is routed where it lies: no
-    join, no shuffle.
+    join, no shuffle.  All keywords of all tools are one pattern and one
+    constant table, so a text is read once and the plan does not grow with them.
     """
-    lowered = F.lower(F.coalesce(quoted(text), F.lit("")))
-    scores = F.array(
-        *[
-            F.struct(
-                _matches(F.col("__text"), keywords).alias("n"),
-                F.lit(-i).alias("order"),
-                F.lit(tool).alias("tool"),
-                F.lit(intent).alias("intent"),
-            )
-            for i, (tool, (intent, keywords)) in enumerate(tools.items())
-        ]
-    )
-    best = df.withColumn("__text", lowered).withColumn("__best", F.array_max(scores)).drop("__text")
+    words = [[" ".join(k.lower().split()) for k in keywords] for _, keywords in tools.values()]
+    words = [[word for word in own if word] for own in words]
+    found = F.array().cast("array<struct<tool: int, keyword: int>>")
+    if any(words):
+        lowered = F.lower(F.coalesce(quoted(text), F.lit("")))
+        longest = F.regexp_extract_all(lowered, F.lit(keyword_pattern(w for own in words for w in own)), 1)
+        plain = F.array_distinct(F.transform(longest, lambda x: F.regexp_replace(x, r"\s+", " ")))
+        table = F.from_json(F.lit(json.dumps(_implied(words), sort_keys=True)), _HITS)
+        found = F.array_distinct(F.flatten(F.transform(plain, lambda x: table[x])))
+    offered = json.dumps([{"order": -i, "tool": tool, "intent": intent} for i, (tool, (intent, _)) in enumerate(tools.items())])
+    choices = F.from_json(F.lit(offered), "array<struct<order: int, tool: string, intent: string>>")
+
+    def best_of(hits: Column) -> Column:
+        def score(t: Column) -> Column:
+            n = F.size(F.filter(hits, lambda hit: hit["tool"] == -t["order"]))
+            return F.struct(n.alias("n"), t["order"].alias("order"), t["tool"].alias("tool"), t["intent"].alias("intent"))
+
+        return F.array_max(F.transform(choices, score))
+
+    # Bound to a lambda's variable, the hits of a text are found once, not once a tool.
+    best = df.withColumn("__best", F.transform(F.array(found), best_of)[0])
     n = F.col("__best.n")
     return best.select(
         *[quoted(c) for c in df.columns],

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -155,6 +156,28 @@ def test_routing(spark):
     assert found["group by region"]["confidence"] == pytest.approx(0.55)
 
 
+def test_routing_finds_overlapping_keywords(spark):
+    """Against one search per keyword; the plan is as large for twenty tools as for two."""
+    tools = {"a": ("x", ["show", "show table", "head", "head()", "show  first rows", "c++", ".5"]), "b": ("y", ["table", "first", "Rows", "table", "a_b"])}
+    texts = ["show table", "show\n table's head()", "SHOW first\trows", "showtable", "show first", "c++ C+++ c++x", "x.5 .5", "a_b a_bc", "\u00e9show show\u00e9 show2", "", None, "head(", "table,table rows"]
+    texts.append("word " * 5000 + "show first rows " + "table " * 5000)
+    found = route_requests(spark.createDataFrame([(t,) for t in texts], "text string"), "text", tools).collect()
+    for row in found:
+        counts = []
+        for i, (tool, (intent, keywords)) in enumerate(tools.items()):
+            sought = [r"\s+".join(map(re.escape, k.lower().split())) for k in keywords]
+            hits = sum(bool(re.search(rf"(?<!\w){s}(?!\w)", (row["text"] or "").lower())) for s in sought)
+            counts.append((hits, -i, tool, intent))
+        hits, _, tool, intent = max(counts)
+        want = (tool, intent, hits) if hits else ("no_available_tool", "general_chat", 0)
+        assert (row["tool_name"], row["intent"], row["keyword_count"]) == want, row["text"][:40]
+    many = {f"t{i}": ("z", [f"word{i} of{k}" for k in range(30)]) for i in range(20)}
+    texts = spark.createDataFrame([("word3 of4",)], "text string")
+    size = lambda t: route_requests(texts, "text", t)._jdf.queryExecution().optimizedPlan().expressions().mkString().count("lambda")
+    assert size(many) == size(tools) and route_requests(texts, "text", many).first()["tool_name"] == "t3"
+    assert route_requests(texts, "text", {"none": ("n", [])}).first()["keyword_count"] == 0
+
+
 def test_limits(spark):
     texts = ["top 7 rows", "Limit 900", "page 3", "page size 40", "first 0", "none", "top 99999999999999999999"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
