@@ -12,11 +12,12 @@ from sievework.errors import OperationError, UnknownOperationError
 from sievework.functions.stemming import stem
 from sievework.functions.text import tokenize
 from sievework.operators.cleaning.base import Operation, OperationSpec
-from sievework.operators.cleaning import neighbours
+from sievework.operators.cleaning import forest, neighbours
 from sievework.operators.cleaning.neighbours import neighbour_impute
 from sievework.operators.cleaning.skew import skew_change
 from sievework.plans import cleaning
 from sievework.plans.cleaning import apply_operation, default_catalog, preview_chain, run_chain, watch_chain
+from sievework.session import write_step
 
 
 def column(df, name, order=None):
@@ -152,6 +153,30 @@ def test_forest_fills_and_keeps_known(spark):
     assert np.mean([abs(r["c"] - 2 * r["a"]) for r in out if r["a"] % 6 == 0]) < 15
 
 
+def test_forest_rounds_write_the_gaps_only(spark, monkeypatch):
+    """Two columns with gaps among many rows and wide texts; names that the rounds use themselves stand in the table."""
+    rows = [(float(i), None if i % 50 == 0 else 2.0 * i, None if i % 70 == 3 else 5.0 - i, "t" * 200, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x0 double, c1 double, g2 double, open string, row long")
+    steps = []
+
+    def watched(state, name):
+        written, path = write_step(state, name)
+        steps.append((written.columns, written.count()))
+        return written, path
+
+    monkeypatch.setattr(forest, "write_step", watched)
+    out = forest.forest_impute(df, trees=5, rounds=2)
+    n_open = sum(r[1] is None or r[2] is None for r in rows)
+    assert len(steps) >= 2 and all(n == n_open and not {"c3", "open"} & set(columns) for columns, n in steps)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    found = {r["row"]: r for r in out.collect()}
+    assert len(found) == 1000
+    for x, c, g, text, i in rows:
+        assert (found[i]["x0"], found[i]["open"]) == (x, text)
+        assert found[i]["c1"] == c if c is not None else abs(found[i]["c1"] - 2.0 * i) < 100
+        assert found[i]["g2"] == g if g is not None else abs(found[i]["g2"] - (5.0 - i)) < 50
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), (None, None), (None, None), ("b", 2)], "k string, n int")
     for key, left, affected in (("remove", 3, 2), ("keep_last", 3, 2), ("keep_unique", 1, 4)):
