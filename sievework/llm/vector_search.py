@@ -8,17 +8,20 @@ partial distance, scaled up, exceeds the query's k-th nearest so far by more tha
 chance explains (a test with error ``epsilon``).  Survivors are measured exactly, in
 double precision, on the original vectors.
 
-Centroids and the number of probed lists are fitted on a bounded sample of ``sample``
-vectors with the smallest hashes: so many lists are probed that at least ``coverage``
-of the sample's own nearest neighbours lie in them.  All rows are indexed.  Lists and
-queries are cut into units of at most about ``unit`` candidates and ``query_unit``
-queries, so a hot list is many tasks.
+There are as many lists as the root of the number of rows, so lists grow with the root too.
+Centroids and the number of probed lists are fitted on a sample, the vectors with the
+smallest hashes: ``sample`` or 16 a list, at most ``fit_bytes`` of doubles.  So many lists are
+probed that at least ``coverage`` of the sample's own nearest neighbours lie in them.  All
+rows are indexed.  Lists and queries are cut into units of at most about ``unit``
+candidates and ``query_unit`` queries, so a hot list is many tasks.  A query that finds fewer
+than ``k`` in its lists is sent to all lists.
 
 Defined cases: vectors that are missing, zero, or hold missing or non-finite
-components take no part, nor do vectors of another length than most, nor rows
-without an id; rows with the same id are one (the smallest vector); a query is never its own
-neighbour; with fewer candidates than ``k`` all found are returned; ties of distance go
-to the smaller id.
+components take no part, nor do vectors of another length than most (no distance joins
+them).  Every other row is a candidate, also one that repeats an id or has none; only a
+query's own row is not its neighbour.  Rows without an id are no queries; rows that repeat a
+query's id are queries each.  With fewer candidates than ``k`` all are returned; ties of
+distance go to the smaller id, a missing one last.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ class SearchSettings:
     k: int = 10
     sample: int = 8192
     coverage: float = 0.97
-    most_lists: int = 256
+    #: Of doubles that the fit may hold: 16,384 lists of 128 columns. Lists grow faster than the root beyond the square of that.
+    fit_bytes: int = 256 << 20
     columns: int = 16
     epsilon: float = 2.1
     unit: int = 4096
@@ -48,16 +52,16 @@ class SearchSettings:
 
 
 def usable_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """``vec_id, embedding`` of the rows that take part, one per id."""
+    """``vec_id, embedding`` of the rows that take part."""
     x = F.col("embedding")
     infinite = float("inf")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (v < infinite) & (v > -infinite)) & F.exists(x, lambda v: v != 0)
     good = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
-    good = good.filter(F.col("vec_id").isNotNull() & x.isNotNull() & fine)
+    good = good.filter(x.isNotNull() & fine)
     lengths = good.groupBy(F.size(x).alias("length")).count().orderBy(F.desc("count"), "length").first()
     if lengths is None:
         return good
-    return good.filter(F.size(x) == lengths["length"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return good.filter(F.size(x) == lengths["length"])
 
 
 @dataclass
@@ -67,17 +71,27 @@ class ListIndex:
     probes: int
 
     def nearest_lists(self, vectors: np.ndarray, n: int) -> np.ndarray:
-        apart = (self.centroids**2).sum(axis=1)[None, :] - 2 * vectors @ self.centroids.T
-        if n == 1:
-            return apart.argmin(axis=1)[:, None]
-        return np.argsort(apart, axis=1, kind="stable")[:, :n]
+        """The ``n`` nearest lists of each vector, nearest first, for few vectors at a time."""
+        weight, out = (self.centroids**2).sum(axis=1)[None, :], [np.zeros((0, n), np.int64)]
+        step = max(1, (1 << 22) // len(self.centroids))
+        for low in range(0, len(vectors), step):
+            apart = weight - 2 * vectors[low : low + step] @ self.centroids.T
+            out.append(apart.argmin(axis=1)[:, None] if n == 1 else np.argsort(apart, axis=1, kind="stable")[:, :n])
+        return np.concatenate(out)
+
+
+def sample_size(n: int, width: int, s: SearchSettings) -> tuple[int, int]:
+    """Lists for ``n`` rows, and the vectors to fit them on."""
+    most = max(16, s.fit_bytes // (8 * width))
+    lists = max(1, min(math.isqrt(n), most // 16))
+    return lists, min(most, max(s.sample, 16 * lists))
 
 
 def fit_index(sample: np.ndarray, n: int, s: SearchSettings) -> ListIndex:
     """Centroids by k-means on the sample, a random rotation, and the number of lists to probe."""
     rng = np.random.default_rng(11)
     rotation = np.linalg.qr(rng.standard_normal((sample.shape[1],) * 2))[0]
-    lists = max(1, min(s.most_lists, int(math.sqrt(n)), len(sample) // 16))
+    lists = max(1, min(sample_size(n, sample.shape[1], s)[0], len(sample) // 16))
     index = ListIndex(sample[rng.choice(len(sample), lists, replace=False)].copy(), rotation, lists)
     for _ in range(8):
         own = index.nearest_lists(sample, 1)[:, 0]
@@ -86,24 +100,27 @@ def fit_index(sample: np.ndarray, n: int, s: SearchSettings) -> ListIndex:
         count = np.bincount(own, minlength=lists)
         index.centroids[count > 0] = sums[count > 0] / count[count > 0, None]
     own = index.nearest_lists(sample, 1)[:, 0]
-    asked = sample[:256]
-    apart = (sample**2).sum(axis=1)[None, :] - 2 * asked @ sample.T
-    apart[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(apart, axis=1)[:, : s.k]
+    asked, near = sample[:256], []
+    weight = (sample**2).sum(axis=1)
+    for i, query in enumerate(asked):
+        apart = weight - 2 * sample @ query
+        apart[i] = np.inf
+        near.append(np.argsort(apart)[: s.k])
+    near = np.array(near)
     place = np.argsort(index.nearest_lists(asked, lists), axis=1)  # of each list in the query's order
     needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
     index.probes = int(needed[min(len(needed) - 1, int(s.coverage * len(needed)))]) + 1 if len(needed) else lists
     return index
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, rotation: np.ndarray, s: SearchSettings):
-    """For each query its k nearest of ``rows`` as arrays (query index, id, distance)."""
+def scan(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, keys: np.ndarray, row_ids: np.ndarray, rotation: np.ndarray, s: SearchSettings):
+    """For each query its k nearest of ``rows``, but for that of its own key, as arrays (query index, row index, distance)."""
     rq, rc = queries @ rotation, rows @ rotation
     width, n, m = rows.shape[1], len(rows), len(queries)
     # The first candidates are measured whole; they give each query a distance to beat.
     lead = min(n, 8 * s.k)
     first = ((queries[:, None, :] - rows[None, :lead, :]) ** 2).sum(axis=2)
-    first[own[:, None] == row_ids[None, :lead]] = np.inf
+    first[own[:, None] == keys[None, :lead]] = np.inf
     worst = np.partition(first, min(s.k, lead) - 1, axis=1)[:, s.k - 1] if lead >= s.k else np.full(m, np.inf)
     alive = np.ones((m, n), bool)
     partial = np.zeros((m, n))
@@ -118,17 +135,17 @@ def scan(queries: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray
         partial[cell] += np.maximum(step, 0)
         slack = (1 + s.epsilon / math.sqrt(high)) ** 2 if high < width else 1 + 1e-9
         alive[cell] &= partial[cell] * (width / high) <= worst[live_q, None] * slack + 1e-12
-    out_q, out_c = np.nonzero(alive & (own[:, None] != row_ids[None, :]))
+    out_q, out_c = np.nonzero(alive & (own[:, None] != keys[None, :]))
     exact = np.sqrt(((queries[out_q] - rows[out_c]) ** 2).sum(axis=1))
     order = np.lexsort((row_ids[out_c], exact, out_q))
     out_q, out_c, exact = out_q[order], out_c[order], exact[order]
     start = np.searchsorted(out_q, out_q)
     keep = np.arange(len(out_q)) - start < s.k
-    return ids[out_q[keep]], row_ids[out_c[keep]], exact[keep]
+    return out_q[keep], out_c[keep], exact[keep]
 
 
 def _lists(rows: DataFrame, index: ListIndex, probes: int) -> DataFrame:
-    """``vec_id, embedding, list``: a row for each of the nearest ``probes`` lists."""
+    """``row, vec_id, embedding, list``: a row for each of the nearest ``probes`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,57 +153,62 @@ def _lists(rows: DataFrame, index: ListIndex, probes: int) -> DataFrame:
                 part = batch.slice(low, 2048)
                 flat = part.column("embedding").flatten().to_numpy().reshape(part.num_rows, -1)
                 lists = index.nearest_lists(flat, probes)
-                row = pa.array(np.repeat(np.arange(part.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(row), part.column("embedding").take(row), pa.array(lists.ravel().astype(np.int32))],
-                    ["vec_id", "embedding", "list"],
-                )
-
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, list int")
+                for k in range(lists.shape[1]):
+                    columns = [part.column(c) for c in ("row", "vec_id", "embedding")] + [pa.array(lists[:, k].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "embedding", "list"])
 
+    return rows.select("row", "vec_id", "embedding").mapInArrow(run, "row long, vec_id long, embedding array<double>, list int")
 
-def search(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", settings: SearchSettings = SearchSettings()) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the rows that ``is_query`` (a condition on ``vec_id``) marks, against all rows."""
-    s, spark = settings, rows.sparkSession
-    good = materialize(usable_vectors(rows, vec_id, embedding), "vectors")
-    n = good.count()
-    kind = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], kind)
-    picked = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).select("embedding").toPandas()["embedding"]
-    index = fit_index(np.stack(picked.to_numpy()).astype(float), n, s)
-    listed = materialize(_lists(good, index, 1), "lists")
-    asked = materialize(_lists(good.filter(is_query), index, index.probes), "probes")
-    # One row per list, at most ``most_lists``.
-    held = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
-    put = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    both = sorted(held.keys() & put.keys())
-    if not both:
-        return spark.createDataFrame([], kind)
-
-    def of_list(sizes: dict[int, int], most: int) -> Column:
-        pairs = [F.lit(x) for key in both for x in (key, max(1, -(-sizes[key] // most)))]
-        return F.create_map(*pairs)[F.col("list")]
 
-    cuts, query_cuts = of_list(held, s.unit), of_list(put, s.query_unit)
-    salt = F.xxhash64("vec_id")
+def _nearest(listed: DataFrame, asked: DataFrame, index: ListIndex, s: SearchSettings) -> DataFrame:
+    """``row, query_id, rank, vec_id, score``: each asked row's nearest within the lists it is sent to."""
+    held, put = (x.groupBy("list").agg(F.count(F.lit(1)).alias(name)) for x, name in ((listed, "held"), (asked, "put")))
+    # One row per list; there are at most as many as ``sample_size`` says.
+    sizes = materialize(held.join(put, "list").withColumns({"cuts": F.ceil(F.col("held") / s.unit), "query_cuts": F.ceil(F.col("put") / s.query_unit)}).select("list", "cuts", "query_cuts"), "list-sizes")
 
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
+    def dealt(rows: DataFrame, own: str, other: str, cut: str, every: str) -> DataFrame:
+        """Each row in one cut of its own side and in all cuts of the other."""
+        sized = rows.join(F.broadcast(sizes), "list").withColumn(cut, F.pmod(F.xxhash64("row"), F.col(own)))
+        spread = sized.withColumn(every, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return spread.select(F.xxhash64("list", "cut", "query_cut").alias("unit"), "row", "vec_id", "embedding")
 
-    c = listed.withColumn("cut", F.pmod(salt, cuts)).filter("cut is not null").withColumn("query_cut", every(query_cuts))
-    q = asked.withColumn("query_cut", F.pmod(salt, query_cuts)).filter("query_cut is not null").withColumn("cut", every(cuts))
-    unit = F.xxhash64("list", F.col("cut").cast("long"), F.col("query_cut").cast("long")).alias("unit")
-    c, q = (x.select(unit, "vec_id", "embedding") for x in (c, q))
+    c, q = dealt(listed, "cuts", "query_cuts", "cut", "query_cut"), dealt(asked, "query_cuts", "cuts", "query_cut", "cut")
 
     def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = left["vec_id"].to_numpy()
-        found = scan(np.stack(left["embedding"]), own, own, np.stack(right["embedding"]), right["vec_id"].to_numpy(), index.rotation, s)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
+        ids = right["vec_id"].astype("Int64")
+        order = ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        asks, finds, score = scan(np.stack(left["embedding"]), left["row"].to_numpy(), np.stack(right["embedding"]), right["row"].to_numpy(), order, index.rotation, s)
+        return pd.DataFrame({"row": left["row"].to_numpy()[asks], "query_id": left["vec_id"].to_numpy()[asks], "vec_id": ids.iloc[finds].array, "score": score})
 
-    near = q.groupBy("unit").cogroup(c.groupBy("unit")).applyInPandas(run, "query_id long, vec_id long, score double")
+    near = q.groupBy("unit").cogroup(c.groupBy("unit")).applyInPandas(run, "row long, query_id long, vec_id long, score double")
     # A limit on a rank per query: each task keeps k rows a query before anything is shuffled.
-    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
+    nearest = Window.partitionBy("row").orderBy("score", F.col("vec_id").asc_nulls_last())
+    return near.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= s.k).select("row", "query_id", "rank", "vec_id", "score")
+
+
+def search(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", settings: SearchSettings = SearchSettings()) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the rows that ``is_query`` (a condition on ``vec_id``) marks, against all rows."""
+    s, spark = settings, rows.sparkSession
+    # The key of a row is written with it, so a repeated task cannot deal keys anew.
+    good = materialize(usable_vectors(rows, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n = good.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    _, most = sample_size(n, len(good.first()["embedding"]), s)
+    picked = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(most).select("embedding").toPandas()["embedding"]
+    index = fit_index(np.stack(picked.to_numpy()).astype(float), n, s)
+    queries = good.filter(is_query)
+    listed = materialize(_lists(good, index, 1), "lists")
+    asked = materialize(_lists(queries, index, index.probes), "probes")
+    near = _nearest(listed, asked, index, s)
+    lists = len(index.centroids)
+    if index.probes < lists:
+        near = materialize(near, "near")
+        enough = near.filter(F.col("rank") == s.k).select("row")
+        short = queries.join(enough, "row", "left_anti")
+        if not short.isEmpty():
+            everywhere = _nearest(listed, materialize(_lists(short, index, lists), "probes"), index, s)
+            near = near.join(enough, "row", "left_semi").unionByName(everywhere)
+    return near.select("query_id", "rank", "vec_id", "score")

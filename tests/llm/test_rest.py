@@ -19,7 +19,7 @@ from sievework.llm.secret_scan import KINDS, Automaton, ScanSettings, outside, s
 from sievework.llm.tool_calls import link_calls
 from sievework.llm.toxicity import BlockIndex, ToxicSettings, toxicity
 from sievework.llm.url_filter import RULES, Rule, url_filter
-from sievework.llm.vector_search import SearchSettings, search
+from sievework.llm.vector_search import SearchSettings, sample_size, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -164,7 +164,7 @@ def exact_nearest(vectors, ids, q, k=10):
     return [(int(ids[b]), apart[b]) for b in best if b != q]
 
 
-@pytest.mark.parametrize("settings", [SearchSettings(), SearchSettings(unit=64, query_unit=2, most_lists=8)])
+@pytest.mark.parametrize("settings", [SearchSettings(), SearchSettings(unit=64, query_unit=2), SearchSettings(fit_bytes=1 << 16)])
 def test_vector_search_recall(spark, settings):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     data = table.toPandas()
@@ -186,11 +186,32 @@ def test_vector_search_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [0.0, 2.0]), (8, [1.0]), (None, [1.0, 1.0]), (7, [0.0, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as list", "2 as unit")
     found = [tuple(r) for r in search(table, F.col("vec_id") % 100 == 0).collect()]
-    assert sorted(found) == [(0, 1, 1, 0.0), (0, 2, 7, pytest.approx(5**0.5))]
+    assert sorted(found) == [(0, 1, 1, 0.0), (0, 2, None, 1.0), (0, 3, 7, pytest.approx(5**0.5)), (0, 4, 7, pytest.approx(5**0.5))]
     assert search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert search(table.filter("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_vector_search_keeps_repeated_ids_and_looks_everywhere(spark):
+    """Rows that repeat a query's id are queries and candidates; small far groups hold fewer than k."""
+    rng = np.random.default_rng(4)
+    near = [(i, (rng.standard_normal(8) + 100 * (i % 40)).tolist()) for i in range(1, 201)]
+    rows = [(0, [1.0] * 8), (0, [2.0] * 8), *near, (300, [-500.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(table, F.col("vec_id") % 100 == 0, settings=SearchSettings(coverage=0.2)).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 100: 10, 200: 10, 300: 10}
+    first = got[got["query_id"] == 0].nsmallest(2, "score")
+    assert sorted(got[(got["query_id"] == 0) & (got["vec_id"] == 0)]["score"]) == [pytest.approx(8**0.5)] * 2 and len(first) == 2
+    vectors, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    want = [i for i, _ in exact_nearest(vectors, ids, len(rows) - 1)]
+    assert got[got["query_id"] == 300].sort_values("rank")["vec_id"].tolist() == want
+
+
+def test_lists_follow_the_root_of_the_rows():
+    s = SearchSettings()
+    assert [sample_size(n, 128, s)[0] for n in (1, 100, 10_000, 10**8)] == [1, 10, 100, 10_000]
+    assert sample_size(10**8, 128, s)[1] == 160_000 and sample_size(10**12, 128, s)[1] * 8 * 128 <= s.fit_bytes
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.com/fr/x", '<a href="https://b.net/y">'), (2, "http://B.net/z?q#f", "<a HREF='//bad.net/'>"), (3, "x://bad.org/", None), (4, "http://org", None),
