@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import quantiles
 from sievework.functions.frequencies import attach, column_summaries
-from sievework.functions.ordering import Order, with_position, with_range
+from sievework.functions.ordering import Order, page_of, with_position, with_range
 from sievework.functions.quantiles import exact_quantiles, grouped_quantiles
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -126,7 +126,7 @@ def test_summaries(spark):
 
 def test_long_decimals_and_texts_keep_their_order(spark):
     from sievework.functions.frequencies import column_summaries
-    from sievework.functions.ordering import Order, with_position, with_range
+    from sievework.functions.ordering import Order, page_of, with_position, with_range
 
     rows = [(i, Decimal(10**29 + i), "p" * 70 + f"{i:04}") for i in range(1000)]
     df = spark.createDataFrame(rows, "id long, k decimal(38,1), t string")
@@ -147,3 +147,17 @@ def test_lookup_by_shuffle_reads_the_table_once(spark):
     out = attach(df, "k", lookup, "k", bound=3)
     assert {(r["k"], r["i"]) for r in out.collect()} == {(10 * (i % 40) if i % 9 else None, i) for i in range(500)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+
+
+def test_deep_page_reads_one_key_range(spark):
+    rows = [(None if i % 50 == 0 else f"n{i % 2000:05d}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    for ascending in (True, False):
+        known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[1])
+        known.sort(key=lambda r: r[0], reverse=not ascending)
+        want = known + sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        for offset in (40, 1490, 2930, 2995, 3000):
+            page = page_of(df, [Order("k", ascending), "id"], offset, 20, shallow=10, rows_per_range=5)
+            assert [tuple(r) for r in page.collect()] == want[offset : offset + 20]
+            # The plan does not grow with the ranges of the table.
+            assert len(page._jdf.queryExecution().optimizedPlan().toString()) < 20_000
