@@ -161,3 +161,14 @@ def test_deep_page_reads_one_key_range(spark):
             assert [tuple(r) for r in page.collect()] == want[offset : offset + 20]
             # The plan does not grow with the ranges of the table.
             assert len(page._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_grouped_quantiles_of_few_values_need_no_ranges(spark, monkeypatch):
+    rows = [(i % 3 if i % 7 else None, float(i * i % 41) if i % 5 else None) for i in range(4000)]
+    pdf = pd.DataFrame(rows, columns=["k", "x"])
+    df = spark.createDataFrame(rows, "k long, x double")
+    monkeypatch.setattr(quantiles, "with_range", None)
+    found = {r["k"]: (r["m"], r["q"]) for r in grouped_quantiles(df, ["k"], "x", {"m": 0.5, "q": 0.9}, one_state=1000).collect()}
+    for key in (0, 1, 2, None):
+        part = pdf[pdf["k"].isna() if key is None else pdf["k"] == key]["x"].dropna()
+        assert found[key] == pytest.approx(tuple(np.quantile(part, [0.5, 0.9])))
