@@ -231,3 +231,16 @@ def test_sql_pages(spark):
     assert page.rows.first()["id"] == 10 and page.info.first()["total_pages"] == 5
     named = read_only_query(spark, "select count(*) as n from these", {"these": spark.range(3)})
     assert named.first()["n"] == 3
+
+
+def test_heat_map_reads_its_table_once(spark):
+    numbers = np.random.default_rng(3).normal(size=(200, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in numbers], "a double, b double, c double")
+    wide = df.select([F.col(c).alias(f"x{i}") for i, c in enumerate("abc")])
+    plan = correlation_module._pearson(wide, list(itertools.combinations_with_replacement(range(3), 2)))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("var_pop(") == 6  # three spreads, three pairs
+    table = charts.chart_to_table("heatmap", charts.heatmap(df))
+    assert "var_pop" not in table._jdf.queryExecution().optimizedPlan().toString()
+    want = pd.DataFrame(numbers, columns=list("abc")).corr().round(4)
+    for r in table.collect():
+        assert [r[c] for c in "abc"] == pytest.approx(want.loc[r["Variable"]].tolist(), abs=1e-4)
