@@ -244,3 +244,32 @@ def test_heat_map_reads_its_table_once(spark):
     want = pd.DataFrame(numbers, columns=list("abc")).corr().round(4)
     for r in table.collect():
         assert [r[c] for c in "abc"] == pytest.approx(want.loc[r["Variable"]].tolist(), abs=1e-4)
+
+
+def test_rank_correlation_joins_only_columns_of_many_values(spark, monkeypatch):
+    numbers = np.random.default_rng(8).integers(0, 60, (400, 3)).astype(float)
+    numbers[:, 2] %= 4
+    df = spark.createDataFrame([tuple(map(float, r)) for r in numbers], "a double, b double, c double")
+    df = df.withColumn("b", F.when(F.col("a") % 7 != 0, F.col("b")))
+    pdf, attach, joined = df.toPandas(), correlation_module.attach, []
+    monkeypatch.setattr(correlation_module, "attach", lambda df, *a, **o: (joined.append(df), attach(df, *a, **o))[1])
+    for few in (10, 1000):
+        monkeypatch.setattr(correlation_module, "_FEW_VALUES", few)
+        for names in (["a", "c"], ["a", "b", "c"]):
+            found = {(r[0], r[1]): r[2] for r in correlation(df, names, "spearman", rows_per_range=15).collect()}
+            for x, y in itertools.combinations(names, 2):
+                assert found[x, y] == pytest.approx(pdf[[x, y]].dropna().rank().corr().loc[x, y], abs=1e-9), (few, x, y)
+    assert len(joined) == 2 and "explode" not in joined[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_discordant_pairs_by_ranges(spark):
+    generator = np.random.default_rng(9)
+    values, weights = generator.integers(0, 9, 200), generator.integers(1, 5, 200)
+    brute = lambda v, w: sum(int(w[i]) * int(w[j]) for i in range(len(v)) for j in range(i + 1, len(v)) if v[i] > v[j])
+    assert correlation_module._discordant(values, weights.copy()) == brute(values, weights)
+    heavy = weights.astype("int64") << 40  # sums beyond 64 bits
+    assert correlation_module._discordant(values, heavy.copy()) == brute(values, heavy)
+    rows = spark.createDataFrame([(0, float(x), float(y), 1) for x, y in {tuple(r) for r in generator.integers(0, 40, (300, 2)).tolist()}], "pair int, x double, y double, w long")
+    taus = {n: correlation_module._tau(rows, rows_per_range=n).first()["r"] for n in (7, 50, 1000)}
+    assert len(set(taus.values())) == 1
+    assert "Generate" not in correlation_module._tau(rows, rows_per_range=50)._jdf.queryExecution().optimizedPlan().toString()
