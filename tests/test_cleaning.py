@@ -407,3 +407,21 @@ def test_preview_leaves_the_table_alone(spark):
     assert found.before.first()["row_count"] == 3 and found.after.first()["row_count"] == 1
     assert [r["affected_row_count"] for r in found.steps.orderBy("step").collect()] == [1, 1]
     assert df.count() == 3 and found.sample_after.count() == 1
+
+
+def test_lemmatize_needs_no_python_and_no_repeated_dictionary(spark, monkeypatch):
+    from sievework.operators.cleaning import text as text_module
+
+    generator = random.Random(4)
+    known = [f"w{i}" for i in range(60)]
+    texts = [" ".join(generator.choice(known[: 1 + i % 60]) for _ in range(i % 40)) for i in range(120)] + [None] + ["w1 w2"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    table = {w: f"l{w}" for w in known if w != "w2"}
+    lemmas = spark.createDataFrame([r for w, l in table.items() for r in ((w, l + "~"), (w, l))], "word string, lemma string")
+    want = [" ".join(table.get(w, w) for w in (t or "").split()) for t in texts]
+    monkeypatch.setattr(text_module, "_FREQUENT_WORDS", 7)
+    for rows in (500, 0):
+        monkeypatch.setattr(text_module, "_BROADCAST_ROWS", rows)
+        done = text_module.lemmatize(df, "t", lemmas, rows)
+        assert [r["t"] for r in done.orderBy("i").collect()] == want
+        assert "Python" not in done._jdf.queryExecution().executedPlan().toString()
