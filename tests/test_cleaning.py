@@ -143,6 +143,40 @@ def test_knn_visits_few_leaves(spark, monkeypatch):
     assert sum(asked) < 120 * 20
 
 
+def test_knn_sends_gaps_to_blocks_not_leaves(spark, monkeypatch):
+    """Ten columns without any grouping: a gap vector reaches most small leaves, but is sent to few blocks of them."""
+    rng = np.random.default_rng(4)
+    rows = [[float(x) for x in p] for p in rng.uniform(0, 50, (1200, 10))]
+    for i in range(0, 1200, 20):
+        rows[i][i % 3] = None
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} double" for i in range(10)))
+    asked = []
+    nearest = neighbours._nearest
+    monkeypatch.setattr(neighbours, "_nearest", lambda donors, asking, *a: asked.append(asking.count()) or nearest(donors, asking, *a))
+    got = sorted(tuple(r) for r in neighbour_impute(df, 5, 20).collect())
+    want = sorted(tuple(map(float, r)) for r in brute_knn(rows, 5))
+    assert np.allclose(got, want)
+    assert sum(asked) < 60 * 4
+
+
+def test_knn_in_many_blocks_and_tasks(spark, monkeypatch):
+    """Blocks of 40 donors: missing donor cells, copies, and donors that differ in the target only."""
+    monkeypatch.setattr(neighbours, "_BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "_GAPS_PER_TASK", 7)
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(300):
+        a, b, c = float(rng.normal(0, 5)), float(rng.integers(0, 4)), float(rng.normal(0, 9))
+        rows.append(tuple(None if rng.random() < 0.2 else v for v in (a, b, c)))
+    rows += [(1.0, 2.0, float(v)) for v in rng.permutation(200)]
+    rows += [(1.0, 2.0, None)] * 30 + [(None, None, None)] * 3 + [(50.0, None, None), (7.5, 1.0, None)]
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "i string, a double, b double, c double")
+    got = neighbour_impute(df, 4, 10).toPandas().set_index("i")[["a", "b", "c"]]
+    want = brute_knn(rows, 4)
+    for i in range(len(rows)):
+        assert got.loc[str(i)].to_numpy() == pytest.approx(want[i]), (i, rows[i])
+
+
 def test_forest_fills_and_keeps_known(spark):
     rows = [(float(i), 3.0 * i + 1, None if i % 6 == 0 else 2.0 * i) for i in range(120)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
