@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -177,6 +178,29 @@ def test_knn_in_many_blocks_and_tasks(spark, monkeypatch):
         assert got.loc[str(i)].to_numpy() == pytest.approx(want[i]), (i, rows[i])
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_knn_block_needs_little_memory(ties):
+    """4,000 gap vectors against 20,000 donors, all equally near or not: arrays stay far below one of all distances."""
+    rng = np.random.default_rng(9)
+    donors = rng.uniform(0, 100, (20_000, 3))
+    asked = rng.uniform(0, 100, (4_000, 3))
+    if ties:
+        donors[:, :2], asked[:, :2] = 1.0, 1.0
+    asked[:, 2] = math.nan
+    xs = ["x0", "x1", "x2"]
+    have = pd.DataFrame(donors, columns=xs).assign(w=1)
+    ask = pd.DataFrame(asked, columns=xs).assign(q=range(4_000), reach=math.inf)
+    tracemalloc.start()
+    found = neighbours._top_k(ask, have, xs, 2, 5, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    means = found.groupby("q")["v"].apply(lambda v: v.head(5).mean())
+    for q in range(0, 4_000, 400):
+        d = np.sqrt(3 / 2 * ((donors[:, :2] - asked[q, :2]) ** 2).sum(axis=1))
+        assert means[q] == pytest.approx(donors[np.lexsort((donors[:, 2], d))[:5], 2].mean())
+
+
 def test_forest_fills_and_keeps_known(spark):
     rows = [(float(i), 3.0 * i + 1, None if i % 6 == 0 else 2.0 * i) for i in range(120)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
