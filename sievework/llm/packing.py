@@ -33,6 +33,9 @@ from sievework.llm.bytesets import slices
 from sievework.llm.token_ids import default_tokenizer, encoder
 from sievework.session import materialize
 
+#: Bytes of text encoded at a time: the more, the less often a word is looked up.
+_SLICE = 1 << 22
+
 
 @dataclass(frozen=True)
 class PackSettings:
@@ -57,7 +60,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, s: PackSettings, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, own in enumerate(encode.ids_of(part.column("text"))):
                     own = np.concatenate([own, end])

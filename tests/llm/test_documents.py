@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from sievework.llm import token_ids
 from sievework.llm.bytesets import shingle_sets
 from sievework.llm.cuckoo import CuckooFilter
 from sievework.llm.line_dedup import delete, empty_state, insert, kept_lines, line_dedup
@@ -268,6 +270,45 @@ def test_tokens_are_the_tokenizers():
         assert ids.tobytes() == encoder.whole(text or "")
 
 
+def test_words_begin_where_the_tokenizer_cuts():
+    rng = np.random.default_rng(8)
+    parts = ["'", "'", "s", "t", "re", "ve", "m", "ll", "d", "'S", "1", "²", "½", "é", "ÿ", "Ÿ", "ª", "µ", "×", "¿", "<", "/w>", "abc", "-", ".", " ", "\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60)).tolist()) for _ in range(3000)] + ["", " ", "'", "x'l", "x'", "'r e", "'r", "''s's't'", None]
+    encoder, one = Encoder(default_tokenizer()), Encoder(default_tokenizer())
+    for text, ids in zip(texts, encoder.ids_of(pa.array(texts))):
+        assert ids.tobytes() == encoder.whole(text or ""), text
+    for text in texts[-400:]:  # a text is a batch of its own
+        assert one.ids_of(pa.array([text], pa.string()))[0].tobytes() == encoder.whole(text or ""), text
+    assert one.ids_of(pa.array([None, None], pa.string()))[0].size == 0 and one.ids_of(pa.array([], pa.string())) == []
+
+
+def test_only_distinct_words_are_kept_and_encoded(monkeypatch):
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen += [word for text in texts for word in text.split()]
+            return self.inner.encode_batch_fast(texts, **how)
+
+    names = ["".join(letters) for letters in itertools.product("abcde", repeat=4)]
+    ends = ["", ".", ",", "!!", "'s", "-x"]
+    texts = [" ".join(f"{name}{end}" for name in names[i::25]) for end in ends for i in range(25)]
+    encoder = Encoder(default_tokenizer())
+    encoder.of_words = Counting(encoder.of_words)
+    for low in range(0, len(texts), 20):
+        encoder.ids_of(pa.array(texts[low : low + 20]))
+    distinct = {*names, ".", ",", "!!", "'s", "-", "x"}
+    assert sorted(encoder.of_words.seen) == sorted(distinct) == sorted(encoder.words)  # not the 3,750 runs they stand in
+    monkeypatch.setattr(token_ids, "_MOST_WORDS", 100)  # words are forgotten all the time
+    for low in range(0, len(texts), 7):
+        part = texts[low : low + 7]
+        for text, ids in zip(part, encoder.ids_of(pa.array(part))):
+            assert ids.tobytes() == encoder.whole(text)
+        assert len(encoder.words) <= 100 + 7 * 25 + 6
+    assert len(encoder.pool) == encoder.size.sum() and len(encoder.words) == len(encoder.size) == len(encoder.met)
+
+
 def test_another_tokenizer_gets_whole_texts():
     path = default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
     other, texts = Encoder(path), ["", "Hello  World", "it's\tI'LL", None, "á 日本 <|endoftext|>"]
