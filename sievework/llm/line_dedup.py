@@ -133,7 +133,11 @@ def empty_state(spark: SparkSession, shards: int) -> LineState:
 
 def insert(state: LineState, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> LineState:
     """The state with a batch of documents added."""
-    batch = materialize(references(docs, doc_id, text, min_chars), "line-refs")
+    return insert_references(state, materialize(references(docs, doc_id, text, min_chars), "line-refs"))
+
+
+def insert_references(state: LineState, batch: DataFrame) -> LineState:
+    """The state with the written :func:`references` of a batch added."""
     added = _counted(batch)
     asked = _with_shard(added.select(*KEY), state.shards)
     probed = asked.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInPandas(_probe, "k1 long, k2 long, known boolean")
@@ -215,12 +219,13 @@ def kept_lines(
     return joined.mapInArrow(run, spec)
 
 
-def shards_for(docs: DataFrame, rows_per_shard: int = 20_000) -> int:
-    """Shards for a first batch: one for so many documents."""
-    return max(1, -(-docs.count() // rows_per_shard))
+def shards_for(batch: DataFrame, refs_per_shard: int = 200_000) -> int:
+    """Shards for the references of a first batch: a shard is one task's group, so lines count, however few documents hold them."""
+    return max(1, -(-batch.count() // refs_per_shard))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, digest_only: bool = False) -> DataFrame:
     """All of ``docs`` as one batch into an empty state, then each document's remaining lines."""
-    state = insert(empty_state(docs.sparkSession, shards_for(docs)), docs, doc_id, text, min_chars)
+    batch = materialize(references(docs, doc_id, text, min_chars), "line-refs")
+    state = insert_references(empty_state(docs.sparkSession, shards_for(batch)), batch)
     return kept_lines(docs, state, doc_id, text, min_chars, digest_only)

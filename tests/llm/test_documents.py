@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sievework.llm import token_ids
+from sievework.llm import line_dedup as line_module, token_ids
 from sievework.llm.bytesets import shingle_sets
 from sievework.llm.cuckoo import CuckooFilter
 from sievework.llm.line_dedup import delete, empty_state, insert, kept_lines, line_dedup
@@ -109,6 +109,18 @@ def test_lines_are_reversible(spark, documents):
     assert plain(same) == brute_lines(rows)
 
 
+def test_few_long_documents_fill_many_shards(spark, monkeypatch):
+    """A shard holds about so many lines, whatever the number of documents."""
+    rows = [(i, "\n".join([f"Line {j} of document {i}" for j in range(40_000)] + ["a line of all of them"])) for i in range(12)]
+    states = []
+    monkeypatch.setattr(line_module, "kept_lines", lambda docs, state, *more: states.append(state) or kept_lines(docs, state, *more))
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest_only=True)
+    assert plain((r["doc_id"], *r["lines"]) for r in found.collect()) == brute_lines(rows)
+    shards = line_module._with_shard(states[0].counts, states[0].shards).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) == 480_001
+    assert max(r["count"] for r in shards) < 250_000 and states[0].filters.count() == states[0].shards
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
